@@ -6,11 +6,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docsieve.llm import sharding, tokens
+from docsieve.llm import lines, rules, sharding, tokens, toxicity
 from docsieve.llm.common import documents
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -19,11 +36,33 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir))
 
 
+OP4_SQL = """
+WITH raw AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM raw),
+keyed AS (
+  SELECT doc_id, line, i, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+repeated AS (
+  SELECT k, max(doc_id) AS last_doc FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3)
+SELECT a.doc_id, count(*) AS n_lines,
+       count(*) FILTER (WHERE r.k IS NOT NULL AND a.doc_id <> r.last_doc) AS n_dropped,
+       sha256(coalesce(string_agg(a.line, chr(10) ORDER BY a.i) FILTER (WHERE r.k IS NULL OR a.doc_id = r.last_doc), '')) AS kept_sha256
+FROM keyed a LEFT JOIN repeated r ON a.k = r.k
+GROUP BY a.doc_id
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_token_counts": op6_token_counts, "op9_sharding": op9_sharding}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_quality_rules": op2_quality_rules,
+        "op4_line_dedup": op4_line_dedup,
+        "op6_token_counts": op6_token_counts,
+        "op9_sharding": op9_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": OP4_SQL}
