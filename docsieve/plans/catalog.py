@@ -5,15 +5,253 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docsieve.engine import SearchEngine
+from docsieve.functions import analysis, present
+from docsieve.request import SearchRequest
+from docsieve.sources.store import index_postings, upsert_latest
+
+STOPS = ", ".join(f"'{w}'" for w in analysis.STOP)
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select(F.col("doc_id").cast("string").alias("id"), F.array("text").alias("content"), F.col("lang").alias("language"), F.col("source").alias("repository"))
+
+
+def web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    title, body = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.regexp_replace("html", r"(?s)<[^>]*>", " ")
+    return p.select(F.col("page_id").cast("string").alias("id"), F.array(title).alias("title"), F.array(body).alias("content"), "url")
+
+
+def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.array("text").alias("content"), F.col("role").alias("author"), F.col("conv_id").cast("string").alias("repository"))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select(F.col("p_partkey").cast("string").alias("id"), F.array("p_name").alias("title"), F.col("p_brand").alias("repository"), F.col("p_type").alias("file_type"), F.col("p_size").alias("size_i"), F.col("p_retailprice").alias("price_d"))
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").alias("last_modified"), F.col("o_orderstatus").alias("repository"), F.col("o_orderpriority").alias("file_type"))
+
+
+def engine(docs: DataFrame, **more) -> SearchEngine:
+    return SearchEngine(docs, partitions=docs.sparkSession.sparkContext.defaultParallelism, **more)
+
+
+def top(source, **request) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return engine(source(spark, sf_dir)).search(SearchRequest(**request)).docs.select("id", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def matches(source, **request) -> Callable[[SparkSession, str], DataFrame]:
+    """All matches, not a page."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return engine(source(spark, sf_dir)).search(SearchRequest(**request)).matches.select("id", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def facet(source, **request) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: engine(source(spark, sf_dir)).search(SearchRequest(**request)).facets
+
+
+def groups(source, **request) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = engine(source(spark, sf_dir)).search(SearchRequest(**request)).groups
+        return found.select("key", "count", "overflow", F.inline("docs")).select("key", "count", "overflow", "rank", "id", F.round("score", 6).alias("score"))
+
+    return run
+
+
+TOKENS = f"""
+words AS (
+  SELECT doc_id AS id, lower(t) AS t, i FROM (
+    SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (
+      SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}ー]+'), lambda x: x <> '') AS l FROM documents))
+  WHERE lower(t) NOT IN ({STOPS})),
+lens AS (SELECT doc_id AS id, lang, source, coalesce(n, 0) AS dl FROM documents LEFT JOIN (SELECT id, count(*) AS n FROM words GROUP BY id) w ON doc_id = w.id),
+stats AS (SELECT count(*) AS n, avg(dl) AS a FROM lens)"""
+
+
+def scored(tests: dict[str, str], where: str, tail: str, tf: str = "count(*)::DOUBLE") -> str:
+    """BM25 over the words that pass each test; ``where`` is over m_<name> (0 or 1)."""
+    ctes, joins, score = [], [], []
+    for name, test in tests.items():
+        ctes.append(f"tf_{name} AS (SELECT id, {tf} AS f FROM words WHERE {test} GROUP BY id), df_{name} AS (SELECT count(*) AS df FROM tf_{name} WHERE f > 0)")
+        joins.append(f"LEFT JOIN tf_{name} ON tf_{name}.id = lens.id CROSS JOIN df_{name}")
+        score.append(f"CASE WHEN tf_{name}.f > 0 THEN ln(1 + (n - df_{name}.df + 0.5) / (df_{name}.df + 0.5)) * tf_{name}.f / (tf_{name}.f + 1.2 * (1 - 0.75 + 0.75 * dl / a)) ELSE 0 END")
+    flags = ", ".join(f"(coalesce(tf_{k}.f, 0) > 0)::INT AS m_{k}" for k in tests)
+    return f"WITH {TOKENS}, {', '.join(ctes)}, found AS (SELECT lens.id, lang, source, {flags}, {' + '.join(score)} AS s FROM lens CROSS JOIN stats {' '.join(joins)}) SELECT id::VARCHAR AS id, round(s, 6) AS score FROM found WHERE {where} {tail}"
+
+
+def is_(word: str) -> str:
+    return f"t = '{word}'"
+
+
+TOP10 = "ORDER BY s DESC, id::VARCHAR LIMIT 10"
+PAIR = {"a": is_("that"), "b": is_("from")}
+TRIO = {**PAIR, "c": is_("this")}
+FOUR = {**TRIO, "d": is_("are")}
+
+
+def pairs_sql(distance: str) -> str:
+    return f"""WITH {TOKENS}, near AS (
+  SELECT x.id, x.i, min(abs(y.i - x.i - 1)) AS gap FROM words x JOIN words y ON x.id = y.id AND x.t = 'that' AND y.t = 'from' GROUP BY x.id, x.i),
+tf AS (SELECT id, sum(1.0 / (1 + gap))::DOUBLE AS f FROM near WHERE gap <= {distance} GROUP BY id), df AS (SELECT count(*) AS df FROM tf)
+SELECT tf.id::VARCHAR AS id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * f / (f + 1.2 * (0.25 + 0.75 * dl / a)), 6) AS score
+FROM tf JOIN lens ON lens.id = tf.id CROSS JOIN stats CROSS JOIN df"""
+
+
+def analyze(chain, column: str, table: str, key: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.explode(chain(F.col(column))).alias("t"))
+        return rows.groupBy(F.col("t.term").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+
+    return run
+
+
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.size(analysis.general(F.col("text")))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count("doc_id").alias("n_docs"), F.sum(n).alias("n_words"), F.round(F.avg(n), 6).alias("mean_words"))
+
+
+def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_postings(corpus(spark, sf_dir), "content").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", "value")
+    return upsert_latest(e, "user_id", "event_id")
+
+
+def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = engine(corpus(spark, sf_dir)).search(SearchRequest(q="that", group_by="repository")).matches
+    return hits.groupBy("repository").agg(F.count(F.lit(1)).alias("n"))
+
+
+def group_ngroups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(talks(spark, sf_dir), facets=()).search(SearchRequest(group_by="repository")).stats
+
+
+def page_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine(corpus(spark, sf_dir)).search(SearchRequest(q="that", rows=10, page=3)).stats
+    pages = F.ceil(F.col("num_found") / 10)
+    return found.select(F.explode(F.sequence(F.lit(1).cast("long"), F.least(pages, F.lit(5).cast("long")))).alias("page"))
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = web(spark, sf_dir)
+    path = F.regexp_replace("url", r"^\w+://[^/]*", "")
+    return p.select("id", present.basename(path).alias("basename"), present.display_title(F.lit(None), F.col("title"), path, F.col("id")).alias("display_title"))
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = web(spark, sf_dir)
+    return p.select("id", present.repository_href(F.when(F.col("id").cast("long") % 2 == 0, F.col("url")), F.lit("https://host/repo/"), F.concat(F.lit("/dir/file "), F.col("id"))).alias("href"))
+
+
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine(corpus(spark, sf_dir)).search(SearchRequest(q="that from")).highlighting
+    return found.select("id", "field", F.size("snippets").alias("n"), F.array_join("snippets", "|").contains("<mark>").alias("marked"))
+
+
+def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = orders(spark, sf_dir).withColumn("age_d", F.datediff(F.lit("2000-01-01").cast("date"), F.col("last_modified")).cast("double"))
+    return engine(docs).search(SearchRequest(bf="recip(age_d,0.001,1,1)", rows=20)).docs.select("id", F.round("score", 6).alias("score"))
+
+
+def listed(source, **request) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: engine(source(spark, sf_dir)).search(SearchRequest(**request)).docs.select("id")
+
+
+FACET_TAIL = "QUALIFY row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) <= 20"
+GENERAL = f"SELECT lower(t) AS term, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}ー]+'), lambda x: x <> '')) AS t FROM documents) WHERE lower(t) NOT IN ({STOPS}) GROUP BY 1"
+
+#: key -> (query, SQL); None where SQL does not express the operator.
+CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "search_topk": (top(corpus, q="that from", lang="en"), scored(PAIR, "lang = 'en' AND m_a + m_b >= 1", TOP10)),
+    "search_or": (matches(corpus, q="that from"), scored(PAIR, "m_a + m_b >= 1", "")),
+    "search_and": (matches(corpus, q="that from", op="AND"), scored(PAIR, "m_a + m_b = 2", "")),
+    "search_not": (matches(corpus, q="that -from"), f"SELECT id, score FROM ({scored({'a': is_('that'), 'b': is_('from')}, 'm_a = 1 AND m_b = 0', '')})"),
+    "search_mm_pct": (matches(corpus, q="that from this are", mm="75%"), scored(FOUR, "m_a + m_b + m_c + m_d >= 3", "")),
+    "search_mm_conditional": (matches(corpus, q="that from this", mm="2<75%"), scored(TRIO, "m_a + m_b + m_c >= 2", "")),
+    "search_phrase": (matches(corpus, q="that from", phrase=True), pairs_sql("0")),
+    "search_proximity": (matches(corpus, q="that from", proximity="5"), pairs_sql("5")),
+    "search_exact_terms": (matches(corpus, q="that from", exact=True), scored(PAIR, "m_a + m_b >= 1", "")),
+    "search_fuzzy1": (
+        matches(corpus, q="that", fuzzy="1"),
+        scored({"a": "damerau_levenshtein(t, 'that') <= 1"}, "m_a = 1", "", "sum(greatest(0, 1.0 - levenshtein(t, 'that') / greatest(length(t), 4)))::DOUBLE"),
+    ),
+    "search_prefix": (matches(corpus, q="thatn*"), scored({"a": "starts_with(t, 'thatn')"}, "m_a = 1", "")),
+    "search_wildcard": (matches(corpus, q="th?t"), scored({"a": "regexp_full_match(t, 'th.t')"}, "m_a = 1", "")),
+    "search_regex": (matches(corpus, q="/tha[nt]/"), scored({"a": "regexp_full_match(t, 'tha[nt]')"}, "m_a = 1", "")),
+    "search_constant": (matches(corpus, q="that^=2 from^3"), scored(PAIR, "m_a + m_b >= 1", "").replace("CASE WHEN tf_a.f > 0 THEN ln", "CASE WHEN tf_a.f > 0 THEN 2 + 0 * ln").replace("CASE WHEN tf_b.f > 0 THEN ln", "CASE WHEN tf_b.f > 0 THEN 3 * ln")),
+    "match_all_page": (listed(corpus, page=2, rows=20), "SELECT doc_id::VARCHAR AS id FROM documents ORDER BY doc_id::VARCHAR LIMIT 20 OFFSET 20"),
+    "search_boost_recency": (boosted, "SELECT o_orderkey::VARCHAR AS id, round(1 + 1 / (0.001 * date_diff('day', o_orderdate::DATE, DATE '2000-01-01') + 1), 6) AS score FROM orders ORDER BY 1 / (0.001 * date_diff('day', o_orderdate::DATE, DATE '2000-01-01') + 1) DESC, o_orderkey::VARCHAR LIMIT 20"),
+    "search_multifield": (top(web, q="that the from"), None),
+    "filter_lang": (matches(corpus, lang="fr"), "SELECT doc_id::VARCHAR AS id, 1.0 AS score FROM documents WHERE lang = 'fr'"),
+    "filter_source_in": (matches(corpus, repository=("src1", "src2")), "SELECT doc_id::VARCHAR AS id, 1.0 AS score FROM documents WHERE source IN ('src1', 'src2')"),
+    "filter_date_range": (
+        matches(orders, date_from="1995-01-01", date_to="1995-03-31"),
+        "SELECT o_orderkey::VARCHAR AS id, 1.0 AS score FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-03-31 23:59:59'",
+    ),
+    "filter_date_open": (matches(orders, date_from="1998-01-01"), "SELECT o_orderkey::VARCHAR AS id, 1.0 AS score FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'"),
+    "filter_raw_expr": (
+        matches(parts, fq="size_i:[10 TO 20} AND -repository:Brand#1* AND (price_d:[1000 TO *] OR size_i:15)"),
+        "SELECT p_partkey::VARCHAR AS id, 1.0 AS score FROM part WHERE p_size >= 10 AND p_size < 20 AND p_brand NOT LIKE 'Brand#1%' AND (p_retailprice >= 1000 OR p_size = 15)",
+    ),
+    "facet_source": (facet(corpus, q="that"), f"WITH {TOKENS} SELECT facet, value, n FROM (SELECT 'repository' AS facet, source AS value, count(*) AS n FROM lens WHERE id IN (SELECT id FROM words WHERE t = 'that') AND source IS NOT NULL GROUP BY ALL) {FACET_TAIL}"),
+    "facet_multiselect": (
+        facet(orders, repository=("F",), file_type=("1-URGENT", "5-LOW")),
+        f"SELECT facet, value, n FROM (SELECT 'repository' AS facet, o_orderstatus AS value, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL UNION ALL SELECT 'file_type', o_orderpriority, count(*) FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL) {FACET_TAIL}",
+    ),
+    "facet_part": (facet(parts), f"SELECT facet, value, n FROM (SELECT 'repository' AS facet, p_brand AS value, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT 'file_type', p_type, count(*) FROM part GROUP BY ALL) WHERE value IS NOT NULL {FACET_TAIL}"),
+    "group_topn": (
+        groups(corpus, q="that", group_by="repository", rows=5),
+        f"""WITH hits AS (SELECT h.id, h.score, d.source FROM ({scored({'a': is_('that')}, 'm_a = 1', '').replace('round(s, 6) AS score', 's AS score')}) h JOIN documents d ON d.doc_id::VARCHAR = h.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY source) AS c FROM hits),
+page AS (SELECT source FROM ranked WHERE r = 1 ORDER BY score DESC, id LIMIT 5)
+SELECT source AS key, c AS count, greatest(c - 10, 0) AS overflow, r::INT AS rank, id, round(score, 6) AS score FROM ranked WHERE r <= 10 AND source IN (SELECT source FROM page)""",
+    ),
+    "group_counts": (group_counts, f"WITH {TOKENS} SELECT source AS repository, count(*) AS n FROM lens WHERE id IN (SELECT id FROM words WHERE t = 'that') GROUP BY ALL"),
+    "group_ngroups": (group_ngroups, "SELECT count(DISTINCT conv_id) AS num_found, count(*) AS matches FROM conversations"),
+    "sort_date_desc": (listed(orders, sort="last_modified desc", rows=50), "SELECT o_orderkey::VARCHAR AS id FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey::VARCHAR LIMIT 50"),
+    "sort_title_asc": (listed(parts, sort="title asc", rows=50), "SELECT p_partkey::VARCHAR AS id FROM part ORDER BY p_name ASC NULLS LAST, p_partkey::VARCHAR LIMIT 50"),
+    "page_3": (listed(parts, sort="size_i desc, price_d asc", rows=25, page=3), "SELECT p_partkey::VARCHAR AS id FROM part ORDER BY p_size DESC NULLS LAST, p_retailprice ASC NULLS FIRST, p_partkey::VARCHAR LIMIT 25 OFFSET 50"),
+    "page_window": (page_window, f"WITH {TOKENS}, h AS (SELECT ceil(count(DISTINCT id) / 10.0)::BIGINT AS p FROM words WHERE t = 'that') SELECT unnest(range(1, least(p, 5) + 1)) AS page FROM h"),
+    "analyze_general": (analyze(analysis.general, "text", "documents", "doc_id"), GENERAL),
+    "analyze_fold": (
+        analyze(lambda c: analysis.ocr(c), "text", "documents", "doc_id"),
+        f"WITH w AS (SELECT lower(unnest(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}ー]+'), lambda x: x <> ''))) AS t FROM documents), both_ AS (SELECT unnest(list_distinct([t, translate(t, '{analysis.ACCENTED}', '{analysis.PLAIN}')])) AS term FROM w) SELECT term, count(*) AS n FROM both_ WHERE term NOT IN ({STOPS}) GROUP BY 1",
+    ),
+    "analyze_code": (analyze(analysis.code, "p_name", "part", "p_partkey"), None),
+    "analyze_synonym": (matches(corpus, q="charge that"), scored({"a": "t IN ('payment', 'billing', 'charge')", "b": is_("that")}, "m_a + m_b >= 1", "")),
+    "corpus_stats": (corpus_stats, f"WITH {TOKENS} SELECT count(*) AS n_docs, sum(dl)::BIGINT AS n_words, round(avg(dl), 6) AS mean_words FROM lens"),
+    "doc_frequency": (doc_frequency, f"WITH {TOKENS} SELECT t AS term, count(DISTINCT id) AS df, count(*) AS cf FROM words GROUP BY 1"),
+    "highlight_snippets": (snippets, None),
+    "display_title": (titles, None),
+    "repository_href": (links, "SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 2 = 0 AND url <> '' THEN url ELSE 'https://host/repo/dir/file%20' || page_id END AS href FROM pages"),
+    "upsert_latest": (upsert, "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"),
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return CATALOG["search_topk"][0](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: q for k, (q, _) in CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in CATALOG.items() if sql is not None}
