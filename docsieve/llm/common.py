@@ -47,14 +47,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds few rows and few bytes (one row at least)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         start, held = 0, 0
         sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         for k, n in enumerate(sizes):
-            if k > start and (held + n > SLICE_BYTES or k - start >= SLICE_ROWS):
+            if k > start and (held + n > size or k - start >= SLICE_ROWS):
                 yield batch.slice(start, k - start)
                 start, held = k, 0
             held += n
@@ -62,12 +62,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             yield batch.slice(start)
 
 
-def per_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text: str = "text") -> DataFrame:
+def per_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text: str = "text", size: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices; ``make`` runs once a task and returns the function for one slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for part in slices(batches, text):
+        for part in slices(batches, text, size):
             out = step(part)
             if out is not None and out.num_rows:
                 yield out

@@ -21,7 +21,9 @@ from docsieve.llm.lines import FILTER_BITS, has_bits, positions, twice_filter
 
 GRAM = 32
 #: Contexts refined at once; a bucket with more distinct ones is compared window offset by window offset.
-BATCH_ROWS = 24_000
+BATCH_ROWS = 6_000
+#: Bytes of text whose anchors are found at once: some ten arrays of eight bytes a position.
+ANCHOR_BYTES = 1 << 20
 
 
 def shifted(x: np.ndarray, by: int) -> np.ndarray:
@@ -84,7 +86,7 @@ def contexts(named: DataFrame, length: int, bits: int) -> DataFrame:
 
         return step
 
-    held = named.sparkSession.sparkContext.broadcast(twice_filter(per_slice(named, hashes, "h long"), bits))
+    held = named.sparkSession.sparkContext.broadcast(twice_filter(per_slice(named, hashes, "h long", size=ANCHOR_BYTES), bits))
 
     def cut():
         def step(part):
@@ -102,7 +104,7 @@ def contexts(named: DataFrame, length: int, bits: int) -> DataFrame:
 
         return step
 
-    return per_slice(named, cut, "h long, doc_id long, pos long, lead int, bytes binary")
+    return per_slice(named, cut, "h long, doc_id long, pos long, lead int, bytes binary", size=ANCHOR_BYTES)
 
 
 def refine(rows: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
@@ -215,4 +217,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, bits: int = FILTER_BITS)
 
         return step
 
-    return per_slice(joined, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return per_slice(joined, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", size=ANCHOR_BYTES)
