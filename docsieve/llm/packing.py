@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,11 @@ def encoder(vocabulary: str):
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(known) > CACHE_WORDS:
             known.clear()
+        # The vocabulary lower-cases and parts letters from signs; doing both first leaves fewer distinct words. Texts with
+        # special-token marks stay as they are, since those are matched before lower-casing; İ leaves a mark, not a letter.
+        texts = pc.fill_null(texts, "")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        texts = pc.replace_substring_regex(texts, r"([^\PLİ])([.,])([ \n])", r"\1 \2\3")
         words, codes, offsets = word_codes(texts, " \n")
         fresh = [w for w in words if w not in known]
         known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True))
