@@ -18,7 +18,9 @@ from docsieve.llm.common import per_slice, settle, word_codes
 CAPACITY, END_ID = 4096, 2
 #: Tokens of a length class: pieces are packed as if they filled their class, and a sequence has CAPACITY / GRAIN units.
 GRAIN = 8
-MAX_COLUMNS = 4_000
+MAX_COLUMNS = 1_000
+#: A column worth less than this ends the search: the program is then within this factor of its optimum.
+GAP = 1.002
 CACHE_WORDS = 300_000
 
 
@@ -133,7 +135,7 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, units: int) -> list[Pattern]
             inverse = np.linalg.inv(np.array(columns, float).T)
             x = np.maximum(inverse @ demand, 0)
         column = knapsack(sizes, inverse.sum(axis=0), units)
-        if inverse.sum(axis=0) @ column <= 1 + 1e-7:
+        if inverse.sum(axis=0) @ column <= GAP:
             break
         direction = inverse @ column
         ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
