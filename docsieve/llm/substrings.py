@@ -55,19 +55,28 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that are the anchor of a window inside one text, and their hashes. ``ends``: where each text stops."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions that are the anchor of a window inside one text, their hashes, and the anchor hash of the window that
+    starts at each byte (0 where none does). ``ends``: where each text stops."""
     width, top = length - GRAM + 1, np.uint64(2**64 - 1)
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(data), np.uint64)
     limit = np.repeat(ends, np.diff(np.r_[0, ends]))
     place = np.arange(len(data))
-    h = np.minimum(gram_hashes(data), top - np.uint64(1))
+    h = np.clip(gram_hashes(data), np.uint64(1), top - np.uint64(1))
     least = spread(h, width, np.minimum, top)
     least[place + length > limit] = 0  # no window starts here
     most = spread(least[::-1], width, np.maximum, np.uint64(0))[::-1]  # over the windows that hold this q-gram
     at = np.flatnonzero((most == h) & (place + GRAM <= limit))
-    return at, h[at]
+    return at, h[at], least
+
+
+def windows(at: np.ndarray, h: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the windows whose anchor is at ``at``: a lesser hash on a side cuts off the starts beyond,
+    so they are without gaps."""
+    start = at[:, None] - np.arange(width - 1, -1, -1)
+    mine = (least[np.maximum(start, 0)] == h[:, None]) & (start >= 0)
+    return at - (width - 1) + mine.argmax(axis=1), at - mine[:, ::-1].argmax(axis=1)
 
 
 def contents(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +86,7 @@ def contents(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]
 
 def contexts(named: DataFrame, length: int, bits: int) -> DataFrame:
     """(h, doc_id, pos, lead, bytes) of each suspected anchor: the bytes of its windows, ``lead`` of them before it."""
-    around = length - GRAM
+    width = length - GRAM + 1
 
     def hashes():
         def step(part):
@@ -91,13 +100,14 @@ def contexts(named: DataFrame, length: int, bits: int) -> DataFrame:
     def cut():
         def step(part):
             data, ends = contents(part, 1)
-            at, h = anchors(data, ends, length)
+            at, h, least = anchors(data, ends, length)
             a, b = positions(h.view(np.int64), bits)
             keep = has_bits(held.value, a) & has_bits(held.value, b)
             at, h = at[keep], h[keep]
             doc = np.searchsorted(ends, at, side="right")
             first = np.r_[0, ends][doc]
-            lo, hi = np.maximum(at - around, first), np.minimum(at + length, ends[doc])
+            lo, hi = windows(at, h, least, width)
+            hi += length
             raw = data.tobytes()
             pieces = [raw[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
             return pa.record_batch([pa.array(h.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(at - first), pa.array((at - lo).astype(np.int32)), pa.array(pieces, pa.binary())], ["h", "doc_id", "pos", "lead", "bytes"])
