@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.llm import decontamination, lines, packing, simhash, toxicity
+from docsieve.llm.common import settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in a row; each reads what the one before left in the shared folder, since operators pass over their
+    input more than once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, settle(docs) if k else docs, sf_dir)
     return docs
