@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import zlib
+from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -21,19 +24,24 @@ GRAIN = 8
 MAX_COLUMNS = 1_000
 #: A column worth less than this ends the search: the program is then within this factor of its optimum.
 GAP = 1.002
-CACHE_WORDS = 300_000
+#: Words whose ids a worker process keeps; beyond them it forgets all and starts anew.
+CACHE_WORDS = 500_000
+
+
+@lru_cache(maxsize=2)
+def loaded(vocabulary: str):
+    """The tokenizer and the ids (as bytes) of words seen so far, kept by a worker process from task to task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary), {}
 
 
 def encoder(vocabulary: str):
     """A function from an Arrow array of texts to (ids of all texts in a row, offsets by text), END_ID after each text.
 
     The vocabulary drops white space, so words are encoded by themselves, each distinct word once a batch."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer, known = Tokenizer.from_file(vocabulary), {}
+    tokenizer, known = loaded(vocabulary)
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(known) > CACHE_WORDS:
@@ -45,17 +53,21 @@ def encoder(vocabulary: str):
         texts = pc.replace_substring_regex(texts, r"([^\PLİ])([.,])([ \n])", r"\1 \2\3")
         words, codes, offsets = word_codes(texts, " \n")
         fresh = [w for w in words if w not in known]
-        known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True))
-        parts = [known[w] for w in words]
-        flat = np.concatenate([*parts, np.array([END_ID], np.uint32)])
-        sizes = np.array([*map(len, parts), 1], dtype=np.int64)
+        for k in range(0, len(fresh), 20_000):
+            found = [e.ids for e in tokenizer.encode_batch_fast(fresh[k : k + 20_000], add_special_tokens=False)]
+            raw, last = np.fromiter(chain.from_iterable(found), np.uint32).tobytes(), 0
+            for w, ids in zip(fresh[k : k + 20_000], found, strict=True):
+                known[w], last = raw[last : last + 4 * len(ids)], last + 4 * len(ids)
+        parts = [*map(known.__getitem__, words), np.uint32(END_ID).tobytes()]
+        flat = np.frombuffer(b"".join(parts), np.uint32)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         starts = np.cumsum(sizes) - sizes
         # One more code, for END_ID, after the words of each text.
         codes = np.insert(codes.astype(np.int64), offsets[1:], len(words))
         offsets = offsets + np.arange(len(offsets))
         n = sizes[codes]
         ends = np.cumsum(n)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(starts[codes], n)]
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - (ends - n), n)]
         return ids, np.r_[0, ends][offsets]
 
     return encode
