@@ -21,9 +21,10 @@ from docsieve.llm.common import per_slice, settle, word_codes
 CAPACITY, END_ID = 4096, 2
 #: Tokens of a length class: pieces are packed as if they filled their class, and a sequence has CAPACITY / GRAIN units.
 GRAIN = 8
-MAX_COLUMNS = 1_000
-#: A column worth less than this ends the search: the program is then within this factor of its optimum.
-GAP = 1.002
+#: The search for columns ends when the program is within this factor of a lower bound of its optimum, and not before.
+GAP = 1.0001
+#: A column worth at most this does not enter; the basis is inverted anew after so many pivots.
+WORTH, REFRESH = 1 + 1e-7, 2_000
 #: Words whose ids a worker process keeps; beyond them it forgets all and starts anew.
 CACHE_WORDS = 500_000
 
@@ -110,18 +111,24 @@ class Pattern(NamedTuple):
     times: int
 
 
-def knapsack(sizes: np.ndarray, worth: np.ndarray, units: int) -> np.ndarray:
-    """Counts of the most valuable multiset of sizes within ``units``."""
+def knapsack(sizes: np.ndarray, worth: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to ``units``: the worth of the most valuable multiset of the ascending ``sizes`` within it, and
+    the index of a size in that multiset (-1: the room below does as well)."""
     best, last = np.zeros(units + 1), np.full(units + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(units + 1), side="right")
     for c in range(1, units + 1):
         best[c] = best[c - 1]
-        fits = np.searchsorted(sizes, c, side="right")
-        if fits:
-            values = best[c - sizes[:fits]] + worth[:fits]
+        if fits[c]:
+            values = best[c - sizes[: fits[c]]] + worth[: fits[c]]
             k = int(values.argmax())
             if values[k] > best[c] + 1e-12:
                 best[c], last[c] = values[k], k
-    counts, c = np.zeros(len(sizes), np.int64), units
+    return best, last
+
+
+def multiset(sizes: np.ndarray, last: np.ndarray, c: int) -> np.ndarray:
+    """Counts of the multiset that ``knapsack`` found for room ``c``."""
+    counts = np.zeros(len(sizes), np.int64)
     while c > 0:
         if last[c] < 0:
             c -= 1
@@ -131,36 +138,96 @@ def knapsack(sizes: np.ndarray, worth: np.ndarray, units: int) -> np.ndarray:
     return counts
 
 
+def first_columns(sizes: np.ndarray, demand: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
+    """First-fit decreasing in fractions: a column (a row here) and its multiplier for each class, the one it uses up.
+
+    No later column holds a class that is used up, so the columns are a basis."""
+    m, left = len(sizes), demand.astype(float)
+    columns, x, still = np.zeros((m, m)), np.zeros(m), np.ones(m, bool)
+    for _ in range(m):
+        room, counts = units, np.zeros(m)
+        for k in np.flatnonzero(still)[::-1].tolist():
+            counts[k], room = divmod(room, int(sizes[k]))
+        ratio = np.where(counts > 0, left / np.maximum(counts, 1), np.inf)
+        k = int(ratio.argmin())
+        columns[k], x[k], still[k] = counts, ratio[k], False
+        left = np.maximum(left - ratio[k] * counts, 0)
+    return columns, x
+
+
+def product(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """The product without BLAS, whose threads have been seen to wait for ever in a process that has started Spark."""
+    return np.einsum("ij,j->i", matrix, vector)
+
+
+def bring_in(inverse: np.ndarray, direction: np.ndarray, leaves: int) -> None:
+    """The basis takes a column whose coordinates in it are ``direction`` in place of its column ``leaves``."""
+    inverse[leaves] /= direction[leaves]
+    others = np.flatnonzero((direction != 0) & (np.arange(len(direction)) != leaves))
+    inverse[others] -= np.outer(direction[others], inverse[leaves])
+
+
+def inverted(columns: np.ndarray) -> np.ndarray:
+    """The inverse of the basis, column by column in place of unit vectors, each at the largest coordinate still free.
+    Its rows are in the order of the columns."""
+    m = len(columns)
+    inverse, at, free = np.eye(m), np.zeros(m, np.int64), np.ones(m, bool)
+    for k in range(m):
+        direction = product(inverse, columns[k])
+        at[k] = int(np.where(free, np.abs(direction), -1).argmax())
+        free[at[k]] = False
+        bring_in(inverse, direction, int(at[k]))
+    return inverse[at]
+
+
+def program(sizes: np.ndarray, demand: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Columns (rows here) and multipliers that meet ``demand`` within GAP of the fewest sequences in fractions, and the
+    lower bound that shows it: the area, or what a turn's dual values prove.
+
+    Revised simplex from first-fit decreasing. One knapsack a turn prices a best column with each class in it; they enter,
+    best first, as long as they are worth it under the dual values of the moment. Slightly uneven demands avoid ties."""
+    demand = demand * (1 + 1e-7 * np.random.default_rng(0).random(len(sizes)))
+    columns, x = first_columns(sizes, demand, units)
+    inverse, pivots, bound = None, 0, float(sizes @ demand) / units
+    while x.sum() > GAP * bound:
+        inverse = inverted(columns) if inverse is None else inverse
+        dual = inverse.sum(axis=0)
+        best, last = knapsack(sizes, dual, units)
+        bound = max(bound, dual @ demand / best[units])
+        if best[units] <= WORTH:
+            break
+        value = dual + best[units - sizes]
+        found = np.unique([multiset(sizes, last, units - int(sizes[k])) + (np.arange(len(sizes)) == k) for k in np.flatnonzero(value > WORTH)], axis=0).astype(float)
+        for _ in range(len(found)):
+            value = product(found, inverse.sum(axis=0))
+            enters = int(value.argmax())
+            if value[enters] <= WORTH:
+                break
+            direction = product(inverse, found[enters])
+            ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
+            leaves = int(ratio.argmin())
+            if not np.isfinite(ratio[leaves]):
+                raise ArithmeticError("the basis has become singular")
+            x = np.maximum(x - ratio[leaves] * direction, 0)
+            x[leaves] = ratio[leaves]
+            bring_in(inverse, direction, leaves)
+            columns[leaves] = found[enters]
+            pivots += 1
+            if pivots % REFRESH == 0:
+                inverse = inverted(columns)
+                x = np.maximum(product(inverse, demand), 0)
+    return columns.astype(np.int64), x, bound
+
+
 def patterns(sizes: np.ndarray, demand: np.ndarray, units: int) -> list[Pattern]:
     """Few sequences for ``demand`` pieces of each of the ascending ``sizes``.
 
-    The linear program is solved by the revised simplex method; each entering column is priced by the knapsack over the
-    dual values. Multipliers are rounded down, and what is left, under one sequence a column, is packed first-fit
-    decreasing."""
+    The multipliers of the linear program are rounded down, and what is left, under one sequence a column, is packed
+    first-fit decreasing."""
     m = len(sizes)
     if not m:
         return []
-    columns = [np.where(np.arange(m) == k, units // sizes[k], 0) for k in range(m)]
-    inverse, x = np.diag([1 / c[k] for k, c in enumerate(columns)]), np.array([d / c[k] for k, (d, c) in enumerate(zip(demand, columns, strict=True))])
-    for turn in range(MAX_COLUMNS):
-        if turn and turn % 200 == 0:
-            inverse = np.linalg.inv(np.array(columns, float).T)
-            x = np.maximum(inverse @ demand, 0)
-        column = knapsack(sizes, inverse.sum(axis=0), units)
-        if inverse.sum(axis=0) @ column <= GAP:
-            break
-        direction = inverse @ column
-        ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
-        leaves = int(ratio.argmin())
-        if not np.isfinite(ratio[leaves]):
-            break
-        x -= ratio[leaves] * direction
-        x[leaves] = ratio[leaves]
-        x = np.maximum(x, 0)
-        inverse[leaves] /= direction[leaves]
-        others = np.arange(m) != leaves
-        inverse[others] -= np.outer(direction[others], inverse[leaves])
-        columns[leaves] = column
+    columns, x, _ = program(sizes, demand, units)
     left, made = demand.astype(np.int64).copy(), []
     for k in np.argsort(-x, kind="stable"):
         used = columns[k] > 0

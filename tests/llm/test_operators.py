@@ -194,6 +194,14 @@ def test_cutting_stock_is_tight():
     assert packing.patterns(np.array([], int), np.array([], int), 512) == []
 
 
+def test_columns_are_priced_to_the_gap():
+    gen = np.random.default_rng(2)
+    for pieces in (gen.integers(700, 2700, 200_000), np.clip(gen.lognormal(6.8, 0.25, 200_000), 1, 4096)):
+        sizes, demand = np.unique(np.ceil(pieces / 8).astype(int), return_counts=True)
+        made = sum(p.times for p in packing.patterns(sizes, demand, 512))
+        assert made <= 1.0001 * (sizes @ demand) / 512 + len(sizes)  # under one sequence a column is rounded
+
+
 def test_sharding(docs):
     rows = sharding.shard_by_bytes(docs, 5).toPandas().sort_values("doc_id")
     assert len(rows) == len(ROWS) and (rows.shard.diff().dropna() >= 0).all()
