@@ -17,18 +17,23 @@ from docsieve.llm.toxicity import labelled
 SAMPLE_ROWS, DIM, HIDDEN, EPOCHS = 10_000, 48, 24, 400
 #: Entries each index vector has, half of them +1 and half -1; context words that get a learned vector, at most.
 NONZERO, VOCABULARY = 6, 20_000
+#: Runs of a word's form in one unit; longer forms give several units.
+UNIT_RUNS = 12
 SEED = 7
 
 
-def form(word: str) -> str:
-    """A word's form: runs of capitals, small letters and digits become one sign; other characters stay. The context
-    unit of the index, since invented words are mostly unique but their forms are not."""
-    out = []
+def forms(word: str) -> list[str]:
+    """A word's form: runs of capitals, small letters and digits become one sign; other characters stay. It comes in units
+    of at most UNIT_RUNS runs that together cover the whole word, so a text without white space is one word of many units.
+    Units have the contexts of the index, since invented words are mostly unique but their forms are not."""
+    runs = []
     for c in word:
         s = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
-        if not out or out[-1] != s:
-            out.append(s)
-    return "".join(out[:12])
+        if not runs or runs[-1] != s:
+            runs.append(s)
+    if len(runs) <= UNIT_RUNS:
+        return ["".join(runs)]
+    return ["".join(runs[k : k + UNIT_RUNS]) for k in range(0, len(runs), UNIT_RUNS)]
 
 
 def index_vector(unit: str) -> np.ndarray:
@@ -51,7 +56,8 @@ class Model(NamedTuple):
 
 
 class Pooler:
-    """Pools word vectors: the mean over words, the mean over distinct words, and how long and repetitive the text is."""
+    """Pools unit vectors: the mean over all words' units, that over distinct words' units, and how long and repetitive the
+    text is, counted in words."""
 
     def __init__(self, vectors: dict[str, np.ndarray]):
         self.vectors, self.seen = vectors, {}
@@ -70,7 +76,9 @@ class Pooler:
         out = np.zeros((len(n), 2 * DIM + 3), np.float32)
         if not len(codes):
             return out
-        table = np.stack([self.vector(form(w)) for w in words])
+        units = [forms(w) for w in words]
+        table = np.stack([self.vector(u[0]) if len(u) == 1 else sum(map(self.vector, u)) for u in units])
+        held = np.array([len(u) for u in units], np.int64)
         codes = codes.astype(np.int64)
         text = np.repeat(np.arange(len(n)), n)
         pairs, counts = np.unique(text * len(words) + codes, return_counts=True)
@@ -82,8 +90,8 @@ class Pooler:
             np.add.at(out[:, :DIM], text[rows], table[word[rows]] * counts[rows, None])
             np.add.at(out[:, DIM : 2 * DIM], text[rows], table[word[rows]])
         distinct = np.diff(ends)
-        out[:, :DIM] /= np.maximum(1, n)[:, None]
-        out[:, DIM : 2 * DIM] /= np.maximum(1, distinct)[:, None]
+        out[:, :DIM] /= np.maximum(1, sums(held[codes], offsets))[:, None]
+        out[:, DIM : 2 * DIM] /= np.maximum(1, sums(held[word], ends))[:, None]
         lengths = np.array([len(w) for w in words])
         out[:, -3], out[:, -2], out[:, -1] = np.log1p(n), distinct / np.maximum(1, n), sums(lengths[codes], offsets) / np.maximum(1, n)
         return out
@@ -97,7 +105,7 @@ def contexts(sample: DataFrame) -> dict[str, np.ndarray]:
         cached = lru_cache(maxsize=100_000)(index_vector)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                units = [form(w) for w in text.split()]
+                units = [u for w in text.split() for u in forms(w)]
                 if len(units) < 2:
                     continue
                 names = sorted(set(units))

@@ -246,6 +246,17 @@ def test_learned(spark, docs):
     assert classifier.quality(odd, labels.limit(0)).first().score == 0.5
 
 
+def test_long_words_are_pooled_whole():
+    import pyarrow as pa
+
+    head, pool = "a1" * 20, classifier.Pooler({}).pool
+    assert "".join(classifier.forms(head + "Ab-.")) == "x9" * 20 + "Xx-." and classifier.forms("Don't!!") == ["Xx'x!"]
+    same, other = (pool(pa.array([head + tail]))[0] for tail in ("b2-C.,c" * 40, "B!?b.-d" * 40))
+    assert np.abs(same[: 2 * classifier.DIM] - other[: 2 * classifier.DIM]).max() > 0.1
+    vectors = [classifier.index_vector(u) for w in ("ab", "ab", head) for u in classifier.forms(w)]
+    assert np.allclose(pool(pa.array(["ab ab " + head]))[0][: classifier.DIM], np.mean(vectors, axis=0), atol=1e-6)
+
+
 def test_empty_and_odd_tables(spark):
     none = frame(spark, [])
     path = public_tokenizers.path("word_bpe_49k.json")
