@@ -1,11 +1,13 @@
-"""Repeated-substring removal by bucket-pointer refinement over the corpus's suspected repeats.
+"""Repeated-substring removal by hash doubling over the corpus's suspected repeats.
 
 A suffix array of all bytes is never built. Each window of ``length`` bytes is represented by the smallest hash among its
 q-grams (its anchor), so equal windows have equal anchors: about one position in thirty-five. A twice-seen filter over
 anchor hashes leaves the suspected ones; each goes with the bytes that its windows may cover to its bucket, the initial
-q-gram bucket. There the suffixes inside are refined: the identifier of depth 2d is the rank of the pair (identifier of
-depth d here, identifier of depth d at the later offset d), and every refinement reads the identifiers that the last one
-updated, until depth ``length``. Windows of one final bucket are equal byte for byte; all but the earliest are repeats.
+q-gram bucket. A context equal byte for byte to an earlier one of its bucket is a repeat as a whole and goes no further.
+The others are compared by prefix doubling, without sorting: the identifier of depth 2d is a number given by hash to the
+pair (identifier of depth d here, identifier of depth d at the later offset d), for all positions of a batch in each
+round, until depth ``length``. Identifiers are equal for equal bytes but are not ranks. Windows of one final bucket are
+equal byte for byte; all but the earliest are repeats. This stands in for refining buckets one by one by sorting.
 """
 
 from __future__ import annotations
