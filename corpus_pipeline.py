@@ -52,7 +52,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("simhash", drop_near_copies), ("decontamination", drop_leaks), ("packing", pack)]
 
-#: The learned lexicon and the fingerprints are not expressible in SQL; tests/llm hold the stages against brute force.
+#: The learned lexicon and the fingerprints are not expressible in SQL. tests/llm hold the operators against brute force; of
+#: the stages' decisions only those of line dedup, SimHash and decontamination are tested, and no test calls ``run``.
 ORACLE_SQL = None
 
 

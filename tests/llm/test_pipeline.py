@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from docsieve.llm import lines, simhash
+from tests.llm.test_operators import ROWS, low, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +25,16 @@ def test_stages(spark, tmp_path):
         if name == "simhash":
             assert now == {r.component_id for r in simhash.near_groups(before).collect()}
         seen = now
+
+
+def test_leaks_are_dropped(spark, tmp_path):
+    items = [(1, dict(ROWS)[9]), (2, "one"), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def grams(t):
+        w = words(low(t or ""))
+        return {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+
+    want = {i for i, t in ROWS if not any(grams(u) and len(grams(t) & grams(u)) >= 0.8 * len(grams(u)) for _, u in items)}
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in ROWS], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()} == want and len(want) < len(ROWS)
