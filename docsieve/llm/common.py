@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space of every word and line contract: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
@@ -17,13 +18,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows handled at once inside a Python worker; long texts make a slice smaller, see ``slices``.
 SLICE_ROWS, SLICE_BYTES = 4096, 8 << 20
+#: Rows of a few numbers each that are broadcast at most.
+BROADCAST_ROWS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a local one is set only where none is named, as in tests."""
+    """The checkpoint folder the cluster names; one is made only where none is named and all runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docsieve-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -34,6 +39,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(side: DataFrame) -> DataFrame:
+    """``side``, rows of a few numbers, marked for broadcast where they are counted to be few; else the join shuffles."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -62,7 +72,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
             yield batch.slice(start)
 
 
-def per_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, text: str = "text", size: int = SLICE_BYTES) -> DataFrame:
+def per_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, text: str = "text", size: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices; ``make`` runs once a task and returns the function for one slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
