@@ -51,39 +51,50 @@ def unpacked(data: bytes) -> np.ndarray:
     return block
 
 
-def twice_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Packed filter of the keys that ``hashes`` (one column) may hold twice or more.
+def twice_filter(hashes: DataFrame, bits: int, often: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Packed filters of the keys that ``hashes`` may hold twice or more, and of those that one row gives ``often`` times.
 
-    Each task fills a pair of filters and emits the blocks that have bits; blocks are merged apart from each other. Only
-    the finished twice-seen filter, of ``bits`` / 8 bytes at most whatever the input, comes to the driver.
+    The rows are a key, or a key and how many of it a row stands for. Each task fills its filters and emits the blocks that
+    have bits; blocks are merged apart from each other. Only the finished filters, of ``bits`` / 8 bytes at most whatever
+    the input, come to the driver; the second one is empty where ``often`` is 0.
     """
 
     def fill(batches):
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        once, twice, many = (np.zeros(bits // 8, np.uint8) for _ in range(3))
         for batch in batches:
-            for at in positions(batch.column(0).to_numpy(zero_copy_only=False), bits):
-                at, n = np.unique(at, return_counts=True)
-                set_bits(twice, at[has_bits(once, at) | (n > 1)])
+            h, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy() if batch.num_columns > 1 else None
+            for at in positions(h, bits):
+                if often:
+                    set_bits(many, np.unique(at[n >= often]))
+                if n is not None:
+                    at = np.repeat(at, np.minimum(n, 2))
+                at, times = np.unique(at, return_counts=True)
+                set_bits(twice, at[has_bits(once, at) | (times > 1)])
                 set_bits(once, at)
-        blocks = np.flatnonzero(once.reshape(-1, BLOCK_BYTES).any(axis=1))
-        for some in np.array_split(blocks, max(1, len(blocks) // 256)):
-            yield pa.record_batch([pa.array(some), *(pa.array([packed(x[b * BLOCK_BYTES : (b + 1) * BLOCK_BYTES]) for b in some], pa.binary()) for x in (once, twice))], ["block", "once", "twice"])
+        filled = np.flatnonzero(once.reshape(-1, BLOCK_BYTES).any(axis=1))
+        for some in np.array_split(filled, max(1, len(filled) // 256)):
+            yield pa.record_batch([pa.array(some), *(pa.array([packed(x[b * BLOCK_BYTES : (b + 1) * BLOCK_BYTES]) for b in some], pa.binary()) for x in (once, twice, many))], ["block", "once", "twice", "many"])
 
     def merge(key, batches):
-        once, twice = np.zeros(BLOCK_BYTES, np.uint8), np.zeros(BLOCK_BYTES, np.uint8)
+        once, twice, many = (np.zeros(BLOCK_BYTES, np.uint8) for _ in range(3))
         for batch in batches:
-            for o, t in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist(), strict=True):
+            for o, t, m in zip(*(batch.column(x).to_pylist() for x in ("once", "twice", "many")), strict=True):
                 o = unpacked(o)
                 twice |= unpacked(t) | once & o
+                many |= unpacked(m)
                 once |= o
-        yield pa.record_batch([pa.array([key[0].as_py()], pa.int64()), pa.array([packed(twice)] if twice.any() else [None], pa.binary())], ["block", "twice"])
+        if twice.any():
+            yield pa.record_batch([pa.array([key[0].as_py()], pa.int64()), pa.array([packed(twice)], pa.binary()), pa.array([packed(many)], pa.binary())], ["block", "twice", "many"])
 
-    filled = hashes.mapInArrow(fill, "block long, once binary, twice binary")
+    filled = hashes.mapInArrow(fill, "block long, once binary, twice binary, many binary")
     # Blocks are spread over the shuffle partitions and merged one after the other in each.
-    spread = filled.repartition("block").sortWithinPartitions("block").mapInArrow(_by_block(merge), "block long, twice binary")
-    whole = np.zeros(bits // 8, np.uint8)
-    for row in spread.filter("twice is not null").toLocalIterator():
-        whole[row.block * BLOCK_BYTES : (row.block + 1) * BLOCK_BYTES] = unpacked(bytes(row.twice))
+    spread = filled.repartition("block").sortWithinPartitions("block").mapInArrow(_by_block(merge), "block long, twice binary, many binary")
+    whole = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8 if often else 0, np.uint8)
+    for row in spread.toLocalIterator():
+        span = slice(row.block * BLOCK_BYTES, (row.block + 1) * BLOCK_BYTES)
+        whole[0][span] = unpacked(bytes(row.twice))
+        if often:
+            whole[1][span] = unpacked(bytes(row.many))
     return whole
 
 
@@ -108,21 +119,25 @@ def _by_block(merge):
 
 
 def repeated_keys(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
-    """Suspected (key, doc_id) rows, and the confirmed keys with their number of documents and last document."""
-    keys = F.array_distinct(F.filter(F.transform(F.split("text", "\n", -1), line_key), lambda k: F.char_length(k) >= min_chars))
-    lines = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(keys).alias("key"))
+    """Suspected (key, doc_id, text_hash, line) rows, and the confirmed keys with their number of documents and last one."""
+    named = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keys = F.transform(F.split("text", "\n", -1), line_key)
+    long = lambda k: F.char_length(k) >= min_chars
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(twice_filter(lines.select(F.xxhash64("key")), bits))
+    once = named.select(F.explode(F.array_distinct(F.filter(keys, long))).alias("key"))
+    held = spark.sparkContext.broadcast(twice_filter(once.select(F.xxhash64("key")), bits)[0])
 
     @F.pandas_udf("boolean")
     def suspected(hashes: pd.Series) -> pd.Series:
         a, b = positions(hashes.to_numpy(), bits)
         return pd.Series(has_bits(held.value, a) & has_bits(held.value, b))
 
+    lines = named.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(keys).alias("line", "key")).filter(long(F.col("key")))
     suspects = settle(lines.filter(suspected(F.xxhash64("key"))))
     # One row for each key, document and task; a line held by a third of the documents is counted in each task first.
     confirmed = suspects.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-    return suspects, confirmed.filter(F.col("n_docs") >= min_docs)
+    # Written, so that the join with it is one of two plain exchanges: a key of very many lines is then split as skewed.
+    return suspects, settle(confirmed.filter(F.col("n_docs") >= min_docs))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = FILTER_BITS) -> DataFrame:
@@ -131,16 +146,19 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: i
     A line's key is the line stripped of white space with A-Z lower-cased. Keys of ``min_chars`` code points or more in
     ``min_docs`` documents or more stay only in the largest doc_id that holds them. A null or empty text is one empty
     line; a null doc_id neither counts nor loses lines; rows of one doc_id are one document. An empty table gives an
-    empty result. Own columns are added under names that replace equal ones in ``docs``.
+    empty result. The three new columns replace those of ``docs`` that have their names.
+
+    Texts are dealt out once, by doc_id; beside them stand the numbers of a document's lost lines, four bytes for each line
+    of ``min_chars`` or more, so the hashed side is at most a fifth of the texts.
     """
     suspects, confirmed = repeated_keys(docs, min_docs, min_chars, bits)
-    lost = (
-        suspects.join(confirmed, "key").filter(F.col("doc_id") < F.col("last_doc")).select(F.col("doc_id").alias("__doc"), "key").groupBy("__doc").agg(F.collect_set("key").alias("__lost"))
-    )
-    # The small side is hashed, so the texts are dealt out but not sorted.
-    joined = docs.join(lost.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    out = joined.withColumn("n_lines", F.size(lines).cast("long"))
-    kept = F.when(F.col("__lost").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__lost"), line_key(x))))
-    out = out.withColumn("__kept", kept)
-    return out.withColumn("kept_text", F.array_join("__kept", "\n")).withColumn("n_dropped", F.col("n_lines") - F.size("__kept")).drop("__kept", "__lost")
+    lost = suspects.join(confirmed, "key").filter(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
+    # All columns travel in one struct, so no name of theirs can clash.
+    row = docs.select(F.struct("*").alias("row"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    same = (F.col("row.doc_id").cast("long") == F.col("doc_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("text_hash"))
+    found = row.join(lost.hint("shuffle_hash"), same, "left").select("row", "gone", F.split(text, "\n", -1).alias("lines"))
+    # array_except is one hash lookup a line; numbers of lines do not repeat.
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n"))
+    return found.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")), kept.alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
