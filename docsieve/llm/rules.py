@@ -151,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[l
     """Rules for ``labels.quality`` = 0, from at most ``rows`` labelled documents; no labels, no rules."""
     from docsieve.llm.toxicity import labelled
 
-    sample = features(labelled(docs, labels, "quality", rows), "label").orderBy(F.xxhash64(*COUNTS)).toPandas()
+    sample = features(labelled(docs, labels, "quality", rows), "label").orderBy(F.xxhash64(*COUNTS), *COUNTS, "label").toPandas()
     if not len(sample):
         return []
     table = {"n_words": sample["n_words"].to_numpy(float)}

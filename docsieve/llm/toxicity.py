@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from docsieve.llm.common import held_out, per_slice
+from docsieve.llm.common import held_out, per_slice, settle
 
 #: Letters that look like Latin ones, and digits or signs that stand for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏвкмнтαεορνικτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhlbkmhtaeopviktuabezhikmnoptyx", strict=True))
@@ -19,7 +22,8 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "stupid mistake of mine", "pond scum")
 #: Labelled documents that the lexicon is learned from, at most.
 SAMPLE_ROWS = 20_000
-MIN_SHARE, MIN_ODDS, MAX_WORDS = 0.02, 3.0, 20_000
+#: An entry is in so many toxic documents and has so high a log odds at least; lexicon entries at most, the most frequent.
+MIN_BAD, MIN_ODDS, MAX_WORDS = 3, 3.0, 20_000
 #: Lengths of the stems that the lexicon may hold besides whole words; a stem is marked by a final "~".
 STEMS = range(4, 9)
 EDGE = ".,;:!?\"'()[]{}|*#%&<>-_/\\"
@@ -85,21 +89,23 @@ def matcher(model: Model):
             start = end - n + 1
             if (start == 0 or not text[start - 1].isalnum()) and (not whole or end + 1 == len(text) or not text[end + 1].isalnum()):
                 (hits if weight is not None else spared).append((start, end, weight))
-        hits = [(a, b, w) for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in spared)]
+        if spared:  # in the order of their ends: of those that end at b or later, the earliest start decides
+            ends, starts = [y for _, y, _ in spared], [*accumulate((x for x, _, _ in reversed(spared)), min)][::-1]
+            hits = [(a, b, w) for a, b, w in hits if (k := bisect_left(ends, b)) == len(ends) or starts[k] > a]
         return sum(w for _, _, w in hits) / np.log2(8 + text.count(" ") + text.count("\n")), len(hits)
 
     return measure
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled training documents (text, label), chosen by a hash of the id; the sample is small
-    enough to be broadcast whatever the size of ``docs``."""
+    """At most ``rows`` labelled training documents (text, label), chosen by a hash of the id and written once: the ids are
+    small enough to be broadcast whatever the size of ``docs``, and later passes read the sample alone."""
     chosen = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
         .orderBy(F.xxhash64("__id"), "__id").limit(rows)
     )
-    return docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id").select("text", "label")
+    return settle(docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id").select("text", "label"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
@@ -118,13 +124,17 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, exception
         words = [*counts[0].keys() | counts[1].keys()]
         yield pa.record_batch([pa.array(words, pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], ["word", "bad", "good"])
 
-    counts = sample.mapInArrow(tally, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = settle(sample.mapInArrow(tally, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     total = counts.filter("word = ''").first()
     if total is None or not total.bad or not total.good:
         share = 0.0 if total is None else total.bad / max(1, total.bad + total.good)
         return Model({}, exceptions, float(np.log((share + 1e-3) / (1 - share + 1e-3))), 0.0)
     odds = F.log((F.col("bad") + 0.5) / (total.bad + 1)) - F.log((F.col("good") + 0.5) / (total.good + 1))
-    top = counts.filter(F.col("word") != "").withColumn("odds", odds).filter((F.col("odds") >= MIN_ODDS) & (F.col("bad") >= max(3, MIN_SHARE * total.bad))).orderBy(F.desc("bad"), "word").limit(MAX_WORDS)
+    # Likelihood ratio against the share of toxic documents; twice the log of the number of entries tested as the bound.
+    share, n = total.bad / (total.bad + total.good), F.col("bad") + F.col("good")
+    gain = 2 * (F.col("bad") * F.log(F.col("bad") / (n * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - share)))).otherwise(0))
+    likely = counts.filter((F.col("word") != "") & (F.col("bad") >= MIN_BAD)).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
+    top = likely.filter(gain >= 2 * float(np.log(max(2, counts.count())))).orderBy(F.desc("bad"), "word").limit(MAX_WORDS)
     model = Model(choose(top.collect()), exceptions, 0.0, 1.0)
 
     def points(batches):
@@ -137,20 +147,23 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, exception
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> dict[str, float]:
-    """Bias and slope by Newton steps."""
-    design, w = np.c_[np.ones(len(x)), x], np.zeros(2)
+    """Bias and slope by Newton steps; sums alone, since BLAS threads have been seen to hang beside a running JVM."""
+    bias = slope = 0.0
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        slope = design.T @ (y - p) - ridge * w
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + ridge * np.eye(2), slope)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(bias + slope * x, -30, 30)))
+        w = p * (1 - p)
+        g, h = (y - p).sum() - ridge * bias, ((y - p) * x).sum() - ridge * slope
+        a, b, c = w.sum() + ridge, (w * x).sum(), (w * x * x).sum() + ridge
+        steps = np.array([c * g - b * h, a * h - b * g]) / (a * c - b * b)
+        bias, slope = (np.array([bias, slope]) + np.clip(steps, -5, 5)).tolist()
+        if np.abs(steps).max() < 1e-8:
             break
-    return {"bias": float(w[0]), "slope": float(w[1])}
+    return {"bias": bias, "slope": slope}
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1), n_matches of each row; a null text scores as an empty one. One pass, no shuffle."""
+def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``carry`` as they are, score (0 to 1) and n_matches of each row; a null text scores as an empty
+    one. One pass, no shuffle."""
 
     def make():
         measure = matcher(model)
@@ -158,12 +171,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             found = [measure(x or "") for x in part.column(1).to_pylist()]
             z = np.clip(model.bias + model.slope * np.array([x for x, _ in found]), -30, 30)
-            return pa.record_batch([part.column(0), pa.array(1 / (1 + np.exp(-z))), pa.array([n for _, n in found], pa.int64())], ["doc_id", "score", "n_matches"])
+            return pa.record_batch([part.column(0), *part.columns[2:], pa.array(1 / (1 + np.exp(-z))), pa.array([n for _, n in found], pa.int64())], out.fieldNames())
 
         return step
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return per_slice(kept, make, "doc_id long, score double, n_matches long")
+    others = [f for f in docs.schema.fields if f.name in carry]
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("__text"), *(F.col(f"`{f.name}`") for f in others))
+    out = StructType([kept.schema["doc_id"], *others, StructField("score", DoubleType()), StructField("n_matches", LongType())])
+    return per_slice(kept, make, out, text="__text")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
