@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+import re
+from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -10,39 +13,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import held_out, per_slice, sums, word_codes
+from docsieve.llm.common import held_out, per_slice, settle, word_codes
 from docsieve.llm.toxicity import labelled
 
 #: Labelled documents that vectors and network are fitted on, at most; sizes of the vectors and of the hidden layer.
 SAMPLE_ROWS, DIM, HIDDEN, EPOCHS = 10_000, 48, 24, 400
-#: Entries each index vector has, half of them +1 and half -1; context words that get a learned vector, at most.
-NONZERO, VOCABULARY = 6, 20_000
+#: Entries each index vector has, half of them +1 and half -1; words, and forms, that get a learned vector, at most.
+NONZERO, VOCABULARY, MIN_TEXTS = 6, 20_000, 5
+#: Distinct words whose vectors a task keeps; beyond them it forgets all and starts anew.
+KEPT_WORDS = 100_000
 #: Runs of a word's form in one unit; longer forms give several units.
 UNIT_RUNS = 12
+#: What marks a form among the learned vectors; no word holds a space.
+FORM = " "
 SEED = 7
 
 
+class Signs(dict):
+    """What stands for a character in a form, found once for each."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = sign = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+        return sign
+
+
+SIGNS, RUN = Signs(), re.compile(r"(.)\1+", re.DOTALL)
+
+
 def forms(word: str) -> list[str]:
     """A word's form: runs of capitals, small letters and digits become one sign; other characters stay. It comes in units
     of at most UNIT_RUNS runs that together cover the whole word, so a text without white space is one word of many units.
-    Units have the contexts of the index, since invented words are mostly unique but their forms are not."""
-    runs = []
-    for c in word:
-        s = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
-        if not runs or runs[-1] != s:
-            runs.append(s)
-    if len(runs) <= UNIT_RUNS:
-        return ["".join(runs)]
-    return ["".join(runs[k : k + UNIT_RUNS]) for k in range(0, len(runs), UNIT_RUNS)]
+    Forms are units beside the words, with vectors of their own: a word that the vocabulary lacks still has a form."""
+    runs = RUN.sub(r"\1", word.translate(SIGNS))
+    return [runs] if len(runs) <= UNIT_RUNS else [runs[k : k + UNIT_RUNS] for k in range(0, len(runs), UNIT_RUNS)]
 
 
 def index_vector(unit: str) -> np.ndarray:
     """The sparse ternary vector that stands for ``unit`` on every machine."""
-    import xxhash
-
-    rng = np.random.default_rng(xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), SEED))
+    from xxhash import xxh64_intdigest
+
+    raw, at, seed = unit.encode("utf-8", "surrogatepass"), [], SEED
+    h = xxh64_intdigest(raw, seed)
+    while len(at) < NONZERO:
+        if h < DIM:
+            seed += 1
+            h = xxh64_intdigest(raw, seed)
+        h, k = divmod(h, DIM)
+        if k not in at:
+            at.append(k)
     vector = np.zeros(DIM, np.float32)
-    at = rng.choice(DIM, NONZERO, replace=False)
     vector[at[: NONZERO // 2]], vector[at[NONZERO // 2 :]] = 1, -1
     return vector
 
@@ -56,75 +76,121 @@ class Model(NamedTuple):
 
 
 class Pooler:
-    """Pools unit vectors: the mean over all words' units, that over distinct words' units, and how long and repetitive the
-    text is, counted in words."""
+    """Pools vectors of a text: the mean over its words, the means over the forms of its words and of its distinct words,
+    and how long and repetitive it is."""
+
+    #: Columns of a word's row: its own vector, the sum of its forms' vectors, number of forms, code points.
+    WIDTH = 2 * DIM + 2
 
     def __init__(self, vectors: dict[str, np.ndarray]):
-        self.vectors, self.seen = vectors, {}
-
-    def vector(self, unit: str) -> np.ndarray:
-        if (v := self.seen.get(unit)) is None:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            learned = self.vectors.get(unit)
-            v = self.seen[unit] = index_vector(unit) if learned is None else index_vector(unit) + learned
+        self.vectors, self.units, self.words, self.rows, self.table = vectors, {}, {}, {}, np.zeros((1024, self.WIDTH), np.float32)
+
+    def form(self, unit: str) -> np.ndarray:
+        if (v := self.units.get(unit)) is None:
+            if len(self.units) > KEPT_WORDS:
+                self.units.clear()
+            learned = self.vectors.get(FORM + unit)
+            v = self.units[unit] = index_vector(FORM + unit) if learned is None else index_vector(FORM + unit) + learned
         return v
 
+    def number(self, word: str) -> int:
+        """Where the row of this word is in the table; words outside the vocabulary share one by form and length."""
+        units = forms(word)
+        own = self.vectors.get(word)
+        key = word if own is not None else (len(word), *units)
+        if (k := self.rows.get(key)) is None:
+            if len(self.rows) == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            k = self.rows[key] = len(self.rows)
+            self.table[k, :DIM] = 0 if own is None else own
+            self.table[k, DIM : 2 * DIM] = sum(map(self.form, units))
+            self.table[k, 2 * DIM :] = len(units), len(word)
+        return k
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
+            self.rows.clear()
+        for w in words:
+            if w not in self.words:
+                self.words[w] = self.number(w)
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+
     def pool(self, texts: pa.Array) -> np.ndarray:
         words, codes, offsets = word_codes(texts)
         n = np.diff(offsets)
-        out = np.zeros((len(n), 2 * DIM + 3), np.float32)
+        sums, once = np.zeros((len(n), self.WIDTH)), np.zeros((len(n), self.WIDTH))
         if not len(codes):
-            return out
-        units = [forms(w) for w in words]
-        table = np.stack([self.vector(u[0]) if len(u) == 1 else sum(map(self.vector, u)) for u in units])
-        held = np.array([len(u) for u in units], np.int64)
-        codes = codes.astype(np.int64)
-        text = np.repeat(np.arange(len(n)), n)
-        pairs, counts = np.unique(text * len(words) + codes, return_counts=True)
-        text, word = pairs // len(words), pairs % len(words)
-        ends = np.r_[0, np.cumsum(np.bincount(text, minlength=len(n)))]
-        some = max(1, (1 << 22) // DIM)
-        for base in range(0, len(pairs), some):  # a text cut by a block is summed over both parts
-            rows = slice(base, base + some)
-            np.add.at(out[:, :DIM], text[rows], table[word[rows]] * counts[rows, None])
-            np.add.at(out[:, DIM : 2 * DIM], text[rows], table[word[rows]])
-        distinct = np.diff(ends)
-        out[:, :DIM] /= np.maximum(1, sums(held[codes], offsets))[:, None]
-        out[:, DIM : 2 * DIM] /= np.maximum(1, sums(held[word], ends))[:, None]
-        lengths = np.array([len(w) for w in words])
-        out[:, -3], out[:, -2], out[:, -1] = np.log1p(n), distinct / np.maximum(1, n), sums(lengths[codes], offsets) / np.maximum(1, n)
-        return out
+            return np.zeros((len(n), 3 * DIM + 3))
+        at = self.numbers(words)
+        pairs, counts = np.unique(np.repeat(np.arange(len(n)), n) * len(words) + codes.astype(np.int64), return_counts=True)
+        text, row = pairs // len(words), at[pairs % len(words)]
+        for base in range(0, len(pairs), 1 << 15):  # a text cut by a block is summed over both parts
+            some = slice(base, base + (1 << 15))
+            held, heads = self.table[row[some]], np.flatnonzero(np.r_[True, np.diff(text[some]) > 0])
+            mine = text[some][heads]
+            once[mine] += np.add.reduceat(held, heads, axis=0)
+            sums[mine] += np.add.reduceat(held * counts[some, None], heads, axis=0)
+        distinct = np.bincount(text, minlength=len(n))
+        total, units, each = np.maximum(1, n)[:, None], np.maximum(1, sums[:, 2 * DIM : 2 * DIM + 1]), np.maximum(1, once[:, 2 * DIM : 2 * DIM + 1])
+        shape = np.c_[np.log1p(n), distinct / total[:, 0], sums[:, -1] / total[:, 0]]
+        # Rounded, so that how texts are cut into slices does not show in a score.
+        return np.round(np.c_[sums[:, :DIM] / total, sums[:, DIM : 2 * DIM] / units, once[:, DIM : 2 * DIM] / each, shape], 6)
+
+
+def vocabulary(sample: DataFrame) -> list[str]:
+    """The VOCABULARY words that are in most texts of the sample, of those in MIN_TEXTS or more."""
+
+    def tally(batches):
+        held = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.update(set(text.split()))
+        yield pa.record_batch([pa.array([*held], pa.string()), pa.array([*held.values()], pa.int64())], ["word", "n"])
+
+    counts = sample.select("text").mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counts.filter(F.col("n") >= MIN_TEXTS).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
 
 
 def contexts(sample: DataFrame) -> dict[str, np.ndarray]:
-    """Random indexing: a unit's vector is the mean index vector of its neighbours, summed over the sample."""
+    """Random indexing: the vector of a word of the vocabulary, and of a form (marked by FORM), is the mean index vector of
+    its neighbours in the sample; a neighbour outside the vocabulary counts as its form. Sums are of whole numbers, so
+    their order does not matter."""
+    words = sample.sparkSession.sparkContext.broadcast(frozenset(vocabulary(sample)))
 
     def gather(batches):
-        held: dict[str, np.ndarray] = {}
-        cached = lru_cache(maxsize=100_000)(index_vector)
+        known, held = words.value, {}
+        cached = lru_cache(maxsize=KEPT_WORDS)(index_vector)
+
+        def flush():
+            return pa.record_batch([pa.array([*held], pa.string()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], ["unit", "v"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                units = [u for w in text.split() for u in forms(w)]
-                if len(units) < 2:
-                    continue
-                names = sorted(set(units))
-                code = {u: k for k, u in enumerate(names)}
-                vectors = np.stack([cached(u) for u in names])
-                at = np.array([code[u] for u in units], dtype=np.int64)
-                near = np.zeros((len(names), DIM + 1))
-                for a, b in ((at[:-1], at[1:]), (at[1:], at[:-1])):
-                    order = np.argsort(a, kind="stable")
-                    heads = np.flatnonzero(np.r_[True, np.diff(a[order]) > 0])
-                    near[a[order][heads], :DIM] += np.add.reduceat(vectors[b[order]], heads, axis=0)
-                    near[:, DIM] += np.bincount(a, minlength=len(names))
-                for u, v in zip(names, near, strict=True):
-                    held[u] = held[u] + v if u in held else v
-        yield pa.record_batch([pa.array([*held], pa.string()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], ["unit", "v"])
+                plain = [[FORM + u for u in forms(w)] for w in text.split()]
+                for units in ([u for w, own in zip(text.split(), plain, strict=True) for u in ([w] if w in known else own)], [u for own in plain for u in own]):
+                    if len(units) < 2:
+                        continue
+                    names = sorted(set(units))
+                    code = {u: k for k, u in enumerate(names)}
+                    vectors = np.stack([cached(u) for u in names])
+                    at = np.array([code[u] for u in units], dtype=np.int64)
+                    near = np.zeros((len(names), DIM + 1))
+                    for a, b in ((at[:-1], at[1:]), (at[1:], at[:-1])):
+                        order = np.argsort(a, kind="stable")
+                        heads = np.flatnonzero(np.r_[True, np.diff(a[order]) > 0])
+                        near[a[order][heads], :DIM] += np.add.reduceat(vectors[b[order]], heads, axis=0)
+                        near[:, DIM] += np.bincount(a, minlength=len(names))
+                    for u, v in zip(names, near, strict=True):
+                        held[u] = held[u] + v if u in held else v
+            if len(held) > KEPT_WORDS:
+                yield flush()
+                held.clear()
+        yield flush()
 
     found = sample.select("text").mapInArrow(gather, "unit string, v array<double>")
-    total = found.groupBy("unit").agg(F.array(*(F.sum(F.col("v")[k]) for k in range(DIM + 1))).alias("v"))
-    rows = total.orderBy(F.desc(F.col("v")[DIM]), "unit").limit(VOCABULARY).collect()
+    total = settle(found.groupBy("unit").agg(F.array(*(F.sum(F.col("v")[k]) for k in range(DIM + 1))).alias("v")))
+    rows = [r for form in (False, True) for r in total.filter(F.startswith("unit", F.lit(FORM)) == form).orderBy(F.desc(F.col("v")[DIM]), "unit").limit(VOCABULARY).collect()]
     return {r.unit: (np.array(r.v[:DIM]) / max(1.0, r.v[DIM])).astype(np.float32) for r in rows}
 
 
@@ -155,33 +221,43 @@ def train(x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
-    """None where there are no training labels."""
+    """None where there are no training labels.
+
+    The network is fitted in one task, on at most ``rows`` pooled rows: workers run numpy with one thread, whose library
+    threads have been seen to hang in the driver."""
     sample = labelled(docs, labels, "quality", rows)
     vectors = contexts(sample)
+    held = docs.sparkSession.sparkContext.broadcast(vectors)  # 2 * VOCABULARY vectors at most
 
     def points(batches):
-        pooler = Pooler(vectors)
+        pooler = Pooler(held.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                yield pa.record_batch([pa.array(pooler.pool(part.column(0)).tolist(), pa.list_(pa.float32())), part.column(1).cast(pa.int32())], ["x", "y"])
+                yield pa.record_batch([pa.array(pooler.pool(part.column(0)).tolist(), pa.list_(pa.float64())), part.column(1).cast(pa.int32())], ["x", "y"])
+
+    def fit(batches):
+        x, y = [], []
+        for batch in batches:
+            x += batch.column(0).to_pylist()
+            y += batch.column(1).to_pylist()
+        if not x:
+            return
+        x, y = np.array(x), (np.array(y) > 0).astype(float)
+        order = np.lexsort([*x.T[:3], y])  # the rows' order must not depend on the cluster
+        x, y = x[order], y[order]
+        mean, scale = x.mean(0), x.std(0) + 1e-3
+        yield pa.record_batch([pa.array([pickle.dumps((mean, scale, *train((x - mean) / scale, y)))], pa.binary())], ["fitted"])
 
-    seen = sample.mapInArrow(points, "x array<float>, y int").toPandas()
-    if not len(seen):
-        return None
-    x, y = np.stack(seen["x"].to_numpy()).astype(np.float64), (seen["y"].to_numpy() > 0).astype(float)
-    order = np.lexsort([*x.T[:3], y])  # the rows' order must not depend on the cluster
-    x, y = x[order], y[order]
-    mean, scale = x.mean(0), x.std(0) + 1e-3
-    layers, temperature = train((x - mean) / scale, y)
-    return Model(vectors, mean, scale, layers, temperature)
+    fitted = sample.mapInArrow(points, "x array<double>, y int").coalesce(1).mapInArrow(fit, "fitted binary").first()
+    return None if fitted is None else Model(vectors, *pickle.loads(bytes(fitted.fitted)))  # made by ``fit`` above
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score (probability of quality 1; 0.5 without a model). One pass, no shuffle."""
     if model is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.5).alias("score"))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # VOCABULARY vectors at most
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 2 * VOCABULARY vectors at most
 
     def make():
         model = held.value
