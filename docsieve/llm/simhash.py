@@ -1,6 +1,8 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Anchors are the words of a linear code: the direct sum of one even code on each 32-bit half of a fingerprint. Let r(x) be
+Anchors are the words of a linear code: the direct sum of one even code on each 32-bit half of a fingerprint. The codes
+lie between the Reed-Muller codes of order 1 and order 2, one more quadratic form each, so that the anchors grow with the
+number of fingerprints. Let r(x) be
 x's distance to its nearest anchor, home(x). For x and y that differ in at most d bits with r(x) <= r(y), home(x) lies
 within r(x) + d <= r(y) + d of y. So each fingerprint goes to every anchor within its own covering radius plus d, and a pair
 meets at one of its homes. All anchors have even weight, so the distances of y to anchors have one parity, and for d = 3
@@ -23,6 +25,9 @@ from docsieve.llm.components import components
 SCHEMA = "doc_id long, fp long"
 #: Fingerprints of an anchor's home that one block compares with what the anchor receives.
 BLOCK_HOMES = 20_000
+#: Anchors that a random fingerprint goes to, by quadratic forms in the code of each half (measured), and how many
+#: comparisons moving one copy costs.
+COPIES, COPY_COST = (28, 53, 99, 217, 593, 672, 824, 952, 2183, 1801, 2722), 1_000
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -60,21 +65,26 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
 
 
 @lru_cache(maxsize=4)
-def code_words(order: int) -> np.ndarray:
-    """The Reed-Muller code of length 32 and this order: 64 words for order 1, 65,536 for order 2."""
+def code_words(forms: int) -> np.ndarray:
+    """The even code of length 32 spanned by the Reed-Muller code of order 1 and the first ``forms`` of the ten quadratic
+    forms: 64 words times two for each form."""
     points = np.arange(32, dtype=np.uint64)
-    rows = [np.ones(32, bool)]
-    for degree in range(1, order + 1):
-        rows += [np.logical_and.reduce([points >> np.uint64(v) & np.uint64(1) == 1 for v in some]) for some in combinations(range(5), degree)]
+    bits = [points >> np.uint64(v) & np.uint64(1) == 1 for v in range(5)]
+    rows = [np.ones(32, bool), *bits, *[bits[i] & bits[j] for i, j in combinations(range(5), 2)][:forms]]
     words = np.zeros(1, np.uint32)
     for row in rows:
         words = np.r_[words, words ^ np.uint32(sum(1 << int(p) for p in np.flatnonzero(row)))]
     return words
 
 
-def anchors(fp: np.ndarray, distance: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forms_for(fingerprints: int) -> int:
+    """Quadratic forms in the code of each half for which copies and comparisons together cost least."""
+    return min(range(len(COPIES)), key=lambda forms: COPIES[forms] * (COPY_COST + fingerprints / 4**forms / 4096))
+
+
+def anchors(fp: np.ndarray, distance: int, forms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For fingerprints (uint64): index of the fingerprint, anchor, and whether that is its home (the first nearest)."""
-    code = code_words(order)
+    code = code_words(forms)
     at, to, home = [], [], []
     for base in range(0, len(fp), max(1, (1 << 20) // len(code))):
         some = fp[base : base + max(1, (1 << 20) // len(code))]
@@ -122,14 +132,14 @@ def star(fp: np.ndarray, home: np.ndarray, distance: int) -> tuple[np.ndarray, n
     return signed[order], least
 
 
-def links(distinct: DataFrame, distance: int, order: int, block: int = BLOCK_HOMES) -> DataFrame:
+def links(distinct: DataFrame, distance: int, forms: int, block: int = BLOCK_HOMES) -> DataFrame:
     """(a, b) links between distinct fingerprints (fp) that leave their components as all links within ``distance`` do."""
 
     def deal(batches):
         for batch in batches:
             for base in range(0, batch.num_rows, 4096):
                 fp = batch.column(0).slice(base, 4096).to_numpy().astype(np.int64).view(np.uint64)
-                at, to, home = anchors(fp, distance, order)
+                at, to, home = anchors(fp, distance, forms)
                 yield pa.record_batch([pa.array(to), pa.array(fp[at].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
 
     dealt = distinct.select("fp").mapInArrow(deal, "anchor long, fp long, home boolean")
@@ -171,20 +181,19 @@ def links(distinct: DataFrame, distance: int, order: int, block: int = BLOCK_HOM
     return met.mapInArrow(compare, "a long, b long").filter("a != b")
 
 
-def near_groups(docs: DataFrame, distance: int = 3, shingle: int = 3, order: int | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, distance: int = 3, shingle: int = 3, forms: int | None = None) -> DataFrame:
     """doc_id, fp and component_id of each row: rows are linked where fingerprints differ in ``distance`` bits at most.
 
     component_id is the smallest doc_id reachable. Null, empty and blank texts have fingerprint 0 and are linked like
     others; a null doc_id is linked but is never the smallest (null where a component has no other); repeated rows stay;
     an empty table gives an empty result; other columns are ignored.
 
-    Equal fingerprints are one row before anything is compared. The code has 4,096 anchors up to four million distinct
-    fingerprints and 2**32 above: more anchors mean more copies of each fingerprint but fewer comparisons at each.
+    Equal fingerprints are one row before anything is compared. The result is the same with every code; ``forms`` is chosen
+    by the number of distinct fingerprints (see ``forms_for``): more anchors mean more copies of each but fewer comparisons.
     """
     prints = settle(fingerprints(docs, shingle))
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    order = order or (1 if distinct.count() <= 1 << 22 else 2)
-    roots = components(links(distinct, distance, order))
+    roots = components(links(distinct, distance, forms_for(distinct.count()) if forms is None else forms))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     owner = named.join(smallest, "root").select("fp", "component_id")
