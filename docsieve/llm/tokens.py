@@ -2,12 +2,14 @@
 
 Pre-tokens are held as ragged numpy arrays of symbol ids. A round finds every sequence's lowest-rank pair, merges all its
 occurrences (left to right where they overlap) in every sequence at once, and compacts the arrays; sequences without a
-mergeable pair leave with their number of symbols. Only pre-tokens that a task has not met before are merged.
+mergeable pair leave with their number of symbols. Only pre-tokens that a task has not met before are merged. In a long
+sequence a round touches few places, so its pairs are kept by rank and a round looks at these and their neighbours alone.
 """
 
 from __future__ import annotations
 
 import json
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -22,6 +24,8 @@ from docsieve.llm.common import per_slice, sums, word_codes
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_ENTRIES = 400_000
 CHUNK = 1 << 18
+#: Bytes from which a sequence is merged by itself, with its pairs kept by rank.
+LONG = 2_048
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 
@@ -56,6 +60,13 @@ class RankMerger:
     def count(self, texts: list[bytes]) -> np.ndarray:
         """Number of symbols left of each text."""
         out = np.array([len(x) for x in texts], dtype=np.int64)
+        for k in np.flatnonzero(out >= LONG):
+            out[k] = self.count_long(texts[k])
+        long = {*np.flatnonzero(np.array([len(x) for x in texts], dtype=np.int64) >= LONG).tolist()}
+        if long:
+            rest = np.array([k for k in range(len(texts)) if k not in long], dtype=np.int64)
+            out[rest] = self.count([texts[k] for k in rest])
+            return out
         if not len(out) or not out.sum():
             return out
         symbols = self.bytes[np.frombuffer(b"".join(texts), dtype=np.uint8)]
@@ -82,6 +93,54 @@ class RankMerger:
             out[owner[0]] = len(symbols)
         return out
 
+    def count_long(self, text: bytes) -> int:
+        """The same of one sequence; each round merges its lowest-rank pair everywhere, at a cost of the places it touches."""
+        symbols = self.bytes[np.frombuffer(text, dtype=np.uint8)]
+        n, none = len(symbols), len(self.made)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.append(self.rank(symbols[:-1], symbols[1:]), none)  # of the pair that starts here
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def keep(at: np.ndarray) -> None:
+            at = at[rank[at] < none]
+            order = np.argsort(rank[at], kind="stable")
+            at = at[order]
+            cuts = np.flatnonzero(np.diff(rank[at])) + 1
+            for some in np.split(at, cuts) if len(at) else ():
+                r = int(rank[some[0]])
+                if r in waiting:
+                    waiting[r].append(some)
+                else:
+                    waiting[r] = [some]
+                    heappush(ranks, r)
+
+        keep(np.arange(n))
+        left = n
+        while ranks:
+            r = heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]  # some were taken by a neighbour since
+            if not len(at):
+                continue
+            # In a run of overlapping pairs every second one counts, from the left end.
+            starts = np.r_[True, after[at[:-1]] != at[1:]]
+            turn = np.arange(len(at)) - np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
+            at = at[turn % 2 == 0]
+            gone = after[at]
+            symbols[at], rank[gone] = self.made[r], none
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            left -= len(at)
+            touched = np.unique(np.r_[at, before[at][before[at] >= 0]])
+            end = after[touched] >= n
+            rank[touched[end]] = none
+            touched = touched[~end]
+            rank[touched] = self.rank(symbols[touched], symbols[after[touched]])
+            keep(touched)
+        return left
+
 
 def token_counter(vocabulary: str):
     """A function from an Arrow array of texts to the number of tokens of each.
@@ -145,8 +204,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
     """doc_id, n_bytes, n_tokens and over_limit of each row of ``docs`` (doc_id, text).
 
     A null text counts as empty (0 tokens); a null doc_id is kept; repeated rows are counted each; other columns are
-    ignored. A special token's string inside a text is one token, as the tokenizer library has it by default. One pass,
-    no shuffle.
+    ignored; an empty table gives an empty result. A special token's string inside a text is one token, as the tokenizer
+    library has it by default. One pass, no shuffle.
     """
 
     def make():
