@@ -13,10 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import LOWER, SPACES, UPPER, settle
-
-#: Rows of item sketches that are broadcast at most; beyond it the join shuffles.
-BROADCAST_ROWS = 1 << 20
+from docsieve.llm.common import LOWER, SPACES, UPPER, bounded, settle
 
 
 def words(text: Column) -> Column:
@@ -64,25 +61,25 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8)
     other columns are ignored.
     """
     share = math.ceil(threshold * 1e6)
-    own = items.filter("item_id is not null").select("item_id", F.explode(shingle_texts(words(F.col("text").cast("string")), n)).alias("shingle")).distinct()
-    tokens = items.filter("item_id is not null").select("item_id", words(F.col("text").cast("string")).alias("w"))
-    sets = tokens.select("item_id", F.explode(shingle_hashes(F.col("w"), n)).alias("h")).groupBy("item_id").agg(F.sort_array(F.collect_set("h")).alias("hs"))
+    # One row an item: its shingles, and their hashes.
+    shingled = items.filter("item_id is not null").select("item_id", words(F.col("text").cast("string")).alias("w"))
+    own = shingled.select("item_id", F.explode(shingle_texts(F.col("w"), n)).alias("shingle")).groupBy("item_id").agg(F.collect_set("shingle").alias("own"))
+    sets = shingled.select("item_id", F.explode(shingle_hashes(F.col("w"), n)).alias("h")).groupBy("item_id").agg(F.sort_array(F.collect_set("h")).alias("hs"))
     sized = sets.withColumn("n_item", F.size("hs").cast("long")).withColumn("need", F.expr(f"(n_item * {share} + 999999) div 1000000"))
     # The largest item of the partition that holds n_item.
     top = F.pow(F.lit(2), F.floor(F.log2(F.col("n_item"))) + 1) - 1
     may_miss = F.floor(top - F.ceil(top * (share / 1e6) - 1e-9))
-    sketch = settle(sized.select("item_id", "need", F.explode(F.slice("hs", F.lit(1), (may_miss + 1).cast("int"))).alias("h")))
-    if sketch.count() <= BROADCAST_ROWS:
-        sketch = F.broadcast(sketch)
+    sketch = bounded(settle(sized.select("item_id", "need", F.explode(F.slice("hs", F.lit(1), (may_miss + 1).cast("int"))).alias("h"))))
     named = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashes = named.select("doc_id", shingle_hashes(words(F.col("text")), n).alias("hs"))
     probes = hashes.select("doc_id", F.size("hs").alias("n_doc"), F.explode("hs").alias("h"))
     candidates = settle(probes.join(sketch, "h").filter(F.col("n_doc") >= F.col("need")).select("doc_id", "item_id").distinct())
-    # Verification reads only the candidates' texts; the side of ids is hashed, so texts are dealt out but not sorted.
-    texts = named.join(candidates.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    held = texts.select("doc_id", F.explode(shingle_texts(words(F.col("text")), n)).alias("shingle"))
-    shared = held.join(own, "shingle").select("doc_id", "item_id", "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
-    whole = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
-    found = shared.join(candidates, ["doc_id", "item_id"], "left_semi").join(whole, "item_id")
+    # Only candidates' texts are read again, each beside the items it may hold and no others.
+    texts = named.join(bounded(candidates.groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids"))), "doc_id")
+    held = texts.select("doc_id", F.explode("item_ids").alias("item_id"), shingle_texts(words(F.col("text")), n).alias("held"))
+    pairs = held.join(own, "item_id")
+    shared = pairs.select("doc_id", "item_id", F.size("own").cast("long").alias("n_item"), F.array_intersect("own", "held").alias("both"))
+    # Rows of one doc_id are one document: what they share with the item is united.
+    found = shared.groupBy("doc_id", "item_id", "n_item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("both")))).cast("long").alias("n_shared"))
     enough = F.col("n_shared") * 1_000_000 >= F.col("n_item") * share
     return found.filter(enough).select("doc_id", "item_id", "n_shared", "n_item", F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment"))
