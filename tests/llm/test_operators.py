@@ -26,7 +26,7 @@ def prose(n):
 
 
 def table():
-    long = prose(4000)
+    long = prose(4000) + " onhe. Is" * 90
     passage = prose(60)
     texts = [None, "", " \n\t", "one", "a b", "aaaa" * 80, long, long + " end", long, passage, prose(20) + passage + prose(9), passage + "\n" + passage]
     texts += [prose(rng.randint(3, 120)) for _ in range(30)]
@@ -62,6 +62,7 @@ def test_token_counts(docs):
         t = dict(ROWS)[r.doc_id] or ""
         assert (r.n_bytes, r.n_tokens) == (len(t.encode()), len(tok.encode(t, add_special_tokens=False).ids))
     odd = ["a" * 77, "x<|endoftext|>y  z", "a \n b", " lead", "trail ", "a b", "don't I'll", "\x1c\x85 1²"]
+    odd += ["".join(rng.choice(some) for _ in range(n)) for some in ("ab", "abcdefghijklmnopqrstuvwxyz", "aé漢", "a", " ") for n in (3_000, 50_000)]
     import pyarrow as pa
 
     assert tokens.token_counter(path)(pa.array(odd)).tolist() == [len(tok.encode(t, add_special_tokens=False).ids) for t in odd]
@@ -95,7 +96,8 @@ def test_substrings(docs, monkeypatch):
         return out
 
     want = expected()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(docs, bits=1 << 18).collect()} == want
+    for frequent in (2, 16):  # nearly all anchors cut into blocks of offsets, and nearly none
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(docs, bits=1 << 18, frequent=frequent).collect()} == want
 
 
 def test_crowded_bucket_is_compared_by_offset(monkeypatch):
@@ -107,6 +109,18 @@ def test_crowded_bucket_is_compared_by_offset(monkeypatch):
     assert [x.tolist() for x in substrings.repeats(*args)] == plain and plain[0]
 
 
+def test_windows_of_one_bucket_are_equal():
+    gen = np.random.default_rng(4)
+    text = np.r_[gen.integers(97, 99, 3000), np.tile([97, 98, 99], 300), gen.integers(97, 123, 500)].astype(np.uint8)
+    text = np.r_[text, text[100:900], text[2900:3600], np.zeros(140, np.uint8)].astype(np.uint8)
+    starts = np.sort(gen.choice(len(text) - 240, 4000, replace=False))
+    for block in (1 << 16, 64):
+        substrings.BLOCK, was = block, substrings.BLOCK
+        ids = substrings.window_ids(text, starts, 100)
+        substrings.BLOCK = was
+        assert len(set(ids.tolist())) == len({(i, text[k : k + 100].tobytes()) for i, k in zip(ids.tolist(), starts.tolist(), strict=True)}) == len({text[k : k + 100].tobytes() for k in starts})
+
+
 def test_simhash(spark, docs):
     rows = [*ROWS, (None, "one"), (900, "one")]
     got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_groups(frame(spark, rows)).collect()}
@@ -130,8 +144,8 @@ def test_anchors_meet():
     gen = np.random.default_rng(3)
     x = gen.integers(0, 1 << 63, 200, dtype=np.uint64)
     y = x ^ np.bitwise_or.reduce([np.uint64(1) << gen.integers(0, 64, 200).astype(np.uint64) for _ in range(3)])
-    for order in (1, 2):
-        at, to, home = simhash.anchors(np.r_[x, y], 3, order)
+    for forms in (0, 2, 5, 10):
+        at, to, home = simhash.anchors(np.r_[x, y], 3, forms)
         all_of, home_of = [set() for _ in range(400)], {}
         for i, t, h in zip(at.tolist(), to.tolist(), home.tolist(), strict=True):
             all_of[i].add(t)
@@ -144,8 +158,10 @@ def test_crowded_anchor(spark):
     base = rng.getrandbits(60)
     fps = sorted({base ^ (1 << a) ^ (1 << b) for a in range(30) for b in range(a)} | {base})
     distinct = spark.createDataFrame([(x,) for x in fps], "fp long")
-    edges = simhash.links(distinct, 3, 1, block=50)
-    assert {r.root for r in components.components(edges).collect()} == {min(fps)}
+    for forms, block in ((0, 50), (3, 20_000)):
+        edges = simhash.links(distinct, 3, forms, block=block)
+        assert {r.root for r in components.components(edges).collect()} == {min(fps)}
+    assert [simhash.forms_for(n) for n in (10**6, 2 * 10**7, 10**9, 10**10)] == [0, 1, 5, 7]
 
 
 def test_components(spark):
@@ -251,10 +267,13 @@ def test_long_words_are_pooled_whole():
 
     head, pool = "a1" * 20, classifier.Pooler({}).pool
     assert "".join(classifier.forms(head + "Ab-.")) == "x9" * 20 + "Xx-." and classifier.forms("Don't!!") == ["Xx'x!"]
+    form = slice(classifier.DIM, 2 * classifier.DIM)
     same, other = (pool(pa.array([head + tail]))[0] for tail in ("b2-C.,c" * 40, "B!?b.-d" * 40))
-    assert np.abs(same[: 2 * classifier.DIM] - other[: 2 * classifier.DIM]).max() > 0.1
-    vectors = [classifier.index_vector(u) for w in ("ab", "ab", head) for u in classifier.forms(w)]
-    assert np.allclose(pool(pa.array(["ab ab " + head]))[0][: classifier.DIM], np.mean(vectors, axis=0), atol=1e-6)
+    assert np.abs(same[form] - other[form]).max() > 0.1
+    vectors = [classifier.index_vector(classifier.FORM + u) for w in ("ab", "ab", head) for u in classifier.forms(w)]
+    assert np.allclose(pool(pa.array(["ab ab " + head]))[0][form], np.mean(vectors, axis=0), atol=1e-5)
+    words = {"ab": np.ones(classifier.DIM, np.float32), "cd": np.full(classifier.DIM, 4, np.float32)}
+    assert np.allclose(classifier.Pooler(words).pool(pa.array(["ab ab cd xy", None]))[:, 0], [6 / 4, 0])
 
 
 def test_empty_and_odd_tables(spark):
