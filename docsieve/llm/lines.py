@@ -124,7 +124,8 @@ def repeated_keys(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits:
     keys = F.transform(F.split("text", "\n", -1), line_key)
     long = lambda k: F.char_length(k) >= min_chars
     spark = docs.sparkSession
-    once = named.select(F.explode(F.array_distinct(F.filter(keys, long))).alias("key"))
+    # explode would be given a filter on its array's size, which splits each text once more; the outer form is not.
+    once = named.select(F.explode_outer(F.array_distinct(F.filter(keys, long))).alias("key")).filter("key is not null")
     held = spark.sparkContext.broadcast(twice_filter(once.select(F.xxhash64("key")), bits)[0])
 
     @F.pandas_udf("boolean")
@@ -132,7 +133,9 @@ def repeated_keys(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits:
         a, b = positions(hashes.to_numpy(), bits)
         return pd.Series(has_bits(held.value, a) & has_bits(held.value, b))
 
-    lines = named.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(keys).alias("line", "key")).filter(long(F.col("key")))
+    # The hash is taken below the generator: a text must not travel with each of its lines.
+    hashed = named.select("doc_id", F.xxhash64("text").alias("text_hash"), keys.alias("keys"))
+    lines = hashed.select("doc_id", "text_hash", F.posexplode_outer("keys").alias("line", "key")).filter(long(F.col("key")))
     suspects = settle(lines.filter(suspected(F.xxhash64("key"))))
     # One row for each key, document and task; a line held by a third of the documents is counted in each task first.
     confirmed = suspects.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("last_doc"))
