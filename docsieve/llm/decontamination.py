@@ -71,12 +71,13 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8)
     may_miss = F.floor(top - F.ceil(top * (share / 1e6) - 1e-9))
     sketch = bounded(settle(sized.select("item_id", "need", F.explode(F.slice("hs", F.lit(1), (may_miss + 1).cast("int"))).alias("h"))))
     named = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashes = named.select("doc_id", shingle_hashes(words(F.col("text")), n).alias("hs"))
-    probes = hashes.select("doc_id", F.size("hs").alias("n_doc"), F.explode("hs").alias("h"))
+    hashes = named.select("doc_id", F.coalesce(shingle_hashes(words(F.col("text")), n), F.array().cast("array<bigint>")).alias("hs"))
+    # explode would be given a filter on its array's size, which hashes each text once more; the outer form is not.
+    probes = hashes.select("doc_id", F.size("hs").alias("n_doc"), "hs").select("doc_id", "n_doc", F.explode_outer("hs").alias("h")).filter("h is not null")
     candidates = settle(probes.join(sketch, "h").filter(F.col("n_doc") >= F.col("need")).select("doc_id", "item_id").distinct())
     # Only candidates' texts are read again, each beside the items it may hold and no others.
     texts = named.join(bounded(candidates.groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids"))), "doc_id")
-    held = texts.select("doc_id", F.explode("item_ids").alias("item_id"), shingle_texts(words(F.col("text")), n).alias("held"))
+    held = texts.select("doc_id", "item_ids", shingle_texts(words(F.col("text")), n).alias("held")).select("doc_id", F.explode_outer("item_ids").alias("item_id"), "held")
     pairs = held.join(own, "item_id")
     shared = pairs.select("doc_id", "item_id", F.size("own").cast("long").alias("n_item"), F.array_intersect("own", "held").alias("both"))
     # Rows of one doc_id are one document: what they share with the item is united.
