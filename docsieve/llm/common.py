@@ -17,7 +17,7 @@ SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows handled at once inside a Python worker; long texts make a slice smaller, see ``slices``.
-SLICE_ROWS, SLICE_BYTES = 4096, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 4096, 4 << 20
 #: Rows of a few numbers each that are broadcast at most.
 BROADCAST_ROWS = 1 << 20
 

@@ -24,6 +24,8 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "stupid mistake of mine",
 SAMPLE_ROWS = 20_000
 #: An entry is in so many toxic documents and has so high a log odds at least; lexicon entries at most, the most frequent.
 MIN_BAD, MIN_ODDS, MAX_WORDS = 3, 3.0, 20_000
+#: Distinct entries that a task counts before it hands them on.
+HELD_WORDS = 100_000
 #: Lengths of the stems that the lexicon may hold besides whole words; a stem is marked by a final "~".
 STEMS = range(4, 9)
 EDGE = ".,;:!?\"'()[]{}|*#%&<>-_/\\"
@@ -116,13 +118,20 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, exception
 
     def tally(batches):
         counts = {0: Counter(), 1: Counter()}
+
+        def flush():
+            words = [*counts[0].keys() | counts[1].keys()]
+            return pa.record_batch([pa.array(words, pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], ["word", "bad", "good"])
+
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = counts[int(label > 0)]
                 own[""] += 1
                 own.update(entries({fold(x.strip(EDGE)) for x in set(text.split())} - {""}))
-        words = [*counts[0].keys() | counts[1].keys()]
-        yield pa.record_batch([pa.array(words, pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], ["word", "bad", "good"])
+                if len(own) > HELD_WORDS:
+                    yield flush()
+                    counts = {0: Counter(), 1: Counter()}
+        yield flush()
 
     counts = settle(sample.mapInArrow(tally, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     total = counts.filter("word = ''").first()
@@ -171,14 +180,15 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFra
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             found = [measure(x or "") for x in part.column(1).to_pylist()]
             z = np.clip(model.bias + model.slope * np.array([x for x, _ in found]), -30, 30)
-            return pa.record_batch([part.column(0), *part.columns[2:], pa.array(1 / (1 + np.exp(-z))), pa.array([n for _, n in found], pa.int64())], out.fieldNames())
+            return pa.record_batch([part.column(0), *(part.column(k) for k in columns), pa.array(1 / (1 + np.exp(-z))), pa.array([n for _, n in found], pa.int64())], out.fieldNames())
 
         return step
 
-    others = [f for f in docs.schema.fields if f.name in carry]
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("__text"), *(F.col(f"`{f.name}`") for f in others))
-    out = StructType([kept.schema["doc_id"], *others, StructField("score", DoubleType()), StructField("n_matches", LongType())])
-    return per_slice(kept, make, out, text="__text")
+    others = [x for x in carry if x not in ("doc_id", "text")]
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{x}`") for x in others))
+    columns = [1 if x == "text" else 2 + others.index(x) for x in carry]
+    out = StructType([kept.schema["doc_id"], *(kept.schema[k] for k in columns), StructField("score", DoubleType()), StructField("n_matches", LongType())])
+    return per_slice(kept, make, out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
