@@ -24,6 +24,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that op2's base rule reads; unlike its learned verdict they have SQL."""
+    return rules.features(documents(spark, sf_dir), "doc_id").select("doc_id", *rules.COUNTS[:5])
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -92,6 +97,42 @@ GROUP BY a.doc_id
 """
 
 
+#: Windows of 100 bytes (200 hexadecimal digits) by their earliest start; the others are repeats. Repeats of one document
+#: whose bytes touch form one removed span.
+OP3_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (  -- stretches of 500 window starts, since a substring of a long string is slow
+  SELECT doc_id, j, substr(x, 1000 * j + 1, 1198) AS x FROM (SELECT doc_id, x, unnest(range(0, length(x) // 1000 + 1)) AS j FROM b)),
+w AS (SELECT doc_id, 500 * j + i AS i, md5(substr(x, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, j, x, unnest(range(0, least(500, length(x) // 2 - 99))) AS i FROM c)),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) > 1 AS again FROM w),
+r AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS new FROM k WHERE again),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM r),
+s AS (SELECT doc_id, span, min(i) AS lo, max(i) + 100 AS hi FROM g GROUP BY ALL),
+e AS (SELECT doc_id, lo, hi, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS next FROM s),
+o AS (
+  SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, min(lo) AS first, list(struct_pack(hi := hi, next := next) ORDER BY lo) AS rest FROM e GROUP BY doc_id)
+SELECT b.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN first IS NULL THEN x ELSE x[1 : 2 * first] ||
+         array_to_string(list_transform(rest, lambda p: x[2 * p.hi + 1 : coalesce(2 * p.next, length(x))]), '') END)) AS kept_sha256
+FROM b LEFT JOIN o ON b.doc_id = o.doc_id
+"""
+
+COUNTS_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT doc_id, x, list_filter(string_split(translate(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda v: v <> '') AS w FROM t),
+l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM t)
+  WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY doc_id),
+g AS (SELECT doc_id, list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5),
+f AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM g),
+a AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) > 1 AS again FROM f),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM a WHERE again) GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(x) - length(translate(x, '#*$%&|<>', '')) AS n_symbols,
+       coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+FROM w LEFT JOIN l ON w.doc_id = l.doc_id LEFT JOIN r ON w.doc_id = r.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -104,8 +145,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_sharding": op9_sharding,
         "op10_decontamination": op10_decontamination,
+        "quality_counts": quality_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}
+    return {"op3_suffix_dedup": OP3_SQL, "quality_counts": COUNTS_SQL, "op4_line_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}
