@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -15,7 +16,7 @@ from docsieve.errors import SearchError
 from docsieve.functions import present
 from docsieve.parser import Bool, Leaf, parse
 from docsieve.plans.compile import Compiled, boost_function, order, predicate
-from docsieve.request import SearchRequest, rewrite
+from docsieve.request import ALL, SearchRequest, rewrite
 
 
 @dataclass
@@ -30,9 +31,20 @@ class SearchResult:
     groups: DataFrame | None = None
     highlighting: DataFrame | None = None
     debug: dict = field(default_factory=dict)
+    ranked: DataFrame | None = None
 
     def to_dict(self) -> dict:
-        """The answer as the JSON interface gives it: one page, so small."""
+        """The answer as the JSON interface gives it: one page, so small. What all parts read is computed once and kept
+        (on disk where memory is short) until the answer is whole."""
+        if self.ranked is None:
+            return self._answer()
+        self.ranked.persist()
+        try:
+            return self._answer()
+        finally:
+            self.ranked.unpersist()
+
+    def _answer(self) -> dict:
         r, found = self.request, self.stats.first()
         pages = math.ceil(found.num_found / r.rows) if r.rows else 1
         unwrap = lambda v: v[0] if isinstance(v, list) and len(v) == 1 else v
@@ -50,6 +62,10 @@ class SearchResult:
         }
 
 
+def empty_answer(error: str | None) -> dict:
+    return {"docs": [], "groups": [], "grouped": False, "num_found": 0, "facets": {}, "highlighting": {}, "debug": {}, "error": error}
+
+
 def predicate_of(node: Leaf | Bool) -> Column:
     """A filter expression: no scores, no statistics."""
     if isinstance(node, Leaf):
@@ -85,7 +101,7 @@ def filters(request: SearchRequest) -> dict[str, Column]:
         out["to"] = F.col("last_modified") <= F.lit(f"{request.date_to} 23:59:59").cast("timestamp_ntz")
     if request.fq:
         out["fq"] = predicate_of(parse(request.fq))
-    return {k: F.coalesce(c, F.lit(False)) for k, c in out.items()}
+    return out
 
 
 def leaf_terms(node: Leaf | Bool) -> list[str]:
@@ -101,34 +117,57 @@ class SearchEngine:
     """Searches a DataFrame whose columns are registry fields; fields it lacks are not searched.
 
     Scan mode: one pass gives each document its term frequencies and lengths (no text); a repartition is the barrier that
-    lets the statistics and the scores share that pass; statistics come back as one broadcast row.
-    """
+    lets the statistics and the scores share that pass; statistics come back as one broadcast row. Filters are flags there,
+    since statistics are corpus-wide; where a query has no statistics they are plain predicates that reach the scan.
+
+    ``partitions``: tasks for the analysis. A collection of fewer files than that is dealt out first, so that one small
+    file is not analysed by one task; larger ones are read as they are split."""
 
     def __init__(self, docs: DataFrame, facets: tuple[str, ...] = schema.FACETS, partitions: int | None = None):
         self.docs, self.partitions = docs, partitions
+        self.few = partitions is not None and 0 < len(docs.inputFiles()) < partitions
         self.facet_fields = tuple(f for f in facets if f in docs.columns)
         for name in docs.columns:
             schema.field(name)
 
     def ping(self) -> bool:
-        self.docs.limit(1).isEmpty()
+        """Whether the collection can be read; an empty one can."""
+        try:
+            self.docs.limit(1).isEmpty()
+        except Exception:
+            return False
         return True
 
+    def answer(self, args: Mapping) -> dict:
+        """The answer to URL arguments. A request that asks for nothing runs nothing; one that cannot be answered gives the
+        same structure, empty, with the reason in ``error``."""
+        try:
+            request = SearchRequest.from_args(args)
+            return self.search(request).to_dict() if request.active else empty_answer(None)
+        except ValueError as error:
+            return empty_answer(str(error))
+
     def parse(self, request: SearchRequest) -> Bool:
         return parse(rewrite(request), request.op)
 
-    def ranked(self, request: SearchRequest) -> DataFrame:
-        """Every matching document: id, score, a flag for each filter, and the columns that facets, groups and sorts read."""
+    def ranked(self, request: SearchRequest, push: bool = False) -> DataFrame:
+        """Every matching document: id, score, a flag for each filter, and the columns that facets, groups and sorts read.
+
+        With ``push``, and where the query needs no statistics, filters are applied to the documents instead of flagged."""
         weights = {"edismax": schema.WEIGHTS, "dismax": schema.DISMAX_WEIGHTS, "lucene": {"content": 1.0}}[request.parser]
         mm = (request.mm or "1") if request.parser == "edismax" and request.op == "OR" else None
         q = Compiled(self.parse(request), weights, set(self.docs.columns), mm)
-        kept = filters(request)
+        kept, source = filters(request), self.docs
+        if push and not q.row:
+            source, kept = reduce(lambda d, c: d.filter(c), kept.values(), source), {}
         names = {*self.facet_fields, *([request.group_by] if request.group_by else [])} | {p.strip().split(" ")[0] for p in request.sort.split(",")} - {"score"}
         narrow = {"id": F.col("id")} | {n: F.col(n) for n in sorted(names - {"id"})}
-        narrow |= {f"__k_{k}": c for k, c in kept.items()}
+        narrow |= {f"__k_{k}": F.coalesce(c, F.lit(False)) for k, c in kept.items()}
         if request.bf and request.parser != "lucene":
             narrow["__bf"] = boost_function(request.bf)
-        base = self.docs.withColumns({f"__t_{n}": c for n, c in q.toks.items()}) if q.toks else self.docs
+        if q.toks and self.few:
+            source = source.repartition(self.partitions)
+        base = source.withColumns({f"__t_{n}": c for n, c in q.toks.items()}) if q.toks else source
         rows = base.withColumns(q.row) if q.row else base
         rows = rows.select(*(c.alias(n) for n, c in narrow.items()), *q.row)
         if q.row:
@@ -138,11 +177,15 @@ class SearchEngine:
         score = F.when(q.match, q.score + (F.col("__bf") if "__bf" in narrow else F.lit(0.0)))
         return rows.withColumn("score", score).filter("score is not null").select(*narrow, "score")
 
+    def scored(self, request: SearchRequest) -> bool:
+        """Whether the query reads corpus statistics: all do but the one for all documents."""
+        return rewrite(request) != ALL
+
     def search(self, request: SearchRequest) -> SearchResult:
         ranked = self.ranked(request)
         flags = [c for c in ranked.columns if c.startswith("__k_")]
         whole = reduce(lambda a, b: a & b, map(F.col, flags), F.lit(True))
-        hits = ranked.filter(whole).drop(*flags)
+        hits = ranked.filter(whole).drop(*flags) if self.scored(request) else self.ranked(request, push=True)
         groups = None
         if request.group_by:
             if schema.field(request.group_by).many:
@@ -157,7 +200,7 @@ class SearchEngine:
         docs = self.docs.join(F.broadcast(page), "id").orderBy(*order(request.sort))
         marks = self._highlight(request, docs) if request.hl and request.q else None
         debug = {"parsedquery": repr(self.parse(request)), "q": rewrite(request)} if request.debug else {}
-        return SearchResult(request, hits, docs, self.facets(request, ranked), stats, groups, marks, debug)
+        return SearchResult(request, hits, docs, self.facets(request, ranked), stats, groups, marks, debug, ranked if self.scored(request) else None)
 
     def facets(self, request: SearchRequest, ranked: DataFrame | None = None) -> DataFrame:
         """(facet, value, n) by count, then value; each facet ignores the filter of its own tag. One pass for all."""

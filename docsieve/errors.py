@@ -4,9 +4,6 @@
 class SearchError(ValueError):
     """A request that cannot be answered."""
 
-    def envelope(self) -> dict:
-        return {"error": str(self), "docs": [], "groups": [], "num_found": 0, "facets": {}, "highlighting": {}, "debug": {}, "grouped": False}
-
 
 class UnsupportedQuery(SearchError):
     """Syntax outside the supported grammar."""

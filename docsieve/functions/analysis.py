@@ -38,9 +38,14 @@ ACCENTED, PLAIN = _folding()
 FOLD = str.maketrans(ACCENTED, PLAIN)
 
 
+#: Nothing below this character stands alone; a cheap test that spares most texts the look at scripts.
+EAST = "[\u2e80-\U0010ffff]"
+
+
 def standard(text: Column) -> Column:
     """Word-break tokens of a string."""
-    return F.array_remove(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), SINGLE, " $1 "), BREAK), "")
+    text = F.coalesce(text, F.lit(""))
+    return F.array_remove(F.split(F.when(text.rlike(EAST), F.regexp_replace(text, SINGLE, " $1 ")).otherwise(text), BREAK), "")
 
 
 def numbered(tokens: Column) -> Column:
@@ -48,21 +53,17 @@ def numbered(tokens: Column) -> Column:
 
 
 def unstopped(tokens: Column) -> Column:
-    """Without stop words; positions keep their gaps."""
-    return F.filter(tokens, lambda t: ~F.lower(t["term"]).isin(*STOP))
-
-
-def lowered(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.struct(F.lower(t["term"]).alias("term"), t["pos"].alias("pos")))
+    """Lower-cased tokens without stop words; positions keep their gaps."""
+    return F.filter(tokens, lambda t: ~t["term"].isin(*STOP))
 
 
 def general(text: Column) -> Column:
-    return lowered(unstopped(numbered(standard(text))))
+    return unstopped(numbered(standard(F.lower(text))))
 
 
 def ocr(text: Column) -> Column:
     """Lower-cased, with accented terms also in plain form at the same position, stop words out."""
-    both = F.transform(lowered(numbered(standard(text))), lambda t: F.transform(F.array_distinct(F.array(t["term"], F.translate(t["term"], ACCENTED, PLAIN))), lambda x: F.struct(x.alias("term"), t["pos"].alias("pos"))))
+    both = F.transform(numbered(standard(F.lower(text))), lambda t: F.transform(F.array_distinct(F.array(t["term"], F.translate(t["term"], ACCENTED, PLAIN))), lambda x: F.struct(x.alias("term"), t["pos"].alias("pos"))))
     return unstopped(F.flatten(both))
 
 
@@ -91,7 +92,7 @@ def code(text: Column, catenate: bool = True) -> Column:
 
 
 def multi(values: Column, chain) -> Column:
-    """A multi-valued field: each value's positions start GAP after the end of the one before."""
+    """A multi-valued field: each value's positions start GAP after the end of the one before. One value needs no shifting."""
     sized = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: chain(v))
 
     def step(held: Column, tokens: Column) -> Column:
@@ -100,7 +101,7 @@ def multi(values: Column, chain) -> Column:
         return F.struct(F.concat(held["all"], moved).alias("all"), (end + GAP).cast("int").alias("base"))
 
     start = F.struct(F.array().cast("array<struct<term:string,pos:int>>").alias("all"), F.lit(0).alias("base"))
-    return F.aggregate(sized, start, step, lambda held: held["all"])
+    return F.when(F.size(values) == 1, chain(F.get(values, F.lit(0)))).otherwise(F.aggregate(sized, start, step, lambda held: held["all"]))
 
 
 COLUMNS = {"general": general, "ocr": ocr, "code": code, "string": lambda text: F.when(text.isNull(), F.array().cast("array<struct<term:string,pos:int>>")).otherwise(numbered(F.array(text)))}
@@ -122,6 +123,20 @@ def synonym_table(rules: tuple = SYNONYMS) -> dict[str, tuple[str, ...]]:
     return table
 
 
+def parse_synonyms(text: str) -> tuple:
+    """Rules of a synonym file: "a, b" is a class of equals, "a, b => c, d" maps each left term to the right ones."""
+    rules: list = []
+    split = lambda part: tuple(w.strip().lower() for w in part.split(",") if w.strip())
+    for line in text.splitlines():
+        line = line.partition("#")[0].strip()
+        if "=>" in line:
+            left, _, right = line.partition("=>")
+            rules.append({w: split(right) for w in split(left)})
+        elif line:
+            rules.append(split(line))
+    return tuple(rules)
+
+
 def query_tokens(kind: str, text: str) -> list[Token]:
     """The query-side chain of a field kind."""
     if kind == "string":

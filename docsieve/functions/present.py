@@ -49,6 +49,11 @@ def file_href(path: Column, root: str = "") -> Column:
     return F.when(filled(path).isNotNull(), F.concat(F.lit("file://"), quoted(whole)))
 
 
+def action_href(path: Column, group: Column, href: Column) -> Column:
+    """The link of a document's action row; none where the document stands in a group of its own path."""
+    return F.when(group.isNull() | (path != group), href)
+
+
 def field_title(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 

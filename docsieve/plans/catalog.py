@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docsieve.engine import SearchEngine
 from docsieve.functions import analysis, present
+from docsieve.operators import InvertedIndex
 from docsieve.request import SearchRequest
 from docsieve.sources.store import index_postings, upsert_latest
 
@@ -41,6 +42,12 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").alias("last_modified"), F.col("o_orderstatus").alias("repository"), F.col("o_orderpriority").alias("file_type"))
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores are dealt out, so that one small file is not analysed by one task."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if 0 < len(docs.inputFiles()) < cores else docs
+
+
 def engine(docs: DataFrame, **more) -> SearchEngine:
     return SearchEngine(docs, partitions=docs.sparkSession.sparkContext.defaultParallelism, **more)
 
@@ -61,6 +68,15 @@ def matches(source, **request) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def indexed(source, **request) -> Callable[[SparkSession, str], DataFrame]:
+    """All matches, from postings."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return InvertedIndex.build(dealt(source(spark, sf_dir).select("id", "content"))).ranked(SearchRequest(**request)).select("id", F.round("score", 6).alias("score"))
+
+    return run
+
+
 def facet(source, **request) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(source(spark, sf_dir)).search(SearchRequest(**request)).facets
 
@@ -114,7 +130,7 @@ FROM tf JOIN lens ON lens.id = tf.id CROSS JOIN stats CROSS JOIN df"""
 
 def analyze(chain, column: str, table: str, key: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.explode(chain(F.col(column))).alias("t"))
+        rows = dealt(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(column)).select(F.explode_outer(chain(F.col(column))).alias("t")).filter("t is not null")
         return rows.groupBy(F.col("t.term").alias("term")).agg(F.count(F.lit(1)).alias("n"))
 
     return run
@@ -122,11 +138,11 @@ def analyze(chain, column: str, table: str, key: str) -> Callable[[SparkSession,
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size(analysis.general(F.col("text")))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count("doc_id").alias("n_docs"), F.sum(n).alias("n_words"), F.round(F.avg(n), 6).alias("mean_words"))
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).agg(F.count("doc_id").alias("n_docs"), F.sum(n).alias("n_words"), F.round(F.avg(n), 6).alias("mean_words"))
 
 
 def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_postings(corpus(spark, sf_dir), "content").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return index_postings(dealt(corpus(spark, sf_dir)), "content").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +190,40 @@ def listed(source, **request) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(source(spark, sf_dir)).search(SearchRequest(**request)).docs.select("id")
 
 
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a result list shows of each page, and of one standing in a group of its own path."""
+    p = web(spark, sf_dir)
+    path, author = F.regexp_replace("url", r"^\w+://[^/]*", ""), F.when(F.col("id").cast("long") % 3 == 0, F.concat(F.lit("author "), F.col("id")))
+    body, none = F.col("content"), F.lit(None).cast("string")
+    return p.select(
+        "id", present.meta_line(author, F.lit(None).cast("timestamp")).alias("meta"), present.fallback_snippet(none, none, body).alias("snippet"),
+        present.fallback_snippet(none, F.when(F.col("id").cast("long") % 2 == 0, "scanned"), body, 200).alias("group_snippet"),
+        present.file_href(path, "/srv/root/").alias("file"), present.action_href(path, F.when(F.col("id").cast("long") % 2 == 0, path), F.col("url")).alias("action"),
+    )
+
+
+BODY = "regexp_replace(html, '(?s)<[^>]*>', ' ', 'g')"
+PATH = "regexp_replace(url, '^\\w+://[^/]*', '')"
+TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+MULTIFIELD = f"""WITH f AS (
+  SELECT page_id::VARCHAR AS id, 'title' AS f, {TITLE} AS x FROM pages UNION ALL SELECT page_id::VARCHAR, 'content', {BODY} FROM pages),
+w AS (SELECT id, f, lower(t) AS t FROM (SELECT id, f, unnest(list_filter(regexp_split_to_array(x, '[^\\p{{L}}\\p{{M}}\\p{{N}}ー]+'), lambda x: x <> '')) AS t FROM f) WHERE lower(t) NOT IN ({STOPS})),
+d AS (SELECT f.id, f.f, count(w.t) AS d FROM f LEFT JOIN w ON f.id = w.id AND f.f = w.f GROUP BY ALL),
+a AS (SELECT f, avg(d) AS a, count(*) AS n FROM d GROUP BY f),
+tf AS (SELECT id, f, t, count(*)::DOUBLE AS tf FROM w WHERE t IN ('that', 'from') GROUP BY ALL),
+df AS (SELECT f, t, count(*) AS df FROM tf GROUP BY ALL),
+best AS (
+  SELECT tf.id, tf.t, max(CASE tf.f WHEN 'title' THEN 5 ELSE 1 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * d / a))) AS s
+  FROM tf JOIN df ON tf.f = df.f AND tf.t = df.t JOIN d ON tf.id = d.id AND tf.f = d.f JOIN a ON tf.f = a.f GROUP BY tf.id, tf.t)
+SELECT id, round(sum(s), 6) AS score FROM best GROUP BY id ORDER BY sum(s) DESC, id LIMIT 10"""
+CODE = r"""WITH t AS (SELECT unnest(string_split_regex(trim(p_name), '\s+')) AS t FROM part),
+p AS (SELECT t, regexp_extract_all(t, '\p{Lu}*\p{Ll}+|\p{Lu}+|\p{N}+') AS parts FROM t WHERE t <> ''),
+x AS (SELECT unnest(list_distinct(list_concat([lower(t)], list_transform(parts, lambda x: lower(x)), CASE WHEN len(parts) > 0 THEN [lower(array_to_string(list_filter(parts, lambda x: NOT regexp_matches(x, '^\p{N}')), ''))] ELSE [] END))) AS term FROM p)
+SELECT term, count(*) AS n FROM x WHERE term <> '' GROUP BY 1"""
+CARDS = f"""SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 3 = 0 THEN 'author ' || page_id ELSE '' END AS meta, left({BODY}, 300) AS snippet,
+  CASE WHEN page_id % 2 = 0 THEN 'scanned' ELSE left({BODY}, 200) END AS group_snippet,
+  CASE WHEN {PATH} <> '' THEN 'file://' || replace(replace(replace(replace({PATH}, '#', '%23'), '?', '%3F'), '=', '%3D'), '&', '%26') END AS file, CASE WHEN page_id % 2 = 0 THEN NULL ELSE url END AS action FROM pages"""
+
 FACET_TAIL = "QUALIFY row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) <= 20"
 GENERAL = f"SELECT lower(t) AS term, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}ー]+'), lambda x: x <> '')) AS t FROM documents) WHERE lower(t) NOT IN ({STOPS}) GROUP BY 1"
 
@@ -198,7 +248,15 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "search_constant": (matches(corpus, q="that^=2 from^3"), scored(PAIR, "m_a + m_b >= 1", "").replace("CASE WHEN tf_a.f > 0 THEN ln", "CASE WHEN tf_a.f > 0 THEN 2 + 0 * ln").replace("CASE WHEN tf_b.f > 0 THEN ln", "CASE WHEN tf_b.f > 0 THEN 3 * ln")),
     "match_all_page": (listed(corpus, page=2, rows=20), "SELECT doc_id::VARCHAR AS id FROM documents ORDER BY doc_id::VARCHAR LIMIT 20 OFFSET 20"),
     "search_boost_recency": (boosted, "SELECT o_orderkey::VARCHAR AS id, round(1 + 1 / (0.001 * date_diff('day', o_orderdate::DATE, DATE '2000-01-01') + 1), 6) AS score FROM orders ORDER BY 1 / (0.001 * date_diff('day', o_orderdate::DATE, DATE '2000-01-01') + 1) DESC, o_orderkey::VARCHAR LIMIT 20"),
-    "search_multifield": (top(web, q="that the from"), None),
+    "search_multifield": (top(web, q="that the from"), MULTIFIELD),
+    "index_and": (indexed(corpus, q="that from", op="AND"), scored(PAIR, "m_a + m_b = 2", "")),
+    "index_not": (indexed(corpus, q="that -from"), f"SELECT id, score FROM ({scored({'a': is_('that'), 'b': is_('from')}, 'm_a = 1 AND m_b = 0', '')})"),
+    "index_proximity": (indexed(corpus, q="that from", proximity="5"), pairs_sql("5")),
+    "index_fuzzy1": (
+        indexed(corpus, q="that", fuzzy="1"),
+        scored({"a": "damerau_levenshtein(t, 'that') <= 1"}, "m_a = 1", "", "sum(greatest(0, 1.0 - levenshtein(t, 'that') / greatest(length(t), 4)))::DOUBLE"),
+    ),
+    "index_wildcard": (indexed(corpus, q="th?t"), scored({"a": "regexp_full_match(t, 'th.t')"}, "m_a = 1", "")),
     "filter_lang": (matches(corpus, lang="fr"), "SELECT doc_id::VARCHAR AS id, 1.0 AS score FROM documents WHERE lang = 'fr'"),
     "filter_source_in": (matches(corpus, repository=("src1", "src2")), "SELECT doc_id::VARCHAR AS id, 1.0 AS score FROM documents WHERE source IN ('src1', 'src2')"),
     "filter_date_range": (
@@ -234,12 +292,13 @@ SELECT source AS key, c AS count, greatest(c - 10, 0) AS overflow, r::INT AS ran
         analyze(lambda c: analysis.ocr(c), "text", "documents", "doc_id"),
         f"WITH w AS (SELECT lower(unnest(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}ー]+'), lambda x: x <> ''))) AS t FROM documents), both_ AS (SELECT unnest(list_distinct([t, translate(t, '{analysis.ACCENTED}', '{analysis.PLAIN}')])) AS term FROM w) SELECT term, count(*) AS n FROM both_ WHERE term NOT IN ({STOPS}) GROUP BY 1",
     ),
-    "analyze_code": (analyze(analysis.code, "p_name", "part", "p_partkey"), None),
+    "analyze_code": (analyze(analysis.code, "p_name", "part", "p_partkey"), CODE),
     "analyze_synonym": (matches(corpus, q="charge that"), scored({"a": "t IN ('payment', 'billing', 'charge')", "b": is_("that")}, "m_a + m_b >= 1", "")),
     "corpus_stats": (corpus_stats, f"WITH {TOKENS} SELECT count(*) AS n_docs, sum(dl)::BIGINT AS n_words, round(avg(dl), 6) AS mean_words FROM lens"),
     "doc_frequency": (doc_frequency, f"WITH {TOKENS} SELECT t AS term, count(DISTINCT id) AS df, count(*) AS cf FROM words GROUP BY 1"),
     "highlight_snippets": (snippets, None),
-    "display_title": (titles, None),
+    "display_title": (titles, f"SELECT page_id::VARCHAR AS id, string_split({PATH}, '/')[-1] AS basename, coalesce(nullif({TITLE}, ''), nullif(string_split({PATH}, '/')[-1], ''), nullif({PATH}, ''), page_id::VARCHAR) AS display_title FROM pages"),
+    "result_cards": (cards, CARDS),
     "repository_href": (links, "SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 2 = 0 AND url <> '' THEN url ELSE 'https://host/repo/dir/file%20' || page_id END AS href FROM pages"),
     "upsert_latest": (upsert, "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -82,12 +83,17 @@ def phrase_frequency(toks: Column, query: list[analysis.Token], slop: int) -> Co
     """Sum of 1 / (1 + distance) over the places of the first term; distance: how far the others are out of place."""
     first, rest = query[0], query[1:]
 
-    def weight(p: Column) -> Column:
-        apart = [F.array_min(F.transform(spots(toks, t.terms), _gap(p, t.pos - first.pos))) for t in rest]
-        total = reduce(lambda a, b: a + b, apart, F.lit(0))
-        return F.when(total <= slop, 1.0 / (1.0 + total)).otherwise(0.0)
+    def weigh(at: Column) -> Column:
+        def weight(p: Column) -> Column:
+            apart = [F.array_min(F.transform(at[f"p{k}"], _gap(p, t.pos - first.pos))) for k, t in enumerate(rest)]
+            total = reduce(lambda a, b: a + b, apart, F.lit(0))
+            return F.when(total <= slop, 1.0 / (1.0 + total)).otherwise(0.0)
 
-    return F.aggregate(F.transform(spots(toks, first.terms), weight), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+        return F.aggregate(F.transform(at["first"], weight), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+
+    # Places of all terms are found once for a text: inside the lambda over places they would be found for each.
+    places = F.struct(spots(toks, first.terms).alias("first"), *(spots(toks, t.terms).alias(f"p{k}") for k, t in enumerate(rest)))
+    return F.get(F.transform(F.array(places), weigh), F.lit(0))
 
 
 def _gap(p: Column, offset: int):
@@ -127,6 +133,18 @@ def frequency(leaf: Leaf, name: str, toks: Column) -> Column | None:
     return phrase_frequency(toks, [analysis.Token(v, k) for k, v in by_pos.items()], leaf.slop)
 
 
+def named_terms(leaf: Leaf, name: str) -> tuple[tuple[str, ...], Callable[[Column], Column] | None]:
+    """The terms that ``frequency`` of a leaf counts in an analysed field: words, or a test of a term."""
+    if leaf.kind == "range":
+        return (), lambda x: (F.lit(leaf.low is None) | (x >= F.lit(leaf.low))) & (F.lit(leaf.high is None) | (x <= F.lit(leaf.high)))
+    if leaf.kind in ("wildcard", "regex"):
+        expression = analysis.wildcard(leaf.text.lower()) if leaf.kind == "wildcard" else leaf.text
+        return (), lambda x: x.rlike(f"^(?:{expression})$")
+    if leaf.kind == "fuzzy":
+        return (), lambda x: near(x, leaf.text.lower(), leaf.slop)
+    return tuple(x for t in analysis.query_tokens(schema.field(name).kind, leaf.text) for x in t.terms), None
+
+
 class Compiled:
     """Columns of one query. ``row``: what each document gives before statistics; ``stats``: aggregates over all rows."""
 
@@ -136,6 +154,10 @@ class Compiled:
         self.row: dict[str, Column] = {}
         self.stats: dict[str, Column] = {"__n": F.count("id")}
         self.leaves: list[str] = []
+        self.clauses = 0
+        #: By analysed field, what terms each clause names: words, or a test of a term.
+        self.picks: dict[str, list[tuple[tuple[str, ...], Callable[[Column], Column] | None]]] = {}
+        self.text_only = True
         self.match, self.score = self._node(node, mm)
 
     def _field(self, name: str) -> Column:
@@ -145,16 +167,25 @@ class Compiled:
             self.stats[f"__a_{name}"] = F.avg(f"__d_{name}")
         return F.col(f"__t_{name}")
 
-    def _leaf(self, leaf: Leaf) -> tuple[Column, Column]:
+    def _leaf(self, leaf: Leaf) -> tuple[Column | None, Column | None]:
+        """Match and score; None where analysis leaves nothing of the leaf."""
+        self.clauses += 1
+        if self.clauses > schema.MAX_CLAUSES:
+            raise SearchError(f"more than {schema.MAX_CLAUSES} clauses")
         if leaf.kind == "all":
+            self.text_only = False
             return F.lit(True), F.lit(leaf.constant if leaf.constant is not None else leaf.boost)
         tests, scores = [], []
         if leaf.field is None and leaf.kind == "term" and not analysis.query_tokens("general", leaf.text):
-            return F.lit(None), F.lit(0.0)  # a stop word asks for nothing, also in fields that keep it
+            return None, None  # a stop word asks for nothing, also in fields that keep it
         for name, weight in {leaf.field: 1.0}.items() if leaf.field else self.weights.items():
             found = frequency(leaf, name, self._field(name))
             if found is None:
                 continue
+            if schema.field(name).text and leaf.kind != "exists":
+                self.picks.setdefault(name, []).append(named_terms(leaf, name))
+            else:
+                self.text_only = False
             key = f"{len(self.leaves)}"
             self.leaves.append(f"{name}:{leaf.kind}:{leaf.text}")
             self.row[f"__f_{key}"] = found
@@ -165,7 +196,7 @@ class Compiled:
             tests.append(tf > 0)
             scores.append(F.when(tf > 0, weight * idf * tf / (tf + long)).otherwise(0.0))
         if not tests:
-            return F.lit(None), F.lit(0.0)
+            return None, None
         best = scores[0] if len(scores) == 1 else F.greatest(*scores)
         match = any_of(tests)
         return match, F.when(match, leaf.constant).otherwise(0.0) if leaf.constant is not None else best * leaf.boost
@@ -178,7 +209,7 @@ class Compiled:
         before = len(self.leaves)
         found = [(occur, part, *self._node(part)) for occur, part in node.parts]
         # Clauses that analysis leaves empty (stop words) are not counted.
-        found = [x for x in found if not (isinstance(x[1], Leaf) and x[1].kind != "all" and "NULL" in x[2]._jc.toString())]
+        found = [x for x in found if x[2] is not None]
         must, should = [m for o, _, m, _ in found if o == "must"], [m for o, _, m, _ in found if o == "should"]
         never = [m for o, _, m, _ in found if o == "not"]
         match = reduce(lambda a, b: a & b, must, F.lit(bool(must or should or (never and before >= 0))))

@@ -37,5 +37,6 @@ def index_postings(docs: DataFrame, name: str) -> DataFrame:
     """(field, term, id, tf, positions) of an analysed field, for many queries over one corpus."""
     from docsieve.plans.compile import tokens
 
-    rows = docs.select("id", F.explode(tokens(name)).alias("t"))
+    # explode would be given a filter on its array's size, which analyses each text once more; the outer form is not.
+    rows = docs.select("id", F.explode_outer(tokens(name)).alias("t")).filter("t is not null")
     return rows.groupBy(F.lit(name).alias("field"), F.col("t.term").alias("term"), "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("t.pos")).alias("positions"))
