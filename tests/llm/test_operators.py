@@ -224,6 +224,12 @@ def test_sharding(docs):
     texts = dict(ROWS)
     assert all((r.size, r.text_crc32) == (len((texts[r.doc_id] or "").encode()) + 16, zlib.crc32((texts[r.doc_id] or "").encode())) for r in rows.itertuples())
     assert all(sorted(own.slot) == list(range(len(own))) for _, own in rows.groupby("shard"))
+    # Each row lies where the middle of its bytes does.
+    total, before = int(rows["size"].sum()), rows["size"].cumsum() - rows["size"]
+    assert rows.shard.tolist() == [min(4, (2 * int(b) + int(n)) * 5 // (2 * total)) for b, n in zip(before, rows["size"], strict=True)]
+    cuts = [total * k / 5 for k in range(1, 5)]
+    ends = rows.groupby("shard")["size"].sum().cumsum().reindex(range(5)).ffill()
+    assert all(abs(ends[k] - c) <= rows["size"].max() / 2 for k, c in enumerate(cuts))
 
 
 def test_counts_for_rules(docs):
@@ -236,6 +242,23 @@ def test_counts_for_rules(docs):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(full) - len(set(full)), len(again))
 
 
+def test_verdicts_are_those_of_the_rules(spark):
+    """``kept`` from the conditional expression, and from reading the ordered rules row by row."""
+    texts, labels = labelled(spark)
+    learned = rules.learn(texts, labels)
+    assert learned and learned == rules.learn(texts.repartition(7), labels)
+    measured = {r.doc_id: r.asDict() for r in rules.features(texts, "doc_id").collect()}
+    for r in rules.quality_rules(texts, labels).collect():
+        row, spoke = measured[r.doc_id], None
+        for k, rule in enumerate(learned):
+            values = [row[t.name] if t.name in row else row[rules.SHARES[t.name][0]] / row[rules.SHARES[t.name][1]] if row[rules.SHARES[t.name][1]] else 0.0 for t in rule]
+            if all((v >= t.threshold) == t.above for v, t in zip(values, rule, strict=True)):
+                spoke = k
+                break
+        base = row["n_words"] < 10 or 100 * row["n_repeat_words"] > 20 * row["n_words"]
+        assert (r.base_failed, r.kept, r.rule) == (base, not base and spoke is None, spoke)
+
+
 def labelled(spark):
     rows = []
     for k in range(400):
