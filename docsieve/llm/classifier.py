@@ -249,7 +249,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model
         mean, scale = x.mean(0), x.std(0) + 1e-3
         yield pa.record_batch([pa.array([pickle.dumps((mean, scale, *train((x - mean) / scale, y)))], pa.binary())], ["fitted"])
 
-    fitted = sample.mapInArrow(points, "x array<double>, y int").coalesce(1).mapInArrow(fit, "fitted binary").first()
+    # Pooled in many tasks and written; only these few numbers a row go to the task that fits.
+    fitted = settle(sample.mapInArrow(points, "x array<double>, y int")).coalesce(1).mapInArrow(fit, "fitted binary").first()
     return None if fitted is None else Model(vectors, *pickle.loads(bytes(fitted.fitted)))  # made by ``fit`` above
 
 
