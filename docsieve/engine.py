@@ -49,6 +49,7 @@ class SearchResult:
         pages = math.ceil(found.num_found / r.rows) if r.rows else 1
         unwrap = lambda v: v[0] if isinstance(v, list) and len(v) == 1 else v
         docs = [{k: unwrap(v) for k, v in x.asDict(recursive=True).items()} for x in self.docs.collect()] if self.groups is None else []
+        debug = self.debug | ({"explain": {d["id"]: d.pop("explain") for d in docs}} if docs and "explain" in docs[0] else {})
         facets: dict[str, list] = {}
         for x in self.facets.collect():
             facets.setdefault(x.facet, []).append((x.value, x.n))
@@ -58,7 +59,7 @@ class SearchResult:
         groups = [x.asDict(recursive=True) for x in self.groups.collect()] if self.groups is not None else []
         return {
             "docs": docs, "groups": groups, "grouped": self.groups is not None, "num_found": found.num_found, "total_pages": pages, "page": r.page, "rows": r.rows, "start": r.start,
-            "facets": facets, "highlighting": marks, "debug": self.debug, "error": None, "q": rewrite(r), "params": r.__dict__,
+            "facets": facets, "highlighting": marks, "debug": debug, "error": None, "q": rewrite(r), "params": r.__dict__,
         }
 
 
@@ -174,8 +175,12 @@ class SearchEngine:
             rows = rows.repartition(self.partitions) if self.partitions else rows.repartition("id")
             stats = rows.agg(*(c.alias(n) for n, c in q.stats.items()))
             rows = rows.crossJoin(F.broadcast(stats))  # one row
+        explain = {}
+        if request.debug and q.shares:
+            entries = [x for name, share in q.shares.items() for x in (F.lit(name), share)]
+            explain["__explain"] = F.map_filter(F.create_map(*entries), lambda k, v: v > 0)
         score = F.when(q.match, q.score + (F.col("__bf") if "__bf" in narrow else F.lit(0.0)))
-        return rows.withColumn("score", score).filter("score is not null").select(*narrow, "score")
+        return rows.withColumn("score", score).filter("score is not null").select(*narrow, "score", *(c.alias(n) for n, c in explain.items()))
 
     def scored(self, request: SearchRequest) -> bool:
         """Whether the query reads corpus statistics: all do but the one for all documents."""
@@ -195,9 +200,9 @@ class SearchEngine:
             stats = stats.select(F.coalesce(F.nullif("num_found", F.lit(0)), "matches").alias("num_found"), "matches")
         else:
             stats = hits.agg(F.count(F.lit(1)).alias("num_found"))
-        page = hits.orderBy(*order(request.sort)).offset(request.start).limit(request.rows).select("id", "score")
+        page = hits.orderBy(*order(request.sort)).offset(request.start).limit(request.rows).select("id", "score", *(c for c in hits.columns if c == "__explain"))
         # The wide columns are fetched for the page alone.
-        docs = self.docs.join(F.broadcast(page), "id").orderBy(*order(request.sort))
+        docs = self.docs.join(F.broadcast(page), "id").orderBy(*order(request.sort)).withColumnRenamed("__explain", "explain")
         marks = self._highlight(request, docs) if request.hl and request.q else None
         debug = {"parsedquery": repr(self.parse(request)), "q": rewrite(request)} if request.debug else {}
         return SearchResult(request, hits, docs, self.facets(request, ranked), stats, groups, marks, debug, ranked if self.scored(request) else None)

@@ -145,6 +145,10 @@ def named_terms(leaf: Leaf, name: str) -> tuple[tuple[str, ...], Callable[[Colum
     return tuple(x for t in analysis.query_tokens(schema.field(name).kind, leaf.text) for x in t.terms), None
 
 
+def clauses(node: Leaf | Bool) -> int:
+    return 1 if isinstance(node, Leaf) else sum(clauses(part) for _, part in node.parts)
+
+
 class Compiled:
     """Columns of one query. ``row``: what each document gives before statistics; ``stats``: aggregates over all rows."""
 
@@ -154,7 +158,10 @@ class Compiled:
         self.row: dict[str, Column] = {}
         self.stats: dict[str, Column] = {"__n": F.count("id")}
         self.leaves: list[str] = []
-        self.clauses = 0
+        #: What each leaf in each field adds to a score, before the best field of a leaf is taken.
+        self.shares: dict[str, Column] = {}
+        if clauses(node) > schema.MAX_CLAUSES:
+            raise SearchError(f"more than {schema.MAX_CLAUSES} clauses")
         #: By analysed field, what terms each clause names: words, or a test of a term.
         self.picks: dict[str, list[tuple[tuple[str, ...], Callable[[Column], Column] | None]]] = {}
         self.text_only = True
@@ -169,9 +176,6 @@ class Compiled:
 
     def _leaf(self, leaf: Leaf) -> tuple[Column | None, Column | None]:
         """Match and score; None where analysis leaves nothing of the leaf."""
-        self.clauses += 1
-        if self.clauses > schema.MAX_CLAUSES:
-            raise SearchError(f"more than {schema.MAX_CLAUSES} clauses")
         if leaf.kind == "all":
             self.text_only = False
             return F.lit(True), F.lit(leaf.constant if leaf.constant is not None else leaf.boost)
@@ -195,6 +199,7 @@ class Compiled:
             long = K1 * (1 - B + B * F.col(f"__d_{name}") / F.col(f"__a_{name}")) if schema.field(name).text else F.lit(K1)
             tests.append(tf > 0)
             scores.append(F.when(tf > 0, weight * idf * tf / (tf + long)).otherwise(0.0))
+            self.shares[self.leaves[-1]] = scores[-1]
         if not tests:
             return None, None
         best = scores[0] if len(scores) == 1 else F.greatest(*scores)

@@ -7,6 +7,7 @@ from docsieve import schema
 from docsieve.engine import SearchEngine
 from docsieve.errors import SearchError
 from docsieve.functions import analysis, present
+from docsieve.operators import InvertedIndex
 from docsieve.request import SearchRequest
 from docsieve.sources import store
 from docsieve.streaming.ingest import stream_json
@@ -63,6 +64,50 @@ def test_facets_groups_and_answer(engine):
     assert "<mark>login</mark> &lt;b&gt;&amp;" in marks["2"]["content"][0]
 
 
+def test_answers_have_one_structure(engine):
+    good, idle, bad = (engine.answer(x) for x in ({"q": "login", "debug": "1"}, {"q": " "}, {"q": "(login"}))
+    assert set(idle) == set(bad) <= set(good) and (idle["error"], good["error"], idle["docs"], bad["num_found"]) == (None, None, [], 0)
+    assert "parenthesis" in bad["error"] and "rows" in engine.answer({"q": "login", "rows": "ten"})["error"]
+    shares = good["debug"]["explain"]
+    assert set(shares) == {"1", "2"} and set(shares["1"]) == {"title:term:login", "content:term:login"} and set(shares["2"]) == {"content:term:login"}
+    score = {d["id"]: d["score"] for d in good["docs"]}
+    assert all(abs(max(shares[i].values()) - score[i]) < 1e-9 for i in score)
+    assert engine.ping()
+    with pytest.raises(SearchError, match="clauses"):
+        ids(engine, q=" ".join(f"w{k}" for k in range(1025)))
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(str(k), f"text {k}", "en" if k % 2 else "fr", dt.datetime(2024, 1, k + 1)) for k in range(9)], "id string, t string, language string, last_modified timestamp_ntz")
+    docs.select("id", F.array("t").alias("content"), "language", "last_modified").write.parquet(path := str(tmp_path / "d"))
+    found = SearchEngine(spark.read.parquet(path)).search(SearchRequest(lang="fr", date_from="2024-01-03")).matches
+    plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "EqualTo(language,fr)" in plan and "GreaterThanOrEqual(last_modified" in plan
+    assert sorted(r.id for r in found.collect()) == ["2", "4", "6", "8"]
+
+
+def test_index_is_written_and_read(spark, engine, tmp_path):
+    index = InvertedIndex.build(engine.docs)
+    index.write(str(tmp_path / "index"))
+    kept = InvertedIndex.read(spark, str(tmp_path / "index"))
+    for q in ("login -fehler", '"login page" lgoin~1', "author:Ann user", "*:*"):
+        want = {(r.id, round(r.score, 9)) for r in engine.ranked(SearchRequest(q=q)).collect()}
+        assert want and {(r.id, round(r.score, 9)) for r in kept.ranked(SearchRequest(q=q)).collect()} == want, q
+
+
+def test_snippets(spark):
+    texts = ["a login here", "x" * 200 + " the Login, of " + "y z " * 60 + "login", "blogin logins", "1 < login & 'so'", ""]
+    got = [r.s for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(present.snippets(F.col("t"), ["login"]).alias("s")).collect()]
+    assert got[0] == ["a <mark>login</mark> here"] and got[2] == [] and got[4] == [] and got[3] == ["1 &lt; <mark>login</mark> &amp; &#x27;so&#x27;"]
+    assert len(got[1]) == 2 and all(x.count("<mark>") == 1 and len(x) <= 150 + len("<mark></mark>") for x in got[1]) and got[1][0].startswith("the <mark>Login</mark>, of y z")
+
+
+def test_synonym_rules():
+    rules = analysis.parse_synonyms("# a comment\nauth, Login\n\ncar, automobile => vehicle, car\n")
+    assert rules == (("auth", "login"), {"car": ("vehicle", "car"), "automobile": ("vehicle", "car")})
+    assert analysis.synonym_table(rules) == {"auth": ("auth", "login"), "login": ("auth", "login"), "car": ("vehicle", "car"), "automobile": ("vehicle", "car")}
+
+
 def test_sorts(engine):
     order = lambda s: [r.id for r in engine.search(SearchRequest(sort=s)).docs.collect()]
     assert order("last_modified desc")[-1] == "3" and order("title asc")[:2] == ["2", "1"]
