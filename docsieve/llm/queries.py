@@ -117,6 +117,21 @@ SELECT b.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_
 FROM b LEFT JOIN o ON b.doc_id = o.doc_id
 """
 
+#: CRC-32 over a text's bytes, with its table made from the polynomial; then the shard that holds the middle of a row's bytes.
+OP9_SQL = """
+WITH RECURSIVE step AS (
+  SELECT 0 AS k, range AS i, range AS c FROM range(256)
+  UNION ALL SELECT k + 1, i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+b AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+l AS (SELECT doc_id, octet_length(x) + 16 AS size, list_prepend(4294967295, list_transform(regexp_extract_all(hex(x), '..'), lambda h: ('0x' || h)::BIGINT)) AS bytes FROM b),
+d AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, y: xor(c >> 8, t[xor(c, y) % 256 + 1])), 4294967295) AS text_crc32 FROM l CROSS JOIN crc),
+p AS (SELECT *, sum(size) OVER () AS total, 2 * sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS middle FROM d),
+s AS (SELECT *, least(39, middle * 40 // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM s
+"""
+
 COUNTS_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 w AS (SELECT doc_id, x, list_filter(string_split(translate(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda v: v <> '') AS w FROM t),
@@ -150,4 +165,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": OP3_SQL, "quality_counts": COUNTS_SQL, "op4_line_dedup": OP4_SQL, "op10_decontamination": OP10_SQL}
+    return {"op3_suffix_dedup": OP3_SQL, "quality_counts": COUNTS_SQL, "op4_line_dedup": OP4_SQL, "op9_sharding": OP9_SQL, "op10_decontamination": OP10_SQL}
