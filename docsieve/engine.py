@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
@@ -101,7 +102,9 @@ def filters(request: SearchRequest) -> dict[str, Column]:
     if request.date_to:
         out["to"] = F.col("last_modified") <= F.lit(f"{request.date_to} 23:59:59").cast("timestamp_ntz")
     if request.fq:
-        out["fq"] = predicate_of(parse(request.fq))
+        # A tag that the user types lets the facet of that name ignore the filter.
+        tag, own = re.match(r"\s*(?:\{!tag=(\w+)\})?", request.fq)[1] or "fq", predicate_of(parse(request.fq))
+        out[tag] = out[tag] & own if tag in out else own
     return out
 
 

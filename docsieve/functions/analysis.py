@@ -157,5 +157,5 @@ def query_tokens(kind: str, text: str) -> list[Token]:
 
 
 def wildcard(pattern: str) -> str:
-    """The regular expression of a term with * and ?."""
-    return "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern)
+    """The regular expression of a term with * and ?; a backslash takes the next character as it is."""
+    return "".join(".*" if c == "*" else "." if c == "?" else re.escape(c[-1]) for c in re.findall(r"\\.|.", pattern, re.S))

@@ -11,7 +11,9 @@ from docsieve.engine import SearchEngine
 from docsieve.functions import analysis, present
 from docsieve.operators import InvertedIndex
 from docsieve.request import SearchRequest
+from docsieve.sources import store
 from docsieve.sources.store import index_postings, upsert_latest
+from docsieve.streaming.ingest import stream_json
 
 STOPS = ", ".join(f"'{w}'" for w in analysis.STOP)
 
@@ -150,6 +152,45 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert_latest(e, "user_id", "event_id")
 
 
+def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines and read again."""
+    path = store.scratch_dir(spark)
+    store.write_json(corpus(spark, sf_dir), path)
+    return store.read_json(spark, path, lines=True).select("id", F.get("content", F.lit(0)).alias("text"), "language", "repository")
+
+
+def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents from files of JSON arrays."""
+    path = store.scratch_dir(spark)
+    store.write_json_arrays(orders(spark, sf_dir), path)
+    return store.read_json(spark, path).select("id", "last_modified", "repository", "file_type")
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of JSON arrays streamed into the log, current documents read from it."""
+    path = store.scratch_dir(spark)
+    store.write_json_arrays(orders(spark, sf_dir), f"{path}/in")
+    stream_json(spark, f"{path}/in", f"{path}/log", f"{path}/checkpoint", None).awaitTermination()
+    return upsert_latest(store.read_log(spark, f"{path}/log")).select("id", "last_modified", "repository", "file_type")
+
+
+def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of two batches, the first of them replayed, compacted."""
+    path, docs = store.scratch_dir(spark), parts(spark, sf_dir).select("id", "repository", "size_i")
+    for version in (1, 1):
+        store.append(docs, f"{path}/log", version)
+    store.append(docs.filter(F.col("id").cast("long") % 3 == 0).withColumn("size_i", F.col("size_i") + 100), f"{path}/log", 2)
+    rows = store.read_log(spark, f"{path}/log").groupBy("id").agg(F.count(F.lit(1)).alias("versions"))
+    store.compact(spark, f"{path}/log", f"{path}/compact")
+    return store.read_log(spark, f"{path}/compact").join(rows, "id").select("id", "repository", "size_i", "versions")
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms and positions of a field of two values."""
+    p = dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type"))
+    return p.select(F.col("p_partkey").cast("string").alias("id"), F.inline(analysis.multi(F.array("p_name", "p_type"), analysis.general)))
+
+
 def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = engine(corpus(spark, sf_dir)).search(SearchRequest(q="that", group_by="repository")).matches
     return hits.groupBy("repository").agg(F.count(F.lit(1)).alias("n"))
@@ -224,6 +265,19 @@ CARDS = f"""SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 3 = 0 THEN 'autho
   CASE WHEN page_id % 2 = 0 THEN 'scanned' ELSE left({BODY}, 200) END AS group_snippet,
   CASE WHEN {PATH} <> '' THEN 'file://' || replace(replace(replace(replace({PATH}, '#', '%23'), '?', '%3F'), '=', '%3D'), '&', '%26') END AS file, CASE WHEN page_id % 2 = 0 THEN NULL ELSE url END AS action FROM pages"""
 
+POSITIONS = f"""WITH v AS (SELECT p_partkey::VARCHAR AS id, 0 AS k, p_name AS x FROM part UNION ALL SELECT p_partkey::VARCHAR, 1, p_type FROM part),
+l AS (SELECT id, k, list_filter(regexp_split_to_array(x, '[^\\p{{L}}\\p{{M}}\\p{{N}}ー]+'), lambda x: x <> '') AS l FROM v),
+w AS (SELECT id, k, lower(t) AS term, i - 1 AS pos FROM (SELECT id, k, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM l) WHERE lower(t) NOT IN ({STOPS})),
+e AS (SELECT id, max(pos) + 1 AS n FROM w WHERE k = 0 GROUP BY id)
+SELECT w.id, term, (pos + CASE WHEN k = 1 THEN coalesce(n, 0) + 100 ELSE 0 END)::INT AS pos FROM w LEFT JOIN e ON w.id = e.id"""
+ORDERS = "SELECT o_orderkey::VARCHAR AS id, o_orderdate::TIMESTAMP AS last_modified, o_orderstatus AS repository, o_orderpriority AS file_type FROM orders"
+BY_TAG = "SELECT facet, value, n FROM (SELECT 'repository' AS facet, o_orderstatus AS value, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL UNION ALL SELECT 'file_type', o_orderpriority, count(*) FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)"
+
+#: A clause in parentheses that does not match adds nothing to the score.
+GRAMMAR = scored(FOUR, "(m_a = 1 AND m_b = 1) OR (m_c = 1 AND m_d = 0)", "")
+for one, both in (("tf_a.f > 0", "tf_a.f > 0 AND tf_b.f > 0"), ("tf_b.f > 0", "tf_b.f > 0 AND tf_a.f > 0"), ("tf_c.f > 0", "tf_c.f > 0 AND tf_d.f IS NULL"), ("tf_d.f > 0", "FALSE")):
+    GRAMMAR = GRAMMAR.replace(f"CASE WHEN {one} THEN", f"CASE WHEN {both} THEN")
+
 FACET_TAIL = "QUALIFY row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) <= 20"
 GENERAL = f"SELECT lower(t) AS term, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}ー]+'), lambda x: x <> '')) AS t FROM documents) WHERE lower(t) NOT IN ({STOPS}) GROUP BY 1"
 
@@ -249,6 +303,10 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "match_all_page": (listed(corpus, page=2, rows=20), "SELECT doc_id::VARCHAR AS id FROM documents ORDER BY doc_id::VARCHAR LIMIT 20 OFFSET 20"),
     "search_boost_recency": (boosted, "SELECT o_orderkey::VARCHAR AS id, round(1 + 1 / (0.001 * date_diff('day', o_orderdate::DATE, DATE '2000-01-01') + 1), 6) AS score FROM orders ORDER BY 1 / (0.001 * date_diff('day', o_orderdate::DATE, DATE '2000-01-01') + 1) DESC, o_orderkey::VARCHAR LIMIT 20"),
     "search_multifield": (top(web, q="that the from"), MULTIFIELD),
+    "search_dismax": (top(web, q="that the from", parser="dismax"), MULTIFIELD),
+    "search_lucene": (top(web, q="that the from", parser="lucene"), MULTIFIELD.replace("WHERE t IN", "WHERE f = 'content' AND t IN")),
+    "search_boosted_term": (matches(corpus, q="that^2 from"), scored(PAIR, "m_a + m_b >= 1", "").replace("CASE WHEN tf_a.f > 0 THEN ln", "CASE WHEN tf_a.f > 0 THEN 2 * ln")),
+    "search_grammar": (matches(corpus, q="(that && fro\\m) || (this && !are)"), GRAMMAR),
     "index_and": (indexed(corpus, q="that from", op="AND"), scored(PAIR, "m_a + m_b = 2", "")),
     "index_not": (indexed(corpus, q="that -from"), f"SELECT id, score FROM ({scored({'a': is_('that'), 'b': is_('from')}, 'm_a = 1 AND m_b = 0', '')})"),
     "index_proximity": (indexed(corpus, q="that from", proximity="5"), pairs_sql("5")),
@@ -268,10 +326,16 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         matches(parts, fq="size_i:[10 TO 20} AND -repository:Brand#1* AND (price_d:[1000 TO *] OR size_i:15)"),
         "SELECT p_partkey::VARCHAR AS id, 1.0 AS score FROM part WHERE p_size >= 10 AND p_size < 20 AND p_brand NOT LIKE 'Brand#1%' AND (p_retailprice >= 1000 OR p_size = 15)",
     ),
+    "filter_escaped": (matches(parts, fq="repository:Brand\\#1? AND -file_type:*\\ TIN"), "SELECT p_partkey::VARCHAR AS id, 1.0 AS score FROM part WHERE p_brand LIKE 'Brand#1_' AND p_type NOT LIKE '% TIN'"),
+    "filter_date_math": (
+        matches(orders, fq="last_modified:[NOW-30YEARS/YEAR TO NOW/DAY}"),
+        "SELECT o_orderkey::VARCHAR AS id, 1.0 AS score FROM orders WHERE o_orderdate >= date_trunc('year', current_date - INTERVAL 30 YEAR) AND o_orderdate < current_date",
+    ),
+    "facet_tagged": (facet(orders, fq="{!tag=repository}repository:F", file_type=("1-URGENT", "5-LOW")), f"{BY_TAG} {FACET_TAIL}"),
     "facet_source": (facet(corpus, q="that"), f"WITH {TOKENS} SELECT facet, value, n FROM (SELECT 'repository' AS facet, source AS value, count(*) AS n FROM lens WHERE id IN (SELECT id FROM words WHERE t = 'that') AND source IS NOT NULL GROUP BY ALL) {FACET_TAIL}"),
     "facet_multiselect": (
         facet(orders, repository=("F",), file_type=("1-URGENT", "5-LOW")),
-        f"SELECT facet, value, n FROM (SELECT 'repository' AS facet, o_orderstatus AS value, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL UNION ALL SELECT 'file_type', o_orderpriority, count(*) FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL) {FACET_TAIL}",
+        f"{BY_TAG} {FACET_TAIL}",
     ),
     "facet_part": (facet(parts), f"SELECT facet, value, n FROM (SELECT 'repository' AS facet, p_brand AS value, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT 'file_type', p_type, count(*) FROM part GROUP BY ALL) WHERE value IS NOT NULL {FACET_TAIL}"),
     "group_topn": (
@@ -293,6 +357,7 @@ SELECT source AS key, c AS count, greatest(c - 10, 0) AS overflow, r::INT AS ran
         f"WITH w AS (SELECT lower(unnest(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}ー]+'), lambda x: x <> ''))) AS t FROM documents), both_ AS (SELECT unnest(list_distinct([t, translate(t, '{analysis.ACCENTED}', '{analysis.PLAIN}')])) AS term FROM w) SELECT term, count(*) AS n FROM both_ WHERE term NOT IN ({STOPS}) GROUP BY 1",
     ),
     "analyze_code": (analyze(analysis.code, "p_name", "part", "p_partkey"), CODE),
+    "analyze_positions": (positions, POSITIONS),
     "analyze_synonym": (matches(corpus, q="charge that"), scored({"a": "t IN ('payment', 'billing', 'charge')", "b": is_("that")}, "m_a + m_b >= 1", "")),
     "corpus_stats": (corpus_stats, f"WITH {TOKENS} SELECT count(*) AS n_docs, sum(dl)::BIGINT AS n_words, round(avg(dl), 6) AS mean_words FROM lens"),
     "doc_frequency": (doc_frequency, f"WITH {TOKENS} SELECT t AS term, count(DISTINCT id) AS df, count(*) AS cf FROM words GROUP BY 1"),
@@ -300,6 +365,10 @@ SELECT source AS key, c AS count, greatest(c - 10, 0) AS overflow, r::INT AS ran
     "display_title": (titles, f"SELECT page_id::VARCHAR AS id, string_split({PATH}, '/')[-1] AS basename, coalesce(nullif({TITLE}, ''), nullif(string_split({PATH}, '/')[-1], ''), nullif({PATH}, ''), page_id::VARCHAR) AS display_title FROM pages"),
     "result_cards": (cards, CARDS),
     "repository_href": (links, "SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 2 = 0 AND url <> '' THEN url ELSE 'https://host/repo/dir/file%20' || page_id END AS href FROM pages"),
+    "json_sink": (json_sink, "SELECT doc_id::VARCHAR AS id, text, lang AS language, source AS repository FROM documents"),
+    "json_arrays": (json_arrays, ORDERS),
+    "stream_ingest": (streamed, ORDERS),
+    "log_compact": (compacted, "SELECT p_partkey::VARCHAR AS id, p_brand AS repository, (CASE WHEN p_partkey % 3 = 0 THEN p_size + 100 ELSE p_size END)::INT AS size_i, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS versions FROM part"),
     "upsert_latest": (upsert, "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"),
 }
 

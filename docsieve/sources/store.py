@@ -1,16 +1,27 @@
-"""Ingest and storage: JSON arrays in, an append-only Parquet log, latest version wins on reading."""
+"""Ingest and storage: JSON in and out, an append-only Parquet log, latest version wins on reading."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve import schema
 
 
-def read_json(spark: SparkSession, path: str, *dynamic: str) -> DataFrame:
-    """Documents from files that each hold a JSON array."""
-    return spark.read.schema(schema.struct(*dynamic)).option("multiLine", True).json(path)
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder under the checkpoint folder the cluster names; under a temporary one only where all runs on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named or tempfile.mkdtemp(prefix='docsieve-')}/{uuid.uuid4().hex}"
+
+
+def read_json(spark: SparkSession, path: str, *dynamic: str, lines: bool = False) -> DataFrame:
+    """Documents from files that each hold a JSON array; with ``lines``, from files of one document a line."""
+    return spark.read.schema(schema.struct(*dynamic)).option("multiLine", not lines).json(path)
 
 
 def upsert_latest(log: DataFrame, key: str = "id", version: str = "_version_") -> DataFrame:
@@ -21,18 +32,33 @@ def upsert_latest(log: DataFrame, key: str = "id", version: str = "_version_") -
 
 
 def append(docs: DataFrame, path: str, version: int) -> None:
-    docs.withColumn("_version_", F.lit(version).cast("long")).write.mode("append").parquet(path)
+    """Write a batch to the folder of its version; a batch that is replayed takes the place of its first writing."""
+    docs.drop("_version_").write.mode("overwrite").parquet(f"{path}/_version_={version}")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a log with their versions."""
+    return spark.read.parquet(path).withColumn("_version_", F.col("_version_").cast("long"))
 
 
 def compact(spark: SparkSession, source: str, target: str) -> None:
-    """Write the current documents of a log to another folder."""
-    upsert_latest(spark.read.parquet(source)).write.mode("overwrite").parquet(target)
+    """Write the current documents of a log to another log, as one batch of the last version."""
+    log = read_log(spark, source)
+    append(upsert_latest(log), target, log.agg(F.max("_version_")).first()[0])
 
 
 def write_json(docs: DataFrame, path: str) -> None:
+    """One document a line."""
     docs.select(F.to_json(F.struct(*docs.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_json_arrays(docs: DataFrame, path: str, rows: int = 1000) -> None:
+    """Files that each hold an array of at most ``rows`` documents."""
+    numbered = docs.select(F.to_json(F.struct(*docs.columns)).alias("doc"), F.floor(F.monotonically_increasing_id() / rows).alias("part"))
+    arrays = numbered.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("doc"), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def index_postings(docs: DataFrame, name: str) -> DataFrame:
     """(field, term, id, tf, positions) of an analysed field, for many queries over one corpus."""
     from docsieve.plans.compile import tokens

@@ -10,10 +10,10 @@ from docsieve.sources.store import append
 
 
 def stream_json(spark: SparkSession, source: str, log: str, checkpoint: str, every: str | None = "1 second", *dynamic: str) -> StreamingQuery:
-    """Append each micro-batch with its number as the version; ``every`` None takes what is there and ends."""
+    """Append each micro-batch with its number as the version, so that a replayed one is not there twice; ``every`` None takes what is there and ends."""
 
     def commit(batch: DataFrame, number: int) -> None:
-        append(batch.drop("_version_"), log, number)
+        append(batch, log, number)
 
     reading = spark.readStream.schema(schema.struct(*dynamic)).option("multiLine", True).json(source)
     writing = reading.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
