@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from docsieve.llm.common import SPACES, ascii_lower, settle
 
-#: Bits of a filter and of one block of it; two bits a key. A fuller filter only lets more lines go to the exact step.
+#: Bits of a filter and of one block of it; two bits a key.
 FILTER_BITS, BLOCK_BITS = 1 << 28, 1 << 15
+#: Share of a twice-seen filter that may be set: at this one a quarter of the once-seen keys pass. A corpus that sets more
+#: has its hashes counted exactly instead, see ``crowded``; what is found is the same.
+MAX_FILL = 0.5
 BLOCK_BYTES = BLOCK_BITS // 8
 
 
@@ -37,6 +40,11 @@ def has_bits(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (filled[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def crowded(filled: np.ndarray, max_fill: float) -> bool:
+    """Whether a filter has so many bits set that it screens little."""
+    return int(np.bitwise_count(filled).sum(dtype=np.int64)) > max_fill * 8 * len(filled)
+
+
 def packed(block: np.ndarray) -> bytes:
     """A block as its bitmap, or as its positions where those are fewer bytes."""
     at = np.flatnonzero(np.unpackbits(block, bitorder="little")).astype(np.uint16)
@@ -118,7 +126,7 @@ def _by_block(merge):
     return run
 
 
-def repeated_keys(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+def repeated_keys(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = FILTER_BITS, max_fill: float = MAX_FILL) -> tuple[DataFrame, DataFrame]:
     """Suspected (key, doc_id, text_hash, line) rows, and the confirmed keys with their number of documents and last one."""
     named = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = F.transform(F.split("text", "\n", -1), line_key)
@@ -126,7 +134,9 @@ def repeated_keys(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits:
     spark = docs.sparkSession
     # explode would be given a filter on its array's size, which splits each text once more; the outer form is not.
     once = named.select(F.explode_outer(F.array_distinct(F.filter(keys, long))).alias("key")).filter("key is not null")
-    held = spark.sparkContext.broadcast(twice_filter(once.select(F.xxhash64("key")), bits)[0])
+    twice = twice_filter(once.select(F.xxhash64("key")), bits)[0]
+    exact = crowded(twice, max_fill)
+    held = spark.sparkContext.broadcast(twice[:0] if exact else twice)
 
     @F.pandas_udf("boolean")
     def suspected(hashes: pd.Series) -> pd.Series:
@@ -136,14 +146,20 @@ def repeated_keys(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits:
     # The hash is taken below the generator: a text must not travel with each of its lines.
     hashed = named.select("doc_id", F.xxhash64("text").alias("text_hash"), keys.alias("keys"))
     lines = hashed.select("doc_id", "text_hash", F.posexplode_outer("keys").alias("line", "key")).filter(long(F.col("key")))
-    suspects = settle(lines.filter(suspected(F.xxhash64("key"))))
+    if exact:
+        # Beyond the filter: hashes counted in each task and then over all. ``again`` is written, so that the join is one of
+        # two plain exchanges and a line of very many documents is split as skewed.
+        again = settle(once.groupBy(F.xxhash64("key").alias("h")).count().filter("count > 1").select("h"))
+        suspects = settle(lines.withColumn("h", F.xxhash64("key")).join(again, "h", "left_semi").drop("h"))
+    else:
+        suspects = settle(lines.filter(suspected(F.xxhash64("key"))))
     # One row for each key, document and task; a line held by a third of the documents is counted in each task first.
     confirmed = suspects.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("last_doc"))
     # Written, so that the join with it is one of two plain exchanges: a key of very many lines is then split as skewed.
     return suspects, settle(confirmed.filter(F.col("n_docs") >= min_docs))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = FILTER_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = FILTER_BITS, max_fill: float = MAX_FILL) -> DataFrame:
     """Every column of ``docs`` (doc_id, text, ...) plus kept_text, n_lines and n_dropped.
 
     A line's key is the line stripped of white space with A-Z lower-cased. Keys of ``min_chars`` code points or more in
@@ -154,7 +170,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: i
     Texts are dealt out once, by doc_id; beside them stand the numbers of a document's lost lines, four bytes for each line
     of ``min_chars`` or more, so the hashed side is at most a fifth of the texts.
     """
-    suspects, confirmed = repeated_keys(docs, min_docs, min_chars, bits)
+    suspects, confirmed = repeated_keys(docs, min_docs, min_chars, bits, max_fill)
     lost = suspects.join(confirmed, "key").filter(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
     # All columns travel in one struct, so no name of theirs can clash.
     row = docs.select(F.struct("*").alias("row"))

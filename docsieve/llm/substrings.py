@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import per_slice, settle
-from docsieve.llm.lines import FILTER_BITS, has_bits, positions, twice_filter
+from docsieve.llm.lines import FILTER_BITS, MAX_FILL, crowded, has_bits, positions, twice_filter
 
 GRAM = 32
 #: Contexts refined at once; a bucket with more distinct ones is refined window offset by window offset.
@@ -135,8 +135,35 @@ def blocks(h: int, at: int, lo: int, hi: int, raw: bytes, length: int) -> list[t
     return out
 
 
-def contexts(named: DataFrame, length: int, bits: int, frequent: int) -> DataFrame:
-    """CONTEXTS: each suspected anchor with the bytes of its windows, ``lead`` of them before it; and known repeats."""
+def counted(named: DataFrame, length: int, frequent: int) -> DataFrame:
+    """Texts with an anchor hash that is in the corpus twice or more, beside all such hashes of theirs (``again``) and those
+    that are frequent (``many``): nine bytes an anchor, which is one position in thirty-five."""
+
+    def make():
+        def step(part):
+            data, ends = contents(part, 1)
+            at, h, _ = anchors(data, ends, length)
+            if not len(at):
+                return None
+            ids = part.column(0).to_numpy()[np.searchsorted(ends, at, side="right")]
+            code, n = np.unique(h, return_inverse=True, return_counts=True)[1:]
+            order = np.lexsort((code, ids))
+            some = order[np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(code[order]) != 0)]]
+            return pa.record_batch([pa.array(ids[some]), pa.array(h[some].view(np.int64)), pa.array(n[code[some]])], ["doc_id", "h", "n"])
+
+        return step
+
+    held = settle(per_slice(named, make, "doc_id long, h long, n long", size=ANCHOR_BYTES))
+    again = settle(held.groupBy("h").agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter("n > 1").select("h", (F.col("most") >= frequent).alias("often")))
+    lists = held.select("doc_id", "h").join(again, "h").groupBy("doc_id").agg(F.collect_list("h").alias("again"), F.collect_list(F.when(F.col("often"), F.col("h"))).alias("many"))
+    return named.join(lists, "doc_id").select("doc_id", "text", "again", "many")
+
+
+def contexts(named: DataFrame, length: int, bits: int, frequent: int, max_fill: float) -> DataFrame:
+    """CONTEXTS: each suspected anchor with the bytes of its windows, ``lead`` of them before it; and known repeats.
+
+    A corpus that crowds the filter has its anchors counted exactly: then hashes are shuffled and, once, the texts, where a
+    full filter would send the bytes of every window."""
     width = length - GRAM + 1
 
     def hashes():
@@ -147,18 +174,23 @@ def contexts(named: DataFrame, length: int, bits: int, frequent: int) -> DataFra
 
         return step
 
-    held = named.sparkSession.sparkContext.broadcast(twice_filter(per_slice(named, hashes, "h long, n long", size=ANCHOR_BYTES), bits, frequent))
+    filters = twice_filter(per_slice(named, hashes, "h long, n long", size=ANCHOR_BYTES), bits, frequent)
+    exact = crowded(filters[0], max_fill)
+    held = None if exact else named.sparkSession.sparkContext.broadcast(filters)
 
     def cut():
-        twice, many = held.value
+        twice, many = (None, None) if exact else held.value
         seen: dict[bytes, tuple[int, int]] = {}
 
         def step(part):
             data, ends = contents(part, 1)
             at, h, least = anchors(data, ends, length)
-            a, b = positions(h.view(np.int64), bits)
-            keep = has_bits(twice, a) & has_bits(twice, b)
-            crowd = (has_bits(many, a) & has_bits(many, b))[keep]
+            if exact:  # whether a hash is suspected does not depend on the text
+                keep, crowd = (np.isin(h.view(np.int64), part.column(k).flatten().to_numpy()) for k in (2, 3))
+            else:
+                a, b = positions(h.view(np.int64), bits)
+                keep, crowd = (has_bits(x, a) & has_bits(x, b) for x in (twice, many))
+            crowd = crowd[keep]
             at, h = at[keep], h[keep]
             doc = np.searchsorted(ends, at, side="right")
             first = np.r_[0, ends][doc]
@@ -182,7 +214,7 @@ def contexts(named: DataFrame, length: int, bits: int, frequent: int) -> DataFra
 
         return step
 
-    return per_slice(named, cut, CONTEXTS, size=ANCHOR_BYTES)
+    return per_slice(counted(named, length, frequent) if exact else named, cut, CONTEXTS, size=ANCHOR_BYTES)
 
 
 def initial_pointers(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +351,7 @@ def repeated_runs(suspects: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(work, "doc long, first long, last long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, bits: int = FILTER_BITS, frequent: int = FREQUENT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, bits: int = FILTER_BITS, frequent: int = FREQUENT, max_fill: float = MAX_FILL) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary: the bytes left) of each row of ``docs`` (doc_id, text).
 
     A byte goes where a ``length``-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the
@@ -328,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, bits: int = FILTER_BITS,
     result; other columns are ignored.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = repeated_runs(contexts(named.filter("doc_id is not null and text is not null"), length, bits, frequent), length)
+    runs = repeated_runs(contexts(named.filter("doc_id is not null and text is not null"), length, bits, frequent, max_fill), length)
     # Sixteen bytes a run and one run an anchor (a position in thirty-five) at most: the hashed side is under half the texts.
     spans = settle(runs.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("runs")))
     joined = named.join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", F.col("runs.first").alias("firsts"), F.col("runs.last").alias("lasts"))

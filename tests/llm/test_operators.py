@@ -74,12 +74,13 @@ def test_line_dedup(docs):
         for x in (t or "").split("\n"):
             if len(k := low(x.strip(" \t\n\x0b\f\r"))) >= 20:
                 keys.setdefault(k, set()).add(i)
-    found = lines.dedup_lines(docs, bits=1 << 16)
-    assert {"kept_text", "n_lines", "n_dropped", *docs.columns} == set(found.columns)
-    for r in found.collect():
-        parts = (dict(ROWS)[r.doc_id] or "").split("\n")
-        kept = [x for x in parts if len(o := keys.get(low(x.strip(" \t\n\x0b\f\r")), ())) < 3 or max(o) == r.doc_id]
-        assert (r.n_lines, r.n_dropped, r.kept_text) == (len(parts), len(parts) - len(kept), "\n".join(kept))
+    for fill in (lines.MAX_FILL, 0.0):  # screened by the filter, and counted where that is crowded
+        found = lines.dedup_lines(docs, bits=1 << 16, max_fill=fill)
+        assert {"kept_text", "n_lines", "n_dropped", *docs.columns} == set(found.columns)
+        for r in found.collect():
+            parts = (dict(ROWS)[r.doc_id] or "").split("\n")
+            kept = [x for x in parts if len(o := keys.get(low(x.strip(" \t\n\x0b\f\r")), ())) < 3 or max(o) == r.doc_id]
+            assert (r.n_lines, r.n_dropped, r.kept_text) == (len(parts), len(parts) - len(kept), "\n".join(kept))
 
 
 def test_substrings(docs, monkeypatch):
@@ -96,8 +97,10 @@ def test_substrings(docs, monkeypatch):
         return out
 
     want = expected()
-    for frequent in (2, 16):  # nearly all anchors cut into blocks of offsets, and nearly none
-        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(docs, bits=1 << 18, frequent=frequent).collect()} == want
+    # Nearly all anchors cut into blocks of offsets, and nearly none; the filter screens, and is crowded.
+    for frequent, fill in ((2, 0.5), (16, 0.5), (2, 0.0), (16, 0.0)):
+        found = substrings.remove_repeats(docs, bits=1 << 18, frequent=frequent, max_fill=fill)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found.collect()} == want
 
 
 def test_crowded_bucket_is_compared_by_offset(monkeypatch):
