@@ -38,8 +38,8 @@ def loaded(vocabulary: str):
     return Tokenizer.from_file(vocabulary), {}
 
 
-def encoder(vocabulary: str):
-    """A function from an Arrow array of texts to (ids of all texts in a row, offsets by text), END_ID after each text.
+def encoder(vocabulary: str, end_id: int = END_ID):
+    """A function from an Arrow array of texts to (ids of all texts in a row, offsets by text), ``end_id`` after each text.
 
     The vocabulary drops white space, so words are encoded by themselves, each distinct word once a batch."""
     tokenizer, known = loaded(vocabulary)
@@ -59,11 +59,11 @@ def encoder(vocabulary: str):
             raw, last = np.fromiter(chain.from_iterable(found), np.uint32).tobytes(), 0
             for w, ids in zip(fresh[k : k + 20_000], found, strict=True):
                 known[w], last = raw[last : last + 4 * len(ids)], last + 4 * len(ids)
-        parts = [*map(known.__getitem__, words), np.uint32(END_ID).tobytes()]
+        parts = [*map(known.__getitem__, words), np.uint32(end_id).tobytes()]
         flat = np.frombuffer(b"".join(parts), np.uint32)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         starts = np.cumsum(sizes) - sizes
-        # One more code, for END_ID, after the words of each text.
+        # One more code, for the end id, after the words of each text.
         codes = np.insert(codes.astype(np.int64), offsets[1:], len(words))
         offsets = offsets + np.arange(len(offsets))
         n = sizes[codes]

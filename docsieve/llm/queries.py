@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import classifier, decontamination, lines, packing, rules, sharding, simhash, substrings, tokens, toxicity
+from docsieve.llm import binary, classifier, decontamination, lines, merkle, packing, rules, sharding, simhash, substrings, tokens, toxicity, whitening
 from docsieve.llm.common import documents
 
 
@@ -62,6 +62,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir), merkle.without_newlines())
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 OP10_SQL = """
 WITH texts AS (
   SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark),
@@ -132,6 +144,51 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM s
 """
 
+def field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END"
+
+
+def leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(field_sql, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def levels_sql(name: str, start: str) -> str:
+    """A tree's nodes by level (t: which tree), and beside each node its siblings before and after it."""
+    beside = lambda frame: f"coalesce(string_agg(node, '') OVER (PARTITION BY t, lvl, idx // 3 ORDER BY idx ROWS BETWEEN {frame}), '')"
+    return f"""{name} AS (
+  {start}
+  UNION ALL SELECT t, lvl + 1, idx // 3, sha256(string_agg(node, '' ORDER BY idx)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY t, lvl, idx // 3, n),
+{name}_runs AS (SELECT t, lvl, idx, {beside('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS b, {beside('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS a FROM {name} WHERE n > 1)"""
+
+
+#: The even checksums are found with a CRC table, as for op9; trees level by level; folding step by step through both trees.
+OP12_SQL = f"""
+WITH RECURSIVE step AS (
+  SELECT 0 AS k, range AS i, range AS c FROM range(256)
+  UNION ALL SELECT k + 1, i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+even AS (
+  SELECT doc_id, source, lang, n_chars, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+    lambda c, y: xor(c >> 8, tab[xor(c, y) % 256 + 1])), 4294967295) % 2 = 0 AS is_even FROM documents CROSS JOIN crc),
+shown AS (SELECT *, CASE WHEN is_even THEN replace(text, chr(10), '') ELSE text END AS tampered FROM even),
+hashed AS (SELECT doc_id, source, {leaf_sql('text')} AS leaf, {leaf_sql('tampered')} AS own FROM shown),
+leaves AS (SELECT doc_id, source AS t, leaf, own, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM hashed),
+{levels_sql('low', 'SELECT t, 0 AS lvl, idx, leaf AS node, n FROM leaves')},
+tops AS (SELECT t AS source, node, row_number() OVER (ORDER BY t NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+{levels_sql('high', "SELECT 'root' AS t, 0 AS lvl, idx, node, n FROM tops")},
+whole AS (SELECT node AS root FROM high WHERE n = 1),
+fold AS (
+  SELECT doc_id, t, leaf, 0 AS lvl, idx, own AS node, '' AS proof FROM leaves
+  UNION ALL SELECT doc_id, f.t, leaf, f.lvl + 1, f.idx // 3, sha256(b || node || a), proof || b || a FROM fold f JOIN low_runs r ON f.t IS NOT DISTINCT FROM r.t AND f.lvl = r.lvl AND f.idx = r.idx),
+mid AS (
+  SELECT doc_id, fold.t, leaf, tops.node AS subroot, tops.idx, fold.node, proof FROM fold JOIN tops ON fold.t IS NOT DISTINCT FROM tops.source
+  QUALIFY lvl = max(lvl) OVER (PARTITION BY fold.t)),
+up AS (
+  SELECT doc_id, leaf, subroot, 0 AS lvl, idx, node, proof FROM mid
+  UNION ALL SELECT doc_id, leaf, subroot, f.lvl + 1, f.idx // 3, sha256(b || node || a), proof || b || a FROM up f JOIN high_runs r ON f.lvl = r.lvl AND f.idx = r.idx)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified FROM up CROSS JOIN whole QUALIFY lvl = max(lvl) OVER ()
+"""
+
 COUNTS_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 w AS (SELECT doc_id, x, list_filter(string_split(translate(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda v: v <> '') AS w FROM t),
@@ -160,9 +217,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_sharding": op9_sharding,
         "op10_decontamination": op10_decontamination,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_token_files": op13_token_files,
         "quality_counts": quality_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": OP3_SQL, "quality_counts": COUNTS_SQL, "op4_line_dedup": OP4_SQL, "op9_sharding": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op3_suffix_dedup": OP3_SQL, "quality_counts": COUNTS_SQL, "op4_line_dedup": OP4_SQL, "op9_sharding": OP9_SQL, "op10_decontamination": OP10_SQL, "op12_merkle_manifest": OP12_SQL}
