@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import SLICE_BYTES, SLICE_ROWS, per_slice, settle, shared_dir
+from docsieve.llm.common import SLICE_BYTES, SLICE_ROWS, shared_dir, slices
 from docsieve.llm.packing import encoder, loaded
 
 END_ID = 1
@@ -38,56 +38,38 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(f"file://{path[5:] if path.startswith('file:') else path}" if path.startswith(("/", "file:/")) and "://" not in path else path)
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int, width: int) -> DataFrame:
-    """doc_id and the ids of its text, ``width`` bytes each, with ``end_id`` after them."""
-
-    def make():
-        ids_of = encoder(vocabulary, end_id)
-
-        def step(part: pa.RecordBatch) -> pa.RecordBatch:
-            ids, ends = ids_of(part.column(1))
-            raw, ends = ids.astype(f"<u{width}").tobytes(), (ends * width).tolist()
-            return pa.record_batch([part.column(0), pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "ids"])
-
-        return step
-
-    return per_slice(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, ids binary")
-
-
 def write_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) to the folder ``path`` and return its manifest.
 
-    A null or empty text is its end id alone; null doc_ids come first; rows of one doc_id stand in the order of their ids'
-    length and checksum; an empty table gives a manifest without rows; other columns are ignored. Texts are encoded once
-    and their ids, two bytes each as a rule, shuffled once; ranges cut through rows of one doc_id. Where 16 bits hold the
-    vocabulary and the end id they are used.
+    A null or empty text is its end id alone; null doc_ids come first; rows of one doc_id stand in the order of their texts'
+    length and checksum; an empty table gives a manifest without rows; other columns are ignored. Texts are shuffled once, by
+    ranges that cut through rows of one doc_id, and each range is encoded as its files are written, so ids are kept nowhere
+    else. Where 16 bits hold the vocabulary and the end id they are used.
     """
     spark = docs.sparkSession
     width = 2 if max(loaded(vocabulary)[0].get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    made = settle(encode(docs, vocabulary, end_id, width)).withColumn("tie", F.monotonically_increasing_id())
-    order = [F.col("doc_id").asc_nulls_first(), F.length("ids"), F.crc32("ids"), "tie"]
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = named.select("*", F.octet_length("text").alias("size"), F.crc32("text").alias("checksum"), F.monotonically_increasing_id().alias("tie"))
+    order = [F.col("doc_id").asc_nulls_first(), "size", "checksum", "tie"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, streams, docs_done, nulls, tokens = TaskContext.get(), None, 0, 0, 0
-        name = f"{task.partitionId():06d}-{task.taskAttemptId()}"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        name, encode = f"{task.partitionId():06d}-{task.taskAttemptId()}", encoder(vocabulary, end_id)
+        for part in slices(batches):
             if streams is None:
                 fs, folder = file_system(path)
                 fs.create_dir(folder, recursive=True)
                 streams = [fs.open_output_stream(f"{folder}/{name}.{kind}") for kind in ("ids", "offsets", "docs")]
-            ids = batch.column(1).to_pylist()
-            ends = tokens + np.cumsum([len(x) // width for x in ids])
-            for stream, data in zip(streams, (b"".join(ids), ends.astype("<u8").tobytes(), batch.column(0).fill_null(0).to_numpy().astype("<i8").tobytes()), strict=True):
-                stream.write(data)
-            docs_done, nulls, tokens = docs_done + len(ids), nulls + batch.column(0).null_count, int(ends[-1])
+            ids, ends = encode(part.column(1))
+            for stream, numbers in zip(streams, (ids.astype(f"<u{width}"), (tokens + ends[1:]).astype("<u8"), part.column(0).fill_null(0).to_numpy().astype("<i8")), strict=True):
+                stream.write(numbers.tobytes())
+            docs_done, nulls, tokens = docs_done + part.num_rows, nulls + part.column(0).null_count, tokens + len(ids)
         if streams is not None:
             for stream in streams:
                 stream.close()
             yield pa.record_batch([pa.array([x]) for x in (task.partitionId(), name, docs_done, nulls, tokens)], ["part", "name", "n_docs", "n_null", "n_tokens"])
 
-    ranged = made.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     # One row a partition, whatever the number of documents.
     parts = sorted(ranged.mapInArrow(write, "part long, name string, n_docs long, n_null long, n_tokens long").collect())
     docs_before, tokens_before = (accumulate((r[k] for r in parts[:-1]), initial=0) for k in ("n_docs", "n_tokens"))
