@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from docsieve import schema
 from docsieve.errors import SearchError
-from docsieve.functions import present
+from docsieve.functions import highlight, present
 from docsieve.parser import Bool, Leaf, parse
-from docsieve.plans.compile import Compiled, boost_function, order, predicate
+from docsieve.plans import terms
+from docsieve.plans.boost import boost_function
+from docsieve.plans.compile import Compiled, frequency, order, predicate, tokens
 from docsieve.request import ALL, SearchRequest, rewrite
 
 
@@ -33,6 +37,7 @@ class SearchResult:
     highlighting: DataFrame | None = None
     debug: dict = field(default_factory=dict)
     ranked: DataFrame | None = None
+    cards: DataFrame | None = None
 
     def to_dict(self) -> dict:
         """The answer as the JSON interface gives it: one page, so small. What all parts read is computed once and kept
@@ -68,53 +73,61 @@ def empty_answer(error: str | None) -> dict:
     return {"docs": [], "groups": [], "grouped": False, "num_found": 0, "facets": {}, "highlighting": {}, "debug": {}, "error": error}
 
 
-def predicate_of(node: Leaf | Bool) -> Column:
-    """A filter expression: no scores, no statistics."""
+def predicate_of(node: Leaf | Bool, available: set[str] | None = None) -> Column:
+    """A filter expression: no scores, no statistics. ``available``: fields that the documents have."""
     if isinstance(node, Leaf):
         if node.kind == "all":
             return F.lit(True)
         if node.field is None:
             raise SearchError("a filter clause needs a field")
         f = schema.field(node.field)
+        if available is not None and node.field not in available:
+            raise SearchError(f"cannot filter by {node.field}: the documents have no such field")
         if f.text and node.kind not in ("exists",):
-            from docsieve.plans.compile import frequency, tokens
-
             found = frequency(node, node.field, tokens(node.field))
             return F.lit(False) if found is None else found > 0
         return predicate(Leaf("term" if node.kind == "phrase" else node.kind, node.text, node.field, node.slop, node.low, node.high, node.closed))
-    must = [predicate_of(p) for o, p in node.parts if o == "must"]
-    should = [predicate_of(p) for o, p in node.parts if o == "should"]
-    never = [~predicate_of(p) for o, p in node.parts if o == "not"]
+    must = [predicate_of(p, available) for o, p in node.parts if o == "must"]
+    should = [predicate_of(p, available) for o, p in node.parts if o == "should"]
+    never = [~predicate_of(p, available) for o, p in node.parts if o == "not"]
     both = must + never + ([reduce(lambda a, b: a | b, should)] if should and not must else [])
     return reduce(lambda a, b: a & b, both, F.lit(True))
 
 
-def filters(request: SearchRequest) -> dict[str, Column]:
+def day(name: str, text: str, time: str) -> Column:
+    try:
+        return F.lit(dt.datetime.fromisoformat(f"{dt.date.fromisoformat(text)} {time}")).cast("timestamp_ntz")
+    except ValueError:
+        raise SearchError(f"{name} must be a date: {text}") from None
+
+
+def filters(request: SearchRequest, available: set[str] | None = None) -> dict[str, Column]:
     """The filters of a request by tag; values are literals, a missing date is no bound."""
     out = {}
+    asked = {"language": request.lang, "repository": request.repository, "file_type": request.file_type, "last_modified": request.date_from or request.date_to}
+    for name, value in asked.items():
+        if value and available is not None and name not in available:
+            raise SearchError(f"cannot filter by {name}: the documents have no such field")
     if request.lang:
         out["language"] = F.col("language") == request.lang
     for name in ("repository", "file_type"):
         if values := getattr(request, name):
             out[name] = F.col(name).isin(*values)
     if request.date_from:
-        out["from"] = F.col("last_modified") >= F.lit(f"{request.date_from} 00:00:00").cast("timestamp_ntz")
+        out["from"] = F.col("last_modified") >= day("date_from", request.date_from, "00:00:00")
     if request.date_to:
-        out["to"] = F.col("last_modified") <= F.lit(f"{request.date_to} 23:59:59").cast("timestamp_ntz")
+        out["to"] = F.col("last_modified") <= day("date_to", request.date_to, "23:59:59")
     if request.fq:
         # A tag that the user types lets the facet of that name ignore the filter.
-        tag, own = re.match(r"\s*(?:\{!tag=(\w+)\})?", request.fq)[1] or "fq", predicate_of(parse(request.fq))
+        tag, own = re.match(r"\s*(?:\{!tag=(\w+)\})?", request.fq)[1] or "fq", predicate_of(parse(request.fq), available)
         out[tag] = out[tag] & own if tag in out else own
     return out
 
 
-def leaf_terms(node: Leaf | Bool) -> list[str]:
-    """The words a highlighter marks: positive clauses only."""
-    from docsieve.functions.analysis import query_tokens
-
-    if isinstance(node, Leaf):
-        return [x for t in query_tokens("general", node.text) for x in t.terms] if node.kind in ("term", "phrase", "fuzzy") else []
-    return [x for o, p in node.parts if o != "not" for x in leaf_terms(p)]
+def whole_query(request: SearchRequest, node: Bool) -> str | None:
+    """The query as one value, where it is several plain words: a field that is not analysed may hold just that."""
+    plain = all(isinstance(p, Leaf) and o != "not" and p == Leaf("term", p.text) for o, p in node.parts)
+    return request.q.strip() if plain and len(node.parts) > 1 and request.parser != "lucene" and rewrite(request) == request.q else None
 
 
 class SearchEngine:
@@ -143,13 +156,40 @@ class SearchEngine:
         return True
 
     def answer(self, args: Mapping) -> dict:
-        """The answer to URL arguments. A request that asks for nothing runs nothing; one that cannot be answered gives the
-        same structure, empty, with the reason in ``error``."""
+        """The answer to URL arguments; without any, the first page of all documents. A request that cannot be answered gives
+        the same structure, empty, with the reason in ``error``."""
+        try:
+            return self.search(SearchRequest.from_args(args)).to_dict()
+        except (ValueError, PySparkException) as error:
+            return empty_answer(str(error))
+
+    def browse(self, args: Mapping) -> dict:
+        """As ``answer``, but a request that asks for nothing runs nothing, as on a start page."""
         try:
-            request = SearchRequest.from_args(args)
-            return self.search(request).to_dict() if request.active else empty_answer(None)
+            idle = not SearchRequest.from_args(args).active
         except ValueError as error:
             return empty_answer(str(error))
+        return empty_answer(None) if idle else self.answer(args)
+
+    def vocabulary(self, name: str) -> DataFrame:
+        """The distinct terms of an analysed field: a pass over its texts."""
+        source = self.docs.repartition(self.partitions) if self.few else self.docs
+        return source.select(F.explode_outer(F.array_distinct(F.transform(tokens(name), lambda t: t["term"]))).alias("term")).filter("term is not null").distinct()
+
+    def named(self, node: Leaf | Bool, weights: dict[str, float], available: set[str]) -> dict[tuple[Leaf, str], terms.Terms | None]:
+        """The terms that fuzzy, wildcard, regex and range clauses name, each distinct term tested once. This runs when a
+        request is planned."""
+        asked: dict[str, list[Leaf]] = {}
+        for leaf, name in terms.tested(node, [n for n in weights if n in available]):
+            if name in available and leaf not in asked.setdefault(name, []):
+                asked[name].append(leaf)
+        return {(leaf, name): some for name, leaves in asked.items() for leaf, some in zip(leaves, terms.resolve(self.vocabulary(name), leaves), strict=True)}
+
+    def compiled(self, request: SearchRequest, available: set[str]) -> Compiled:
+        weights = {"edismax": schema.WEIGHTS, "dismax": schema.DISMAX_WEIGHTS, "lucene": {"content": 1.0}}[request.parser]
+        mm = (request.mm or "1") if request.parser == "edismax" and request.op == "OR" else None
+        node = self.parse(request)
+        return Compiled(node, weights, available, mm, whole_query(request, node), self.named(node, weights, available))
 
     def parse(self, request: SearchRequest) -> Bool:
         return parse(rewrite(request), request.op)
@@ -158,17 +198,15 @@ class SearchEngine:
         """Every matching document: id, score, a flag for each filter, and the columns that facets, groups and sorts read.
 
         With ``push``, and where the query needs no statistics, filters are applied to the documents instead of flagged."""
-        weights = {"edismax": schema.WEIGHTS, "dismax": schema.DISMAX_WEIGHTS, "lucene": {"content": 1.0}}[request.parser]
-        mm = (request.mm or "1") if request.parser == "edismax" and request.op == "OR" else None
-        q = Compiled(self.parse(request), weights, set(self.docs.columns), mm)
-        kept, source = filters(request), self.docs
+        q = self.compiled(request, set(self.docs.columns))
+        kept, source = filters(request, set(self.docs.columns)), self.docs
         if push and not q.row:
             source, kept = reduce(lambda d, c: d.filter(c), kept.values(), source), {}
-        names = {*self.facet_fields, *([request.group_by] if request.group_by else [])} | {p.strip().split(" ")[0] for p in request.sort.split(",")} - {"score"}
+        names = self.read(request)
         narrow = {"id": F.col("id")} | {n: F.col(n) for n in sorted(names - {"id"})}
         narrow |= {f"__k_{k}": F.coalesce(c, F.lit(False)) for k, c in kept.items()}
         if request.bf and request.parser != "lucene":
-            narrow["__bf"] = boost_function(request.bf)
+            narrow["__bf"] = boost_function(request.bf, set(self.docs.columns))
         if q.toks and self.few:
             source = source.repartition(self.partitions)
         base = source.withColumns({f"__t_{n}": c for n, c in q.toks.items()}) if q.toks else source
@@ -185,6 +223,13 @@ class SearchEngine:
         score = F.when(q.match, q.score + (F.col("__bf") if "__bf" in narrow else F.lit(0.0)))
         return rows.withColumn("score", score).filter("score is not null").select(*narrow, "score", *(c.alias(n) for n, c in explain.items()))
 
+    def read(self, request: SearchRequest) -> set[str]:
+        """The fields that facets, groups and sorts read, all checked to be there."""
+        order(request.sort, set(self.docs.columns))
+        if request.group_by and schema.field(request.group_by).name not in self.docs.columns:
+            raise SearchError(f"cannot group by {request.group_by}: the documents have no such field")
+        return {*self.facet_fields, *([request.group_by] if request.group_by else [])} | {p.strip().split(" ")[0] for p in request.sort.split(",")} - {"score"}
+
     def scored(self, request: SearchRequest) -> bool:
         """Whether the query reads corpus statistics: all do but the one for all documents."""
         return rewrite(request) != ALL
@@ -206,9 +251,11 @@ class SearchEngine:
         page = hits.orderBy(*order(request.sort)).offset(request.start).limit(request.rows).select("id", "score", *(c for c in hits.columns if c == "__explain"))
         # The wide columns are fetched for the page alone.
         docs = self.docs.join(F.broadcast(page), "id").orderBy(*order(request.sort)).withColumnRenamed("__explain", "explain")
-        marks = self._highlight(request, docs) if request.hl and request.q else None
+        # In a grouped answer the documents shown are those of the groups.
+        shown = docs if groups is None else self.docs.join(F.broadcast(groups.select(F.col("key").cast("string").alias("__group"), F.explode("docs.id").alias("id"))), "id")
+        marks = self._highlight(request, shown) if request.hl and request.q else None
         debug = {"parsedquery": repr(self.parse(request)), "q": rewrite(request)} if request.debug else {}
-        return SearchResult(request, hits, docs, self.facets(request, ranked), stats, groups, marks, debug, ranked if self.scored(request) else None)
+        return SearchResult(request, hits, docs, self.facets(request, ranked), stats, groups, marks, debug, ranked if self.scored(request) else None, self._cards(request, shown, marks))
 
     def facets(self, request: SearchRequest, ranked: DataFrame | None = None) -> DataFrame:
         """(facet, value, n) by count, then value; each facet ignores the filter of its own tag. One pass for all."""
@@ -241,8 +288,26 @@ class SearchEngine:
         return joined.orderBy("__place").select("key", "count", F.greatest(F.col("count") - schema.GROUP_LIMIT, F.lit(0)).alias("overflow"), "docs")
 
     def _highlight(self, request: SearchRequest, docs: DataFrame) -> DataFrame:
-        terms = [*dict.fromkeys(leaf_terms(self.parse(request)))]
-        names = [n for n in schema.HIGHLIGHTED if n in self.docs.columns]
-        text = lambda n: F.array_join(F.col(n), "\n") if schema.field(n).many else F.col(n)
-        rows = [F.struct(F.lit(n).alias("field"), present.snippets(F.coalesce(text(n), F.lit("")), terms, schema.SNIPPETS, schema.SNIPPET_CHARS).alias("snippets")) for n in names]
-        return docs.select("id", F.inline(F.array(*rows))).filter(F.size("snippets") > 0)
+        return highlight.highlight(docs, self.parse(request), [n for n in schema.HIGHLIGHTED if n in self.docs.columns])
+
+    def _cards(self, request: SearchRequest, docs: DataFrame, marks: DataFrame | None) -> DataFrame:
+        """What a result list shows of each document of the page: title, link, snippets and their source, author and date."""
+        grouped = "__group" in docs.columns
+        if marks is not None:
+            found = marks.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "snippets"))).alias("__marks"))
+            docs = docs.join(F.broadcast(found), "id", "left")
+        else:
+            docs = docs.withColumn("__marks", F.lit(None).cast("map<string,array<string>>"))
+        mark = lambda name: F.col("__marks").getItem(name)
+        col = lambda name: F.col(name) if name in self.docs.columns else F.lit(None).cast(schema.field(name).type)
+        path, href = col("file_path"), present.repository_href(col("url"), col("repository_path"), col("file_path"))
+        group = F.col("__group") if grouped else F.lit(None).cast("string")
+        return docs.select(
+            "id", group.alias("group"), present.display_title(F.get(mark("title"), F.lit(0)), col("title"), path, F.col("id")).alias("title"), present.action_href(path, group, href).alias("href"),
+            F.coalesce(
+                present.preferred_snippets(mark("source_code_content"), mark("content"), mark("image_orc_text"), grouped),
+                F.array(present.escaped(present.fallback_snippet(col("source_code_content"), col("image_orc_text"), col("content"), 200 if grouped else 300))),
+            ).alias("snippets"),
+            present.snippet_label(mark("source_code_content"), mark("image_orc_text")).alias("source"),
+            (F.lit("") if grouped else present.meta_line(col("author"), col("last_modified"))).alias("meta"),
+        )

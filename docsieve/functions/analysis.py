@@ -71,24 +71,45 @@ def ocr(text: Column) -> Column:
 CUT = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|[^\p{L}\p{M}\p{N}]+"
 
 
+CUTTER = regex.compile(CUT)
+
+
 def parts(token: Column) -> Column:
     return F.array_remove(F.split(token, CUT), "")
 
 
 def code(text: Column, catenate: bool = True) -> Column:
-    """Whitespace tokens as they are, their parts, and with ``catenate`` runs of word parts and of number parts joined."""
+    """Whitespace tokens cut into parts at positions of their own. A token as it is stands where its first part stands, and with
+    ``catenate`` a run of word parts or of number parts stands joined where the run begins: a graph of forms, flattened.
+
+    The n-th part of a text has position n, whatever token it is of, so no position waits for the tokens before it."""
+
+    def number(part: Column) -> Column:
+        return part.rlike(r"^\p{N}")
+
+    def joined(pieces: Column, at: Column) -> Column:
+        """The run that begins at a part, in one."""
+        kind = number(F.get(pieces, at))
+        rest = F.transform(F.slice(pieces, at + 1, F.size(pieces)), lambda x: F.when(number(x) == kind, x).otherwise(F.lit(" ")))
+        return F.get(F.split(F.array_join(rest, ""), " ", 2), F.lit(0))
+
+    def forms(token: Column) -> Column:
+        """For each part of the token, what stands at its position."""
+
+        def cut(pieces: Column) -> Column:
+            def at(part: Column, k: Column) -> Column:
+                found = [F.array(part), F.when(k == 0, F.array(token)).otherwise(F.array().cast("array<string>"))]
+                if catenate:
+                    begins = (k == 0) | (number(F.get(pieces, k - 1)) != number(part))
+                    found.append(F.when(begins, F.array(joined(pieces, k))).otherwise(F.array().cast("array<string>")))
+                return F.array_distinct(F.transform(F.concat(*found), lambda x: F.lower(x)))
+
+            return F.when(F.size(pieces) < 2, F.array(F.array_distinct(F.transform(F.concat(pieces, F.array(token)), lambda x: F.lower(x))))).otherwise(F.transform(pieces, at))
 
-    def expand(token: Column) -> Column:
-        pieces = parts(token)
-        forms = [F.array(token), pieces]
-        if catenate:
-            words = F.array_remove(F.split(F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\p{N}"), F.lit(" ")).otherwise(p)), ""), " +"), "")
-            numbers = F.array_remove(F.split(F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\p{N}"), p).otherwise(F.lit(" "))), ""), " +"), "")
-            forms += [words, numbers]
-        return F.array_distinct(F.transform(F.concat(*forms), lambda x: F.lower(x)))
+        return F.get(F.transform(F.array(parts(token)), cut), F.lit(0))
 
     tokens = F.array_remove(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), "")
-    return F.flatten(F.transform(tokens, lambda t, i: F.transform(expand(t), lambda x: F.struct(x.alias("term"), i.alias("pos")))))
+    return F.flatten(F.transform(F.flatten(F.transform(tokens, forms)), lambda found, n: F.transform(found, lambda x: F.struct(x.alias("term"), n.alias("pos")))))
 
 
 def multi(values: Column, chain) -> Column:
@@ -137,15 +158,51 @@ def parse_synonyms(text: str) -> tuple:
     return tuple(rules)
 
 
+class Piece(NamedTuple):
+    """A stretch of a query: the ways through it, each a row of neighbouring places with equivalent terms, and the places left
+    empty before it, where words were dropped."""
+
+    ways: tuple[tuple[tuple[str, ...], ...], ...]
+    skip: int = 0
+
+
+def query_pieces(kind: str, text: str) -> list[Piece]:
+    """The query-side chain of a field kind as a graph of forms. An identifier can be passed whole or part by part; from all
+    other tokens there is one way on."""
+    if kind != "code":
+        out, at = [], None
+        for t in query_tokens(kind, text):
+            out.append(Piece(((t.terms,),), 0 if at is None else t.pos - at - 1))
+            at = t.pos
+        return out
+    out = []
+    for token in text.split():
+        whole, cut = ((token.lower(),),), tuple((p.lower(),) for p in CUTTER.split(token) if p)
+        out.append(Piece((whole, cut) if cut and cut != whole else (whole,)))
+    return out
+
+
+def slots(pieces: list[Piece]) -> list[Token]:
+    """The longest way through the pieces, place by place."""
+    out, at = [], 0
+    for p in pieces:
+        at += p.skip
+        for terms in max(p.ways, key=len):
+            out.append(Token(terms, at))
+            at += 1
+    return out
+
+
 def query_tokens(kind: str, text: str) -> list[Token]:
-    """The query-side chain of a field kind."""
+    """The query-side chain of a field kind, place by place; identifiers are given part by part, and whole at their first part."""
     if kind == "string":
         return [Token((text,), 0)] if text else []
     if kind == "code":
-        cut = regex.compile(CUT.replace(r"\p{L}\p{M}\p{N}", r"\p{L}\p{M}\p{N}"))
-        out = []
-        for i, token in enumerate(text.split()):
-            out += [Token((x,), i) for x in dict.fromkeys(p.lower() for p in [token, *cut.split(token)] if p)]
+        out, at = [], 0
+        for p in query_pieces(kind, text):
+            for way in p.ways:
+                out += [Token(terms, at + k) for k, terms in enumerate(way)]
+            at += max(map(len, p.ways))
         return out
     spaced = regex.sub(r"([\p{Han}\p{Hiragana}])", r" \1 ", text)
     words = [(i, w) for i, w in enumerate(x for x in regex.split(BREAK, spaced) if x)]

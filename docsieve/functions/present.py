@@ -73,7 +73,8 @@ def fallback_snippet(code: Column, ocr: Column, content: Column, chars: int = 30
 
 def snippet_label(code: Column, ocr: Column) -> Column:
     """Which field the snippets shown come from."""
-    return F.when(F.size(code) > 0, "code").when(F.size(ocr) > 0, "ocr").otherwise("text")
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    return F.when(some(code), "code").when(some(ocr), "ocr").otherwise("text")
 
 
 def preferred_snippets(code: Column, content: Column, ocr: Column, grouped: bool = False) -> Column:
@@ -87,16 +88,3 @@ def escaped(text: Column) -> Column:
     for plain, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(plain), F.lit(code))
     return text
-
-
-def snippets(text: Column, terms: list[str], count: int = 3, chars: int = 150) -> Column:
-    """Up to ``count`` word-aligned pieces of the text around matches, HTML-escaped, matches in <mark>."""
-    import re
-
-    if not terms:
-        return F.array().cast("array<string>")
-    word = r"(?i)(?<![\p{L}\p{M}\p{N}])(" + "|".join(sorted(map(re.escape, terms), key=len, reverse=True)) + r")(?![\p{L}\p{M}\p{N}])"
-    side = max(0, chars // 2 - 10)
-    around = rf"(?s)(?i)(?:(?<=\s)|^).{{0,{side}}}{word[4:]}.{{0,{side}}}(?=\s|$)"
-    pieces = F.slice(F.regexp_extract_all(text, F.lit(around), F.lit(0)), 1, count)
-    return F.transform(pieces, lambda p: F.regexp_replace(escaped(p), word, "<mark>$1</mark>"))

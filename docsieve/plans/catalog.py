@@ -39,6 +39,23 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").cast("string").alias("id"), F.array("p_name").alias("title"), F.col("p_brand").alias("repository"), F.col("p_type").alias("file_type"), F.col("p_size").alias("size_i"), F.col("p_retailprice").alias("price_d"))
 
 
+def makers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose author is a value of two words."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select(F.col("p_partkey").cast("string").alias("id"), F.array("p_name").alias("title"), F.concat_ws(" ", "p_brand", "p_type").alias("author"))
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as lines of code: getRedWidget12 = economy_Brand#17"""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    line = F.concat(F.lit("get"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.col("p_size"), F.lit(" = "), F.lower("p_type"), F.lit("_"), F.col("p_brand"))
+    return p.select(F.col("p_partkey").cast("string").alias("id"), line.alias("source_code_content"))
+
+
+def code_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(sources(spark, sf_dir)).select("id", F.inline(analysis.code(F.col("source_code_content"))))
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").alias("last_modified"), F.col("o_orderstatus").alias("repository"), F.col("o_orderpriority").alias("file_type"))
@@ -122,12 +139,32 @@ TRIO = {**PAIR, "c": is_("this")}
 FOUR = {**TRIO, "d": is_("are")}
 
 
-def pairs_sql(distance: str) -> str:
-    return f"""WITH {TOKENS}, near AS (
-  SELECT x.id, x.i, min(abs(y.i - x.i - 1)) AS gap FROM words x JOIN words y ON x.id = y.id AND x.t = 'that' AND y.t = 'from' GROUP BY x.id, x.i),
-tf AS (SELECT id, sum(1.0 / (1 + gap))::DOUBLE AS f FROM near WHERE gap <= {distance} GROUP BY id), df AS (SELECT count(*) AS df FROM tf)
-SELECT tf.id::VARCHAR AS id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * f / (f + 1.2 * (0.25 + 0.75 * dl / a)), 6) AS score
-FROM tf JOIN lens ON lens.id = tf.id CROSS JOIN stats CROSS JOIN df"""
+def phrase_sql(terms: list[str], slop: int, where: str = "") -> str:
+    """Phrases by trying every choice of places: of those that a place of the first term can be part of, the one whose places,
+    each less its term's offset, lie closest together. No place is chosen twice. A phrase's rarity is that of its terms together."""
+    shifted = ", ".join(f"x{k}.i - {k}" for k in range(len(terms)))
+    joins = "".join(f" JOIN words x{k} ON x{k}.id = x0.id AND x{k}.t = '{t}' AND x{k}.i - x0.i - {k} BETWEEN -{slop} AND {slop}" + "".join(f" AND x{k}.i <> x{j}.i" for j in range(k)) for k, t in enumerate(terms) if k)
+    idf = " + ".join(f"(SELECT ln(1 + (n - count(DISTINCT id) + 0.5) / (count(DISTINCT id) + 0.5)) FROM words, stats WHERE t = '{t}' GROUP BY n)" for t in terms)
+    return f"""WITH {TOKENS}, near AS (SELECT x0.id, x0.i, min(greatest({shifted}) - least({shifted})) AS gap FROM words x0{joins} WHERE x0.t = '{terms[0]}' GROUP BY x0.id, x0.i),
+tf AS (SELECT id, sum(1.0 / (1 + gap))::DOUBLE AS f FROM near WHERE gap <= {slop} GROUP BY id)
+SELECT tf.id::VARCHAR AS id, round(({idf}) * f / (f + 1.2 * (0.25 + 0.75 * dl / a)), 6) AS score FROM tf JOIN lens ON lens.id = tf.id CROSS JOIN stats {where}"""
+
+
+def edits_sql(word: str) -> str:
+    """How many edits a term ``t`` is from a word, a swap of neighbours being one and no place edited twice; 3 for more than two.
+    Plain distance knows no swaps, so terms with one swap, two swaps, or a swap and an edit beside it are told by their parts. It
+    also counts bytes, so each character that a word of plain letters cannot hold stands for one byte."""
+    t = "regexp_replace(t, '[^ -~]', '#', 'g')"
+    swaps = [(word[:k], word[k + 1] + word[k], word[k + 2 :]) for k in range(len(word) - 1) if word[k] != word[k + 1]]
+    two = [f"'{u + pair + v[:k] + v[k + 1] + v[k] + v[k + 2 :]}'" for u, pair, v in swaps for k in range(len(v) - 1)]
+    beside = [f"(starts_with({t}, '{u + pair}') AND levenshtein(({t})[{len(u) + 3}:], '{v}') <= 1) OR (suffix({t}, '{pair + v}') AND levenshtein(({t})[: length({t}) - {len(pair + v)}], '{u}') <= 1)" for u, pair, v in swaps]
+    once = ", ".join(f"'{u + pair + v}'" for u, pair, v in swaps)
+    return f"CASE WHEN t = '{word}' THEN 0 WHEN levenshtein({t}, '{word}') = 1 OR t IN ({once}) THEN 1 WHEN levenshtein({t}, '{word}') = 2 OR {' OR '.join(beside)} OR t IN ({', '.join(two) or 'NULL'}) THEN 2 ELSE 3 END"
+
+
+def fuzzy_sql(word: str, edits: int) -> str:
+    long = f"greatest(length(t), {len(word)})"
+    return scored({"a": f"{edits_sql(word)} <= {edits}"}, "m_a = 1", "", f"sum(greatest(1.0 - ({edits_sql(word)}) / {long}, 1.0 / ({long} + 1)))::DOUBLE")
 
 
 def analyze(chain, column: str, table: str, key: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -261,6 +298,17 @@ CODE = r"""WITH t AS (SELECT unnest(string_split_regex(trim(p_name), '\s+')) AS
 p AS (SELECT t, regexp_extract_all(t, '\p{Lu}*\p{Ll}+|\p{Lu}+|\p{N}+') AS parts FROM t WHERE t <> ''),
 x AS (SELECT unnest(list_distinct(list_concat([lower(t)], list_transform(parts, lambda x: lower(x)), CASE WHEN len(parts) > 0 THEN [lower(array_to_string(list_filter(parts, lambda x: NOT regexp_matches(x, '^\p{N}')), ''))] ELSE [] END))) AS term FROM p)
 SELECT term, count(*) AS n FROM x WHERE term <> '' GROUP BY 1"""
+#: Every line has eight places: get, two words of the name, the size, =, the type, brand and its number; whole identifiers stand
+#: at the first of their parts.
+CODE_POSITIONS = """WITH p AS (SELECT p_partkey::VARCHAR AS id, string_split(p_name, ' ') AS w, p_size::VARCHAR AS s, lower(p_type) AS y, string_split(lower(p_brand), '#') AS b FROM part)
+SELECT id, unnest(['get', w[1], w[2], s, 'get' || w[1] || w[2] || s, 'get' || w[1] || w[2], '=', y, b[1], b[2], y || '_' || b[1] || '#' || b[2], y || b[1]]) AS term,
+  unnest([0, 1, 2, 3, 0, 0, 4, 5, 6, 7, 5, 5]) AS pos FROM p"""
+CODE_PHRASE = """WITH d AS (SELECT count(*) AS n, count(*) FILTER (WHERE 'red' IN string_split(p_name, ' ')) AS a, count(*) FILTER (WHERE 'widget' IN string_split(p_name, ' ')) AS b FROM part)
+SELECT p_partkey::VARCHAR AS id, round(1.5 * (ln(1 + (n - a + 0.5) / (a + 0.5)) + ln(1 + (n - b + 0.5) / (b + 0.5))) / 2.2, 6) AS score FROM part CROSS JOIN d WHERE p_name = 'red widget'"""
+#: An identifier is found whole, or as its parts in a row; here both mean the same lines.
+CODE_IDENTIFIER = """WITH d AS (SELECT count(*) AS n, count(*) FILTER (WHERE 'hot' IN string_split(p_name, ' ')) AS a, count(*) FILTER (WHERE 'gear' IN string_split(p_name, ' ')) AS b, count(*) FILTER (WHERE p_size = 3 OR p_brand = 'Brand#3') AS c FROM part)
+SELECT p_partkey::VARCHAR AS id, round(1.5 * (ln(1 + 0.5 / (n + 0.5)) + ln(1 + (n - a + 0.5) / (a + 0.5)) + ln(1 + (n - b + 0.5) / (b + 0.5)) + ln(1 + (n - c + 0.5) / (c + 0.5))) / 2.2, 6) AS score
+FROM part CROSS JOIN d WHERE p_name = 'hot gear' AND p_size = 3"""
 CARDS = f"""SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 3 = 0 THEN 'author ' || page_id ELSE '' END AS meta, left({BODY}, 300) AS snippet,
   CASE WHEN page_id % 2 = 0 THEN 'scanned' ELSE left({BODY}, 200) END AS group_snippet,
   CASE WHEN {PATH} <> '' THEN 'file://' || replace(replace(replace(replace({PATH}, '#', '%23'), '?', '%3F'), '=', '%3D'), '&', '%26') END AS file, CASE WHEN page_id % 2 = 0 THEN NULL ELSE url END AS action FROM pages"""
@@ -289,12 +337,25 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "search_not": (matches(corpus, q="that -from"), f"SELECT id, score FROM ({scored({'a': is_('that'), 'b': is_('from')}, 'm_a = 1 AND m_b = 0', '')})"),
     "search_mm_pct": (matches(corpus, q="that from this are", mm="75%"), scored(FOUR, "m_a + m_b + m_c + m_d >= 3", "")),
     "search_mm_conditional": (matches(corpus, q="that from this", mm="2<75%"), scored(TRIO, "m_a + m_b + m_c >= 2", "")),
-    "search_phrase": (matches(corpus, q="that from", phrase=True), pairs_sql("0")),
-    "search_proximity": (matches(corpus, q="that from", proximity="5"), pairs_sql("5")),
+    "search_phrase": (matches(corpus, q="that from", phrase=True), phrase_sql(["that", "from"], 0)),
+    "search_proximity": (matches(corpus, q="that from", proximity="5"), phrase_sql(["that", "from"], 5)),
+    "search_proximity3": (matches(corpus, q="from this that", proximity="8"), phrase_sql(["from", "this", "that"], 8)),
+    "search_proximity_repeat": (matches(corpus, q="that this that", proximity="12"), phrase_sql(["that", "this", "that"], 12)),
+    "search_phrase3": (matches(corpus, q='"anea eriner thanea"'), phrase_sql(["anea", "eriner", "thanea"], 0)),
+    "search_fuzzy2": (matches(corpus, q="htat~2"), fuzzy_sql("htat", 2)),
+    "search_fuzzy_swap": (matches(corpus, q="heatre", fuzzy="1"), fuzzy_sql("heatre", 1)),
+    "search_text_range": (matches(corpus, q="content:{thatin TO thats]"), scored({"a": "t > 'thatin' AND t <= 'thats'"}, "m_a = 1", "")),
+    "search_whole_string": (
+        matches(makers, q="Brand#2 ECONOMY"),
+        "SELECT p_partkey::VARCHAR AS id, round(2 / 2.2 * ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS score FROM (SELECT *, count(*) OVER () AS n, count(*) FILTER (WHERE p_brand = 'Brand#2' AND p_type = 'ECONOMY') OVER () AS df FROM part) WHERE p_brand = 'Brand#2' AND p_type = 'ECONOMY'",
+    ),
+    "code_phrase": (matches(sources, q='"red widget"'), CODE_PHRASE),
+    "code_identifier": (matches(sources, q="getHotGear3"), CODE_IDENTIFIER),
+    "analyze_code_positions": (code_positions, CODE_POSITIONS),
     "search_exact_terms": (matches(corpus, q="that from", exact=True), scored(PAIR, "m_a + m_b >= 1", "")),
     "search_fuzzy1": (
         matches(corpus, q="that", fuzzy="1"),
-        scored({"a": "damerau_levenshtein(t, 'that') <= 1"}, "m_a = 1", "", "sum(greatest(0, 1.0 - levenshtein(t, 'that') / greatest(length(t), 4)))::DOUBLE"),
+        fuzzy_sql("that", 1),
     ),
     "search_prefix": (matches(corpus, q="thatn*"), scored({"a": "starts_with(t, 'thatn')"}, "m_a = 1", "")),
     "search_wildcard": (matches(corpus, q="th?t"), scored({"a": "regexp_full_match(t, 'th.t')"}, "m_a = 1", "")),
@@ -309,10 +370,10 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "search_grammar": (matches(corpus, q="(that && fro\\m) || (this && !are)"), GRAMMAR),
     "index_and": (indexed(corpus, q="that from", op="AND"), scored(PAIR, "m_a + m_b = 2", "")),
     "index_not": (indexed(corpus, q="that -from"), f"SELECT id, score FROM ({scored({'a': is_('that'), 'b': is_('from')}, 'm_a = 1 AND m_b = 0', '')})"),
-    "index_proximity": (indexed(corpus, q="that from", proximity="5"), pairs_sql("5")),
+    "index_proximity": (indexed(corpus, q="that from", proximity="5"), phrase_sql(["that", "from"], 5)),
     "index_fuzzy1": (
         indexed(corpus, q="that", fuzzy="1"),
-        scored({"a": "damerau_levenshtein(t, 'that') <= 1"}, "m_a = 1", "", "sum(greatest(0, 1.0 - levenshtein(t, 'that') / greatest(length(t), 4)))::DOUBLE"),
+        fuzzy_sql("that", 1),
     ),
     "index_wildcard": (indexed(corpus, q="th?t"), scored({"a": "regexp_full_match(t, 'th.t')"}, "m_a = 1", "")),
     "filter_lang": (matches(corpus, lang="fr"), "SELECT doc_id::VARCHAR AS id, 1.0 AS score FROM documents WHERE lang = 'fr'"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,6 +12,8 @@ from docsieve import schema
 from docsieve.errors import SearchError
 from docsieve.functions import analysis
 from docsieve.parser import Bool, Leaf
+from docsieve.plans import terms
+from docsieve.plans.boost import date_math
 
 K1, B = 1.2, 0.75
 
@@ -27,19 +28,21 @@ def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def date_math(text: str) -> Column:
-    """NOW with +/-n units and /unit rounding, or a literal of a date or time."""
-    if not text.startswith("NOW"):
-        return F.lit(text.rstrip("Z")).cast("timestamp_ntz")
-    out = F.current_timestamp().cast("timestamp_ntz")
-    for sign, n, unit, cut in re.findall(r"([+-])(\d+)(\w+?)S?(?=[+\-/]|$)|/(\w+?)S?(?=[+\-/]|$)", text[3:]):
-        out = F.date_trunc(cut, out).cast("timestamp_ntz") if cut else out + F.expr(f"interval {sign}{n} {unit}")
-    return out
-
-
 def literal(name: str, text: str) -> Column:
+    """A value of a field's type, checked before anything runs."""
     kind = schema.field(name).kind
-    return date_math(text) if kind == "date" else F.lit(text).cast(schema.KINDS[kind])
+    if kind == "date":
+        return date_math(text)
+    try:
+        if kind in ("int", "long"):
+            int(text)
+        elif kind in ("float", "double"):
+            float(text)
+        elif kind == "boolean" and text.lower() not in ("true", "false"):
+            raise ValueError
+    except ValueError:
+        raise SearchError(f"{text} is not a value of field {name}") from None
+    return F.lit(text).cast(schema.KINDS[kind])
 
 
 def predicate(leaf: Leaf) -> Column:
@@ -55,94 +58,131 @@ def predicate(leaf: Leaf) -> Column:
             low = F.lit(True) if leaf.low is None else c >= literal(name, leaf.low) if leaf.closed[0] else c > literal(name, leaf.low)
             high = F.lit(True) if leaf.high is None else c <= literal(name, leaf.high) if leaf.closed[1] else c < literal(name, leaf.high)
             return low & high & c.isNotNull()
-        if leaf.kind in ("wildcard", "regex"):
-            return c.cast("string").rlike(f"^(?:{analysis.wildcard(leaf.text) if leaf.kind == 'wildcard' else leaf.text})$")
+        if leaf.kind == "wildcard":  # values that are not analysed keep their case
+            return c.cast("string").rlike(f"^(?:{analysis.wildcard(leaf.text)})$")
+        if leaf.kind == "regex":
+            return c.cast("string").rlike(terms.expression(leaf))
         if leaf.kind == "fuzzy":
-            return near(c, leaf.text, leaf.slop)
+            return terms.near(c.cast("string"), leaf.text, leaf.slop)
         return c == literal(name, leaf.text)
 
     return F.coalesce(F.exists(F.col(name), test) if f.many else test(F.col(name)), F.lit(False))
 
 
-def near(term: Column, word: str, edits: int) -> Column:
-    """Within so many edits, where a swap of neighbours is one."""
-    swaps = [word[:k] + word[k + 1] + word[k] + word[k + 2 :] for k in range(len(word) - 1) if word[k] != word[k + 1]]
-    tests = [F.levenshtein(term, F.lit(word), edits) >= 0]
-    if edits == 1 and swaps:
-        tests.append(term.isin(*swaps))
-    elif edits >= 2:
-        tests += [F.levenshtein(term, F.lit(s), edits - 1) >= 0 for s in swaps]
-    return any_of(tests)
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; as a plain expression it would be computed wherever it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def spots(toks: Column, words: tuple[str, ...]) -> Column:
+    return F.array_distinct(F.transform(F.filter(toks, lambda t: t["term"].isin(*words)), lambda t: t["pos"]))
+
+
+def places(toks: Column, groups: list[tuple[str, ...]]) -> Column:
+    """A struct of the places of each group of terms, found once for a text."""
+    return F.struct(*(spots(toks, g).alias(f"g{k}") for k, g in enumerate(groups)))
+
+
+def walk_frequency(toks: Column, pieces: list[analysis.Piece]) -> Column:
+    """At how many places a way through all pieces begins, each piece right after the one before and the places it skips."""
+    groups = [*dict.fromkeys(g for p in pieces for way in p.ways for g in way)]
+
+    def walk(at: Column) -> Column:
+        def goes(q: Column, way: tuple) -> Column:
+            return reduce(lambda a, b: a & b, (F.array_contains(at[f"g{groups.index(g)}"], q + k) for k, g in enumerate(way)))
+
+        def on(states: Column, rest: list[analysis.Piece]) -> Column:
+            """``states``: where a way began, and where it goes on."""
+            if not rest:
+                return F.size(F.array_distinct(F.transform(states, lambda s: s["begun"]))).cast("double")
+            piece, rest = rest[0], rest[1:]
+            step = lambda way: F.transform(F.filter(states, lambda s: goes(s["next"] + piece.skip, way)), lambda s: F.struct(s["begun"].alias("begun"), (s["next"] + (piece.skip + len(way))).alias("next")))
+            return held(F.concat(*map(step, piece.ways)), lambda found: on(found, rest))
+
+        def begin(way: tuple) -> Column:
+            first = at[f"g{groups.index(way[0])}"]
+            return F.transform(F.filter(first, lambda q: goes(q, way)), lambda q: F.struct(q.alias("begun"), (q + len(way)).alias("next")))
+
+        return held(F.concat(*map(begin, pieces[0].ways)), lambda found: on(found, pieces[1:]))
 
+    return held(places(toks, groups), walk)
 
-def spots(toks: Column, terms: tuple[str, ...]) -> Column:
-    return F.array_distinct(F.transform(F.filter(toks, lambda t: t["term"].isin(*terms)), lambda t: t["pos"]))
 
+def sloppy_frequency(toks: Column, wanted: list[analysis.Token], slop: int) -> Column:
+    """Sum of 1 / (1 + span) over the places of the first term.
 
-def phrase_frequency(toks: Column, query: list[analysis.Token], slop: int) -> Column:
-    """Sum of 1 / (1 + distance) over the places of the first term; distance: how far the others are out of place."""
-    first, rest = query[0], query[1:]
+    A term at place p that the query has at its o-th place is out of place by p - o; the span of an alignment is the largest
+    such number less the smallest. For each place of the first term the alignment of least span counts, if it is within the
+    slop; no place of the text serves two terms. For each smallest number that an alignment may have, terms take the
+    first free place from there on, in the order of the query: a later term may start no earlier, so none is served worse."""
+    groups = [*dict.fromkeys(t.terms for t in wanted)]
+    first, rest = wanted[0], wanted[1:]
 
     def weigh(at: Column) -> Column:
-        def weight(p: Column) -> Column:
-            apart = [F.array_min(F.transform(at[f"p{k}"], _gap(p, t.pos - first.pos))) for k, t in enumerate(rest)]
-            total = reduce(lambda a, b: a + b, apart, F.lit(0))
-            return F.when(total <= slop, 1.0 / (1.0 + total)).otherwise(0.0)
+        def near(p: Column) -> Column:
+            """The other terms' places that can be within the slop of a first term at ``p``, with the terms' offsets."""
+            one = lambda t: F.struct(F.array_sort(F.filter(at[f"g{groups.index(t.terms)}"], lambda q: F.abs(q - p - (t.pos - first.pos)) <= slop)).alias("at"), F.lit(t.pos - first.pos).alias("off"))
+            return F.array(*map(one, rest))
 
-        return F.aggregate(F.transform(at["first"], weight), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+        def span(p: Column, others: Column, low: Column) -> Column:
+            def take(held_: Column, t: Column) -> Column:
+                free = F.filter(t["at"], lambda q: (q - t["off"] >= low) & ~F.array_contains(held_["used"], q))
+                return held(F.get(free, F.lit(0)), lambda q: F.struct(F.when(q.isNotNull() & held_["high"].isNotNull(), F.greatest(held_["high"], q - t["off"])).alias("high"), F.concat(held_["used"], F.array(F.coalesce(q, F.lit(-1)))).alias("used")))
 
-    # Places of all terms are found once for a text: inside the lambda over places they would be found for each.
-    places = F.struct(spots(toks, first.terms).alias("first"), *(spots(toks, t.terms).alias(f"p{k}") for k, t in enumerate(rest)))
-    return F.get(F.transform(F.array(places), weigh), F.lit(0))
+            return F.aggregate(others, F.struct(p.alias("high"), F.array(p).alias("used")), take, lambda held_: held_["high"] - low)
 
+        def least(p: Column) -> Column:
+            def over(others: Column) -> Column:
+                shifted = F.flatten(F.transform(others, lambda t: F.filter(F.transform(t["at"], lambda q: q - t["off"]), lambda x: x <= p)))
+                return F.array_min(F.transform(F.array_distinct(F.concat(F.array(p), shifted)), lambda low: span(p, others, low)))
 
-def _gap(p: Column, offset: int):
-    return lambda q: F.abs(q - p - offset)
+            return held(near(p), over)
 
+        weight = lambda p: held(least(p), lambda d: F.when(d <= slop, 1.0 / (1.0 + d)).otherwise(0.0))
+        some = reduce(lambda a, b: a & b, (F.size(at[f"g{k}"]) > 0 for k in range(len(groups))))
+        return F.when(some, F.aggregate(F.transform(at[f"g{groups.index(first.terms)}"], weight), F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
 
-def frequency(leaf: Leaf, name: str, toks: Column) -> Column | None:
-    """How often the leaf matches in the field; None where its analysis leaves nothing."""
+    return held(places(toks, groups), weigh)
+
+
+def holds(toks: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(toks, lambda t: t["term"].isin(*words))
+
+
+def occurrences(toks: Column, words: tuple[str, ...] | list[str]) -> Column:
+    """How many tokens are one of some terms."""
+    if len(words) > 4:
+        return F.size(F.filter(toks, lambda t: t["term"].isin(*words))).cast("double")
+    plain = F.transform(toks, lambda t: t["term"])
+    return (F.size(plain) * len(words) - sum((F.size(F.array_remove(plain, x)) for x in words), F.lit(0))).cast("double")
+
+
+def frequency(leaf: Leaf, name: str, toks: Column, found: terms.Terms | None = None) -> Column | None:
+    """How often the leaf matches in the field; None where its analysis leaves nothing. ``found``: the terms that a clause by a
+    test names; without them each token is tested."""
     f = schema.field(name)
     if leaf.kind == "exists":
         return F.col(name).isNotNull().cast("double")
     if not f.text:
         return predicate(Leaf(leaf.kind if leaf.kind != "phrase" else "term", leaf.text, name, leaf.slop, leaf.low, leaf.high, leaf.closed)).cast("double")
-    pick = lambda test: F.size(F.filter(toks, lambda t: test(t["term"]))).cast("double")
-    if leaf.kind == "range":
-        return pick(lambda x: (F.lit(leaf.low is None) | (x >= F.lit(leaf.low))) & (F.lit(leaf.high is None) | (x <= F.lit(leaf.high))))
-    if leaf.kind in ("wildcard", "regex"):
-        expression = analysis.wildcard(leaf.text.lower()) if leaf.kind == "wildcard" else leaf.text
-        return pick(lambda x: x.rlike(f"^(?:{expression})$"))
-    if leaf.kind == "fuzzy":
-        word = leaf.text.lower()
-        close = F.filter(toks, lambda t: near(t["term"], word, leaf.slop))
-        worth = lambda t: 1.0 - F.levenshtein(t["term"], F.lit(word)) / F.greatest(F.length(t["term"]), F.lit(len(word)))
-        return F.aggregate(close, F.lit(0.0), lambda a, t: a + F.greatest(worth(t), F.lit(0.0)))
-    query = analysis.query_tokens(f.kind, leaf.text)
-    if not query:
+    if leaf.kind in terms.TESTED:
+        if found is not None:
+            return sum((w * occurrences(toks, words) for w, words in found.by_weight.items()), F.lit(0.0))
+        return F.aggregate(F.filter(toks, lambda t: terms.passes(leaf, t["term"])), F.lit(0.0), lambda a, t: a + terms.weight(leaf, t["term"]))
+    pieces = analysis.query_pieces(f.kind, leaf.text)
+    if not pieces:
         return None
-    if len({t.pos for t in query}) == 1:
-        every = tuple(x for t in query for x in t.terms)
-        if f.kind != "code":
-            terms = F.transform(toks, lambda t: t["term"])
-            return (F.size(terms) * len(every) - sum((F.size(F.array_remove(terms, x)) for x in every), F.lit(0))).cast("double")
-        return F.least(*(F.size(spots(toks, t.terms)) for t in query)).cast("double") if len(query) > 1 else F.size(spots(toks, query[0].terms)).cast("double")
-    by_pos: dict[int, tuple[str, ...]] = {}
-    for t in query:
-        by_pos.setdefault(t.pos, t.terms)
-    return phrase_frequency(toks, [analysis.Token(v, k) for k, v in by_pos.items()], leaf.slop)
-
-
-def named_terms(leaf: Leaf, name: str) -> tuple[tuple[str, ...], Callable[[Column], Column] | None]:
+    wanted = analysis.slots(pieces)
+    if len(pieces) == 1 and len(pieces[0].ways) == 1 and len(wanted) == 1:
+        return occurrences(toks, wanted[0].terms)
+    return sloppy_frequency(toks, wanted, leaf.slop) if leaf.slop and len(wanted) > 1 else walk_frequency(toks, pieces)
+
+
+def named_terms(leaf: Leaf, name: str, found: terms.Terms | None) -> tuple[tuple[str, ...], Callable[[Column], Column] | None]:
     """The terms that ``frequency`` of a leaf counts in an analysed field: words, or a test of a term."""
-    if leaf.kind == "range":
-        return (), lambda x: (F.lit(leaf.low is None) | (x >= F.lit(leaf.low))) & (F.lit(leaf.high is None) | (x <= F.lit(leaf.high)))
-    if leaf.kind in ("wildcard", "regex"):
-        expression = analysis.wildcard(leaf.text.lower()) if leaf.kind == "wildcard" else leaf.text
-        return (), lambda x: x.rlike(f"^(?:{expression})$")
-    if leaf.kind == "fuzzy":
-        return (), lambda x: near(x, leaf.text.lower(), leaf.slop)
-    return tuple(x for t in analysis.query_tokens(schema.field(name).kind, leaf.text) for x in t.terms), None
+    if leaf.kind in terms.TESTED:
+        return (tuple(found.all), None) if found is not None else ((), lambda x: terms.passes(leaf, x))
+    return tuple(dict.fromkeys(x for p in analysis.query_pieces(schema.field(name).kind, leaf.text) for way in p.ways for g in way for x in g)), None
 
 
 def clauses(node: Leaf | Bool) -> int:
@@ -152,8 +192,8 @@ def clauses(node: Leaf | Bool) -> int:
 class Compiled:
     """Columns of one query. ``row``: what each document gives before statistics; ``stats``: aggregates over all rows."""
 
-    def __init__(self, node: Bool, weights: dict[str, float], available: set[str], mm: str | None = None):
-        self.weights = {k: v for k, v in weights.items() if k in available}
+    def __init__(self, node: Bool, weights: dict[str, float], available: set[str], mm: str | None = None, whole: str | None = None, found: dict[tuple[Leaf, str], terms.Terms | None] | None = None):
+        self.weights, self.available, self.found = {k: v for k, v in weights.items() if k in available}, available, found or {}
         self.toks: dict[str, Column] = {}
         self.row: dict[str, Column] = {}
         self.stats: dict[str, Column] = {"__n": F.count("id")}
@@ -166,6 +206,11 @@ class Compiled:
         self.picks: dict[str, list[tuple[tuple[str, ...], Callable[[Column], Column] | None]]] = {}
         self.text_only = True
         self.match, self.score = self._node(node, mm)
+        strings = {n: w for n, w in self.weights.items() if not schema.field(n).text}
+        if whole is not None and strings:
+            # A value that is not analysed can be the whole query, which no single term of it would find.
+            match, score = self._leaf(Leaf("term", whole), strings)
+            self.match, self.score = self.match | match, F.when(self.match, self.score).otherwise(0.0) + score
 
     def _field(self, name: str) -> Column:
         if name not in self.toks and schema.field(name).text:
@@ -174,7 +219,7 @@ class Compiled:
             self.stats[f"__a_{name}"] = F.avg(f"__d_{name}")
         return F.col(f"__t_{name}")
 
-    def _leaf(self, leaf: Leaf) -> tuple[Column | None, Column | None]:
+    def _leaf(self, leaf: Leaf, fields: dict[str, float] | None = None) -> tuple[Column | None, Column | None]:
         """Match and score; None where analysis leaves nothing of the leaf."""
         if leaf.kind == "all":
             self.text_only = False
@@ -182,21 +227,33 @@ class Compiled:
         tests, scores = [], []
         if leaf.field is None and leaf.kind == "term" and not analysis.query_tokens("general", leaf.text):
             return None, None  # a stop word asks for nothing, also in fields that keep it
-        for name, weight in {leaf.field: 1.0}.items() if leaf.field else self.weights.items():
-            found = frequency(leaf, name, self._field(name))
-            if found is None:
+        if leaf.field and schema.field(leaf.field).name not in self.available:
+            raise SearchError(f"the documents have no field {leaf.field}")
+        for name, weight in (fields or ({leaf.field: 1.0} if leaf.field else self.weights)).items():
+            some = self.found.get((leaf, name))
+            freq = frequency(leaf, name, self._field(name), some)
+            if freq is None:
                 continue
-            if schema.field(name).text and leaf.kind != "exists":
-                self.picks.setdefault(name, []).append(named_terms(leaf, name))
+            f, key = schema.field(name), f"{len(self.leaves)}"
+            if f.text and leaf.kind != "exists":
+                self.picks.setdefault(name, []).append(named_terms(leaf, name, some))
             else:
                 self.text_only = False
-            key = f"{len(self.leaves)}"
             self.leaves.append(f"{name}:{leaf.kind}:{leaf.text}")
-            self.row[f"__f_{key}"] = found
-            self.stats[f"__c_{key}"] = F.sum((F.col(f"__f_{key}") > 0).cast("long"))
-            tf, df, n = F.col(f"__f_{key}"), F.col(f"__c_{key}"), F.col("__n")
-            idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-            long = K1 * (1 - B + B * F.col(f"__d_{name}") / F.col(f"__a_{name}")) if schema.field(name).text else F.lit(K1)
+            self.row[f"__f_{key}"] = freq
+            # A phrase is as rare as its words together; anything else as the documents that it is found in.
+            wanted = analysis.slots(analysis.query_pieces(f.kind, leaf.text)) if f.text and leaf.kind in ("term", "phrase") else []
+            if len(wanted) > 1:
+                for j, t in enumerate(wanted):
+                    self.row[f"__g_{key}_{j}"] = holds(self._field(name), t.terms)
+                    self.stats[f"__c_{key}_{j}"] = F.sum(F.col(f"__g_{key}_{j}").cast("long"))
+                counts = [F.col(f"__c_{key}_{j}") for j in range(len(wanted))]
+            else:
+                self.stats[f"__c_{key}"] = F.sum((F.col(f"__f_{key}") > 0).cast("long"))
+                counts = [F.col(f"__c_{key}")]
+            tf, n = F.col(f"__f_{key}"), F.col("__n")
+            idf = sum((F.log(1 + (n - df + 0.5) / (df + 0.5)) for df in counts), F.lit(0.0))
+            long = K1 * (1 - B + B * F.col(f"__d_{name}") / F.col(f"__a_{name}")) if f.text else F.lit(K1)
             tests.append(tf > 0)
             scores.append(F.when(tf > 0, weight * idf * tf / (tf + long)).otherwise(0.0))
             self.shares[self.leaves[-1]] = scores[-1]
@@ -228,44 +285,8 @@ class Compiled:
         return match, F.when(match, node.constant).otherwise(0.0) if node.constant is not None else score
 
 
-def boost_function(text: str) -> Column:
-    """bf: numbers, fields and recip ms log sqrt pow sum product min max abs."""
-    found = re.findall(r"[A-Za-z_][\w.]*|-?\d+(?:\.\d+)?(?:e-?\d+)?|[(),]|NOW\S*", text)
-
-    def read(at: int) -> tuple[Column, int]:
-        word = found[at]
-        if at + 1 < len(found) and found[at + 1] == "(":
-            args, at = [], at + 2
-            while found[at] != ")":
-                arg, at = read(at)
-                args.append(arg)
-                at += found[at] == ","
-            return call(word, args), at + 1
-        if re.match(r"-?\d", word):
-            return F.lit(float(word)), at + 1
-        return (F.current_timestamp().cast("timestamp_ntz") if word == "NOW" else F.col(schema.field(word).name)), at + 1
-
-    def ms(c: Column) -> Column:
-        return F.expr("1").cast("double") * F.unix_millis(c.cast("timestamp"))
-
-    def call(name: str, a: list[Column]) -> Column:
-        table = {
-            "recip": lambda x, m, p, q: p / (m * x + q), "ms": lambda x, y=None: ms(x) - (ms(y) if y is not None else F.lit(0.0)), "log": lambda x: F.log10(x), "sqrt": F.sqrt,
-            "pow": F.pow, "sum": lambda *x: reduce(lambda p, q: p + q, x), "product": lambda *x: reduce(lambda p, q: p * q, x), "min": F.least, "max": F.greatest, "abs": F.abs,
-            "field": lambda x: x,
-        }
-        if name not in table:
-            raise SearchError(f"unknown function {name}")
-        return F.coalesce(table[name](*a).cast("double"), F.lit(0.0))
-
-    out, at = read(0)
-    if at != len(found):
-        raise SearchError(f"cannot parse the function {text}")
-    return F.coalesce(out.cast("double"), F.lit(0.0))
-
-
-def order(spec: str) -> list[Column]:
-    """Sort keys of "field dir, ..."; ids break ties."""
+def order(spec: str, available: set[str] | None = None) -> list[Column]:
+    """Sort keys of "field dir, ..."; ids break ties. ``available``: fields that the documents have."""
     keys = []
     for part in spec.split(","):
         name, _, way = part.strip().partition(" ")
@@ -276,9 +297,9 @@ def order(spec: str) -> list[Column]:
             keys.append(F.desc("score") if way == "desc" else F.asc("score"))
             continue
         f = schema.field(name)
+        if available is not None and name not in available:
+            raise SearchError(f"cannot sort by {name}: the documents have no such field")
         c = F.get(F.col(name), F.lit(0)) if f.many else F.col(name)
         last = f.kind in ("string", "boolean") or f.text
         keys.append(c.desc_nulls_last() if way == "desc" else c.asc_nulls_last() if last else c.asc_nulls_first())
     return [*keys, F.asc("id")]
-
-
