@@ -256,7 +256,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = engine(corpus(spark, sf_dir)).search(SearchRequest(q="that from")).highlighting
-    return found.select("id", "field", F.size("snippets").alias("n"), F.array_join("snippets", "|").contains("<mark>").alias("marked"))
+    return found.select("id", "field", F.posexplode("snippets").alias("rank", "snippet"))
 
 
 def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +264,10 @@ def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(docs).search(SearchRequest(bf="recip(age_d,0.001,1,1)", rows=20)).docs.select("id", F.round("score", 6).alias("score"))
 
 
+def boosted_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(orders(spark, sf_dir)).search(SearchRequest(bf="recip(ms(NOW/DAY,last_modified),1e-9,1e3,1)", rows=20)).docs.select("id", F.round("score", 6).alias("score"))
+
+
 def listed(source, **request) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(source(spark, sf_dir)).search(SearchRequest(**request)).docs.select("id")
 
@@ -298,6 +302,28 @@ CODE = r"""WITH t AS (SELECT unnest(string_split_regex(trim(p_name), '\s+')) AS
 p AS (SELECT t, regexp_extract_all(t, '\p{Lu}*\p{Ll}+|\p{Lu}+|\p{N}+') AS parts FROM t WHERE t <> ''),
 x AS (SELECT unnest(list_distinct(list_concat([lower(t)], list_transform(parts, lambda x: lower(x)), CASE WHEN len(parts) > 0 THEN [lower(array_to_string(list_filter(parts, lambda x: NOT regexp_matches(x, '^\p{N}')), ''))] ELSE [] END))) AS term FROM p)
 SELECT term, count(*) AS n FROM x WHERE term <> '' GROUP BY 1"""
+def escape_sql(text: str) -> str:
+    for plain, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        text = f"replace({text}, '{plain}', '{code}')"
+    return text
+
+
+#: Texts as words and what stands between them, with running lengths for offsets; passages by the stride that a word ends in.
+WORDS = "[\\p{L}\\p{M}\\p{N}ー]+"
+SNIPPETS = f"""WITH page AS ({scored(PAIR, "m_a + m_b >= 1", TOP10)}),
+raw AS (SELECT id, text, regexp_extract_all(text, '{WORDS}') AS w, regexp_split_to_array(text, '{WORDS}') AS g FROM page JOIN documents ON doc_id::VARCHAR = id),
+cut AS (SELECT id, text, g[1] AS lead, unnest(w) AS w, unnest(g[2:]) AS g, generate_subscripts(w, 1) AS i FROM raw),
+placed AS (SELECT *, lower(w) AS t, length(lead) + coalesce(sum(length(w) + length(g)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM cut),
+begun AS (SELECT id, (s + length(w)) // 150 AS p, min(s) AS s FROM placed WHERE t NOT IN ({STOPS}) GROUP BY ALL),
+passages AS (
+  SELECT id, p, CASE WHEN row_number() OVER x = 1 THEN 0 ELSE s END AS begin, coalesce(lead(s) OVER x, 1000000000000) AS stop FROM begun WINDOW x AS (PARTITION BY id ORDER BY p)),
+pieces AS (
+  SELECT a.id, p, count(DISTINCT t) FILTER (WHERE t IN ('that', 'from')) AS kinds, count(*) FILTER (WHERE t IN ('that', 'from')) AS marks,
+         CASE WHEN begin = 0 THEN {escape_sql("any_value(lead)")} ELSE '' END ||
+         string_agg((CASE WHEN t IN ('that', 'from') THEN '<mark>' || w || '</mark>' ELSE w END) || {escape_sql("g")}, '' ORDER BY i) AS x
+  FROM placed a JOIN passages b ON a.id = b.id AND s >= begin AND s < stop GROUP BY a.id, p, begin)
+SELECT id, 'content' AS field, (row_number() OVER y - 1)::INT AS rank, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS snippet FROM pieces WHERE marks > 0
+WINDOW y AS (PARTITION BY id ORDER BY kinds DESC, marks DESC, p) QUALIFY row_number() OVER y <= 3"""
 #: Every line has eight places: get, two words of the name, the size, =, the type, brand and its number; whole identifiers stand
 #: at the first of their parts.
 CODE_POSITIONS = """WITH p AS (SELECT p_partkey::VARCHAR AS id, string_split(p_name, ' ') AS w, p_size::VARCHAR AS s, lower(p_type) AS y, string_split(lower(p_brand), '#') AS b FROM part)
@@ -362,6 +388,10 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "search_regex": (matches(corpus, q="/tha[nt]/"), scored({"a": "regexp_full_match(t, 'tha[nt]')"}, "m_a = 1", "")),
     "search_constant": (matches(corpus, q="that^=2 from^3"), scored(PAIR, "m_a + m_b >= 1", "").replace("CASE WHEN tf_a.f > 0 THEN ln", "CASE WHEN tf_a.f > 0 THEN 2 + 0 * ln").replace("CASE WHEN tf_b.f > 0 THEN ln", "CASE WHEN tf_b.f > 0 THEN 3 * ln")),
     "match_all_page": (listed(corpus, page=2, rows=20), "SELECT doc_id::VARCHAR AS id FROM documents ORDER BY doc_id::VARCHAR LIMIT 20 OFFSET 20"),
+    "search_boost_date": (
+        boosted_by_date,
+        "SELECT o_orderkey::VARCHAR AS id, round(1 + 1e3 / (1e-9 * epoch_ms(current_date::TIMESTAMP) - 1e-9 * epoch_ms(o_orderdate::TIMESTAMP) + 1), 6) AS score FROM orders ORDER BY o_orderdate DESC, o_orderkey::VARCHAR LIMIT 20",
+    ),
     "search_boost_recency": (boosted, "SELECT o_orderkey::VARCHAR AS id, round(1 + 1 / (0.001 * date_diff('day', o_orderdate::DATE, DATE '2000-01-01') + 1), 6) AS score FROM orders ORDER BY 1 / (0.001 * date_diff('day', o_orderdate::DATE, DATE '2000-01-01') + 1) DESC, o_orderkey::VARCHAR LIMIT 20"),
     "search_multifield": (top(web, q="that the from"), MULTIFIELD),
     "search_dismax": (top(web, q="that the from", parser="dismax"), MULTIFIELD),
@@ -422,7 +452,7 @@ SELECT source AS key, c AS count, greatest(c - 10, 0) AS overflow, r::INT AS ran
     "analyze_synonym": (matches(corpus, q="charge that"), scored({"a": "t IN ('payment', 'billing', 'charge')", "b": is_("that")}, "m_a + m_b >= 1", "")),
     "corpus_stats": (corpus_stats, f"WITH {TOKENS} SELECT count(*) AS n_docs, sum(dl)::BIGINT AS n_words, round(avg(dl), 6) AS mean_words FROM lens"),
     "doc_frequency": (doc_frequency, f"WITH {TOKENS} SELECT t AS term, count(DISTINCT id) AS df, count(*) AS cf FROM words GROUP BY 1"),
-    "highlight_snippets": (snippets, None),
+    "highlight_snippets": (snippets, SNIPPETS),
     "display_title": (titles, f"SELECT page_id::VARCHAR AS id, string_split({PATH}, '/')[-1] AS basename, coalesce(nullif({TITLE}, ''), nullif(string_split({PATH}, '/')[-1], ''), nullif({PATH}, ''), page_id::VARCHAR) AS display_title FROM pages"),
     "result_cards": (cards, CARDS),
     "repository_href": (links, "SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 2 = 0 AND url <> '' THEN url ELSE 'https://host/repo/dir/file%20' || page_id END AS href FROM pages"),
