@@ -21,11 +21,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
     come first; equal ids are ordered by checksum and size, and rows that agree in all three are told apart arbitrarily.
     An empty table gives an empty result; other columns are ignored.
 
-    Only narrow rows (no text) are range-partitioned and written once; each partition's totals, one row a partition, give
+    Texts are read once; narrow rows are written, range-partitioned and written again; each partition's totals, one row a partition, give
     the global offsets. No task sees more than one range of rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    # Written first: ranges are drawn from a sample of the rows, which would else read every text once more.
+    narrow = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32")))
     order = [F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "tie"]
     # A random tie-break lets the ranges cut through rows that are equal in everything else.
     ranged = settle(narrow.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
