@@ -2,8 +2,9 @@
 
 Items are partitioned by their number of distinct shingles, in powers of two. An item's MinHash sketch is its smallest
 shingle hashes, as many as its partition's largest item may miss plus one; so a document that holds the wanted share of the
-item holds at least one of the sketch, however long the document is. Documents too small to hold that share of an item are
-not joined with it. Candidates are then verified by comparing shingle texts.
+item holds at least one of the sketch, however long the document is. A Bloom filter of all sketches screens the documents'
+shingles as they are read. Documents too small to hold the wanted share of an item are not joined with it. Candidates are
+then verified by comparing shingle texts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from docsieve.llm.common import LOWER, SPACES, UPPER, bounded, settle
 
+#: Bits of the filter that screens shingles, at most.
+FILTER_BITS = 1 << 28
+
 
 def words(text: Column) -> Column:
     """Words of a text with A-Z lower-cased."""
@@ -52,6 +56,19 @@ def shingle_texts(tokens: Column, n: int) -> Column:
     return F.array_distinct(once(tokens, lambda v: windows(v, n, joined)))
 
 
+def among(hashes: DataFrame, most_bits: int = FILTER_BITS) -> Column:
+    """A test of a column ``h``: true for all of the ``hashes`` (h) and for few other values.
+
+    A Bloom filter of one bit a key, 16 bits for each key and ``most_bits`` at most, in 64-bit words. It is a scalar that the
+    filter reads, so no row carries it; with more keys it screens less and loses nothing."""
+    words = 1 << max(0, min(most_bits, 16 * hashes.count()).bit_length() - 6)
+    at, bit = F.pmod(F.shiftrightunsigned("h", 6), F.lit(words)).cast("int"), F.expr("cast(h & 63 as int)")
+    filled = hashes.select(at.alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word"))
+    every = hashes.sparkSession.range(words).select(F.col("id").alias("at")).join(filled, "at", "left").select(F.struct("at", F.coalesce("word", F.lit(0).cast("long")).alias("word")).alias("w"))
+    table = every.agg(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["word"]).alias("words"))
+    return F.getbit(F.get(table.scalar(), at), bit) == 1
+
+
 def leaks(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment): items (item_id, text) of whose distinct ``n``-word shingles a share
     of ``threshold`` or more is in the document (doc_id, text).
@@ -61,26 +78,27 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8)
     other columns are ignored.
     """
     share = math.ceil(threshold * 1e6)
-    # One row an item: its shingles, and their hashes.
     shingled = items.filter("item_id is not null").select("item_id", words(F.col("text").cast("string")).alias("w"))
-    own = shingled.select("item_id", F.explode(shingle_texts(F.col("w"), n)).alias("shingle")).groupBy("item_id").agg(F.collect_set("shingle").alias("own"))
+    # A row for each item and distinct shingle; rows of one item_id are one item.
+    own = settle(shingled.select("item_id", F.explode(shingle_texts(F.col("w"), n)).alias("shingle")).distinct())
     sets = shingled.select("item_id", F.explode(shingle_hashes(F.col("w"), n)).alias("h")).groupBy("item_id").agg(F.sort_array(F.collect_set("h")).alias("hs"))
     sized = sets.withColumn("n_item", F.size("hs").cast("long")).withColumn("need", F.expr(f"(n_item * {share} + 999999) div 1000000"))
     # The largest item of the partition that holds n_item.
     top = F.pow(F.lit(2), F.floor(F.log2(F.col("n_item"))) + 1) - 1
     may_miss = F.floor(top - F.ceil(top * (share / 1e6) - 1e-9))
-    sketch = bounded(settle(sized.select("item_id", "need", F.explode(F.slice("hs", F.lit(1), (may_miss + 1).cast("int"))).alias("h"))))
+    sketch = settle(sized.select("item_id", "need", F.explode(F.slice("hs", F.lit(1), (may_miss + 1).cast("int"))).alias("h")))
     named = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashes = named.select("doc_id", F.coalesce(shingle_hashes(words(F.col("text")), n), F.array().cast("array<bigint>")).alias("hs"))
     # explode would be given a filter on its array's size, which hashes each text once more; the outer form is not.
     probes = hashes.select("doc_id", F.size("hs").alias("n_doc"), "hs").select("doc_id", "n_doc", F.explode_outer("hs").alias("h")).filter("h is not null")
-    candidates = settle(probes.join(sketch, "h").filter(F.col("n_doc") >= F.col("need")).select("doc_id", "item_id").distinct())
-    # Only candidates' texts are read again, each beside the items it may hold and no others.
-    texts = named.join(bounded(candidates.groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids"))), "doc_id")
-    held = texts.select("doc_id", "item_ids", shingle_texts(words(F.col("text")), n).alias("held")).select("doc_id", F.explode_outer("item_ids").alias("item_id"), "held")
-    pairs = held.join(own, "item_id")
-    shared = pairs.select("doc_id", "item_id", F.size("own").cast("long").alias("n_item"), F.array_intersect("own", "held").alias("both"))
-    # Rows of one doc_id are one document: what they share with the item is united.
-    found = shared.groupBy("doc_id", "item_id", "n_item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("both")))).cast("long").alias("n_shared"))
+    # Screened where the texts are read, so that few shingles are joined, however many items there are.
+    near = probes.filter(among(sketch.select("h"))).join(bounded(sketch), "h").filter(F.col("n_doc") >= F.col("need"))
+    candidates = settle(near.select("doc_id", "item_id").distinct())
+    # Only candidates' texts are read again. Shingles are matched by document, so none is common to many rows of one key.
+    texts = named.join(bounded(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
+    held = texts.select("doc_id", F.explode_outer(shingle_texts(words(F.col("text")), n)).alias("shingle"))
+    both = candidates.join(own, "item_id").join(held, ["doc_id", "shingle"], "left_semi")
+    found = both.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    sizes = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
     enough = F.col("n_shared") * 1_000_000 >= F.col("n_item") * share
-    return found.filter(enough).select("doc_id", "item_id", "n_shared", "n_item", F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment"))
+    return found.join(sizes, "item_id").filter(enough).select("doc_id", "item_id", "n_shared", "n_item", F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment"))
