@@ -19,8 +19,9 @@ from pyspark.sql.window import Window as W
 from docsieve.llm.common import per_slice, settle, word_codes
 
 CAPACITY, END_ID = 4096, 2
-#: Tokens of a length class: pieces are packed as if they filled their class, and a sequence has CAPACITY / GRAIN units.
-GRAIN = 8
+#: Pieces are packed as if they were as long as their class. Lengths up to twice this are classes of their own; longer ones are
+#: rounded up by less than one part in this many, in steps of powers of two, so that classes are few.
+FINE = 128
 #: The search for columns ends when the program is within this factor of a lower bound of its optimum, and not before.
 GAP = 1.0001
 #: A column worth at most this does not enter; the basis is inverted anew after so many pivots.
@@ -74,6 +75,12 @@ def encoder(vocabulary: str, end_id: int = END_ID):
     return encode
 
 
+def length_class(size: int) -> int:
+    """The length that a piece of ``size`` tokens is packed as."""
+    step = 1 << max(0, (size // FINE).bit_length() - 1)
+    return -(-size // step) * step
+
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, rank long"
 
 
@@ -81,7 +88,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, keep_ids: bool) -> D
     """Documents as pieces of at most ``capacity`` tokens, with their class and their rank in it within the task."""
 
     def make():
-        encode, part_id, seen = encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity // GRAIN + 1, np.int64)
+        encode, part_id, seen = encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             ids, ends = encode(part.column(1))
@@ -90,7 +97,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, keep_ids: bool) -> D
                 for s in range(a, b, capacity):
                     data = ids[s : min(b, s + capacity)].tobytes()
                     size = len(data) // 4
-                    c = -(-size // GRAIN)
+                    c = min(capacity, length_class(size))
                     rows.append((doc, s - a, size, zlib.crc32(data), b - a, c, part_id, int(seen[c]), *([data] if keep_ids else [])))
                     seen[c] += 1
             columns = [*zip(*rows, strict=True)] if rows else [[] for _ in range(8 + keep_ids)]
@@ -287,14 +294,13 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, keep_ids: b
     The driver holds the histogram (a row for each length class) and the patterns, whose number is bounded by that of the
     classes and not by the documents. Ranks come from counts by task and class; no class is brought together.
     """
-    units = capacity // GRAIN
     cut = settle(pieces(docs, vocabulary, capacity, keep_ids))
     counts = cut.groupBy("part", "class").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("class").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("part", "class", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     histogram = sorted((r["class"], r.n) for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect())
     classes, demand = np.array([c for c, _ in histogram], np.int64), np.array([n for _, n in histogram], np.int64)
-    plan = patterns(classes, demand, units)
+    plan = patterns(classes, demand, capacity)
     ranked = cut.join(starts, ["part", "class"]).withColumn("rank", F.col("rank") + F.col("earlier")).drop("earlier")
     within = W.partitionBy("sequence_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     placed = place(ranked, plan, classes).withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)))

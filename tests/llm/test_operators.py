@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docsieve.llm import classifier, components, decontamination, lines, packing, rules, sharding, simhash, substrings, tokens, toxicity
@@ -190,6 +191,18 @@ def test_decontamination(spark, docs):
     assert got == want and len(want) > 4
 
 
+def test_shingles_are_screened_before_they_are_shuffled(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(1, dict(ROWS)[9]), (2, prose(40)), (2, dict(ROWS)[9])], "item_id long, text string")
+    want = decontamination.leaks(docs, items).collect()
+    monkeypatch.setattr(decontamination, "bounded", lambda side: side)  # as with more sketch rows than are broadcast
+    found = decontamination.leaks(docs, items)
+    assert sorted(found.collect()) == sorted(want)
+    keys, others = (spark.range(a, b).select(F.xxhash64("id").alias("h")) for a, b in ((0, 3000), (3000, 40_000)))
+    test = decontamination.among(keys)
+    assert keys.filter(test).count() == 3000 and others.filter(test).count() < 2000 and "Exchange" not in others.filter(test)._jdf.queryExecution().optimizedPlan().toString()
+    assert keys.filter(decontamination.among(keys, 64)).count() == 3000 and others.filter(decontamination.among(keys.limit(0))).count() == 0
+
+
 def test_packing(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
@@ -203,6 +216,23 @@ def test_packing(docs):
     assert set(rows.doc_id) == set(ids)
 
 
+def test_short_documents_are_packed_closely(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'one' AS text")
+    rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).toPandas()
+    assert rows.sequence_id.nunique() == 3 and rows.length.sum() == 10_000  # two tokens each
+    gen = np.random.default_rng(3)
+    sizes, n = np.unique(np.clip(gen.lognormal(3, 0.8, 100_000), 1, 4096).astype(int), return_counts=True)
+    classes, at = np.unique([packing.length_class(int(x)) for x in sizes], return_inverse=True)
+    made = sum(p.times for p in packing.patterns(classes, np.bincount(at, weights=n).astype(np.int64), 4096))
+    assert made * 4096 <= 1.01 * (sizes @ n) + 4096
+
+
+def test_length_classes():
+    rounded = [packing.length_class(x) for x in range(1, 4097)]
+    assert rounded[:255] == list(range(1, 256)) and rounded[4095] == 4096 and rounded == sorted(rounded)
+    assert all(x <= c < x * (1 + 1 / packing.FINE) for x, c in zip(range(1, 4097), rounded, strict=True)) and len(set(rounded)) < 800
+
+
 def test_cutting_stock_is_tight():
     gen = np.random.default_rng(1)
     sizes, demand = np.unique(np.clip(gen.lognormal(4, 1, 60).astype(int), 1, 512), return_counts=True)
