@@ -142,7 +142,8 @@ class SearchEngine:
 
     def __init__(self, docs: DataFrame, facets: tuple[str, ...] = schema.FACETS, partitions: int | None = None):
         self.docs, self.partitions = docs, partitions
-        self.few = partitions is not None and 0 < len(docs.inputFiles()) < partitions
+        #: Fewer partitions than tasks: files say too little, since one large file is split.
+        self.few = partitions is not None and 0 < len(docs.inputFiles()) and docs.rdd.getNumPartitions() < partitions
         self.facet_fields = tuple(f for f in facets if f in docs.columns)
         for name in docs.columns:
             schema.field(name)
@@ -250,13 +251,17 @@ class SearchEngine:
             stats = hits.agg(F.count(F.lit(1)).alias("num_found"))
         page = hits.orderBy(*order(request.sort)).offset(request.start).limit(request.rows).select("id", "score", *(c for c in hits.columns if c == "__explain"))
         # The wide columns are fetched for the page alone.
-        docs = self.docs.join(F.broadcast(page), "id").orderBy(*order(request.sort)).withColumnRenamed("__explain", "explain")
+        docs = self.fetch(page).orderBy(*order(request.sort)).withColumnRenamed("__explain", "explain")
         # In a grouped answer the documents shown are those of the groups.
-        shown = docs if groups is None else self.docs.join(F.broadcast(groups.select(F.col("key").cast("string").alias("__group"), F.explode("docs.id").alias("id"))), "id")
+        shown = docs if groups is None else self.fetch(groups.select(F.col("key").cast("string").alias("__group"), F.explode("docs.id").alias("id")))
         marks = self._highlight(request, shown) if request.hl and request.q else None
         debug = {"parsedquery": repr(self.parse(request)), "q": rewrite(request)} if request.debug else {}
         return SearchResult(request, hits, docs, self.facets(request, ranked), stats, groups, marks, debug, ranked if self.scored(request) else None, self._cards(request, shown, marks))
 
+    def fetch(self, page: DataFrame) -> DataFrame:
+        """The documents that a page names, with what the page says of them."""
+        return self.docs.join(F.broadcast(page), "id")
+
     def facets(self, request: SearchRequest, ranked: DataFrame | None = None) -> DataFrame:
         """(facet, value, n) by count, then value; each facet ignores the filter of its own tag. One pass for all."""
         ranked = self.ranked(request) if ranked is None else ranked

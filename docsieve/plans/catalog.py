@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docsieve.engine import SearchEngine
 from docsieve.functions import analysis, present
-from docsieve.operators import InvertedIndex
+from docsieve.operators import IndexEngine, InvertedIndex, commit, merge
 from docsieve.request import SearchRequest
 from docsieve.sources import store
 from docsieve.sources.store import index_postings, upsert_latest
@@ -87,15 +87,50 @@ def matches(source, **request) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def indexed(source, **request) -> Callable[[SparkSession, str], DataFrame]:
-    """All matches, from postings."""
+def written(docs: DataFrame, lookup: tuple[str, ...] = ()) -> IndexEngine:
+    """An engine over an index of the documents that is written and read back."""
+    path = store.scratch_dir(docs.sparkSession)
+    InvertedIndex.build(dealt(docs)).write(path, lookup=lookup)
+    return InvertedIndex.read(docs.sparkSession, path).engine()
+
+
+def indexed(source, part: str = "matches", columns: tuple[str, ...] = ("id", "score"), lookup: tuple[str, ...] = (), **request) -> Callable[[SparkSession, str], DataFrame]:
+    """All matches, or another part of an answer, from a written index."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return InvertedIndex.build(dealt(source(spark, sf_dir).select("id", "content"))).ranked(SearchRequest(**request)).select("id", F.round("score", 6).alias("score"))
+        found = getattr(written(source(spark, sf_dir), lookup).search(SearchRequest(**request)), part)
+        return found.select(*(F.round("score", 6).alias("score") if c == "score" else F.get("content", F.lit(0)).alias("text") if c == "text" else c for c in columns))
 
     return run
 
 
+def index_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = written(corpus(spark, sf_dir)).search(SearchRequest(q="that", group_by="repository", rows=5)).groups
+    return found.select("key", "count", "overflow", F.inline("docs")).select("key", "count", "overflow", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def index_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches in an index of three batches: all documents, every third one again with a word more, every fifth one once more
+    under a new id; with the segments merged before the last batch."""
+    path, docs = store.scratch_dir(spark), dealt(corpus(spark, sf_dir))
+    number = F.col("id").cast("long")
+    commit(docs, path)
+    commit(docs.filter(number % 3 == 0).withColumn("content", F.array(F.concat(F.lit("that "), F.get("content", F.lit(0))))), path)
+    merge(spark, path)
+    commit(docs.filter(number % 5 == 0).withColumn("id", (number + 10_000_000).cast("string")), path)
+    found = InvertedIndex.read(spark, path).engine().search(SearchRequest(q="that from")).matches
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document frequencies that an index keeps, added up over two segments."""
+    path, docs = store.scratch_dir(spark), dealt(corpus(spark, sf_dir))
+    commit(docs, path)
+    commit(docs.filter(F.col("id").cast("long") % 3 == 0).withColumn("content", F.array(F.lit("that this"))), path)
+    terms = InvertedIndex.read(spark, path).tables["vocabulary"].groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return terms.filter("df > 0")
+
+
 def facet(source, **request) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(source(spark, sf_dir)).search(SearchRequest(**request)).facets
 
@@ -355,6 +390,15 @@ for one, both in (("tf_a.f > 0", "tf_a.f > 0 AND tf_b.f > 0"), ("tf_b.f > 0", "t
 FACET_TAIL = "QUALIFY row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) <= 20"
 GENERAL = f"SELECT lower(t) AS term, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}ー]+'), lambda x: x <> '')) AS t FROM documents) WHERE lower(t) NOT IN ({STOPS}) GROUP BY 1"
 
+GROUP_TOPN = f"""WITH hits AS (SELECT h.id, h.score, d.source FROM ({scored({'a': is_('that')}, 'm_a = 1', '').replace('round(s, 6) AS score', 's AS score')}) h JOIN documents d ON d.doc_id::VARCHAR = h.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY source) AS c FROM hits),
+page AS (SELECT source FROM ranked WHERE r = 1 ORDER BY score DESC, id LIMIT 5)
+SELECT source AS key, c AS count, greatest(c - 10, 0) AS overflow, r::INT AS rank, id, round(score, 6) AS score FROM ranked WHERE r <= 10 AND source IN (SELECT source FROM page)"""
+#: The documents of ``index_terms`` and of ``index_after_upsert`` after their batches.
+THIRDS = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'that this' ELSE text END AS text FROM documents)"
+BATCHES = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'that ' || text ELSE text END AS text, lang, source FROM documents UNION ALL SELECT doc_id + 10000000, text, lang, source FROM documents WHERE doc_id % 5 = 0)"
+UPSERTED = scored(PAIR, "m_a + m_b >= 1", "").replace("FROM documents", f"FROM {BATCHES}")
+
 #: key -> (query, SQL); None where SQL does not express the operator.
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "search_topk": (top(corpus, q="that from", lang="en"), scored(PAIR, "lang = 'en' AND m_a + m_b >= 1", TOP10)),
@@ -402,9 +446,26 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "index_not": (indexed(corpus, q="that -from"), f"SELECT id, score FROM ({scored({'a': is_('that'), 'b': is_('from')}, 'm_a = 1 AND m_b = 0', '')})"),
     "index_proximity": (indexed(corpus, q="that from", proximity="5"), phrase_sql(["that", "from"], 5)),
     "index_fuzzy1": (
-        indexed(corpus, q="that", fuzzy="1"),
+        indexed(corpus, q="that", fuzzy="1", lookup=("neighbours",)),
         fuzzy_sql("that", 1),
     ),
+    "index_fuzzy2": (indexed(corpus, q="htat~2", lookup=("neighbours",)), fuzzy_sql("htat", 2)),
+    "index_prefix": (indexed(corpus, q="thatn*"), scored({"a": "starts_with(t, 'thatn')"}, "m_a = 1", "")),
+    "index_infix": (indexed(corpus, q="*hatn*", lookup=("grams",)), scored({"a": "contains(t, 'hatn')"}, "m_a = 1", "")),
+    "index_regex": (indexed(corpus, q="/tha[nt]/"), scored({"a": "regexp_full_match(t, 'tha[nt]')"}, "m_a = 1", "")),
+    "index_proximity3": (indexed(corpus, q="from this that", proximity="8"), phrase_sql(["from", "this", "that"], 8)),
+    "index_filter": (indexed(corpus, q="that -from", lang="en", fq="content:this AND -content:are"), scored(FOUR, "lang = 'en' AND m_a = 1 AND m_b = 0 AND m_c = 1 AND m_d = 0", "").replace("CASE WHEN tf_b.f > 0 THEN", "CASE WHEN FALSE THEN").replace("CASE WHEN tf_c.f > 0 THEN", "CASE WHEN FALSE THEN").replace("CASE WHEN tf_d.f > 0 THEN", "CASE WHEN FALSE THEN")),
+    "index_facet": (
+        indexed(corpus, "facets", ("facet", "value", "n"), q="that", repository=("src1", "src2"), lang="en"),
+        f"WITH {TOKENS} SELECT facet, value, n FROM (SELECT 'repository' AS facet, source AS value, count(*) AS n FROM lens WHERE lang = 'en' AND id IN (SELECT id FROM words WHERE t = 'that') AND source IS NOT NULL GROUP BY ALL) {FACET_TAIL}",
+    ),
+    "index_group": (index_groups, GROUP_TOPN),
+    "index_page": (indexed(corpus, "docs", ("id", "text", "language", "score"), q="that from", rows=10, page=2), f"SELECT id, text, lang AS language, score FROM ({scored(PAIR, 'm_a + m_b >= 1', TOP10 + ' OFFSET 10')}) JOIN documents ON doc_id::VARCHAR = id"),
+    "index_after_upsert": (index_upserts, UPSERTED),
+    "index_terms": (
+        index_terms,
+        f"WITH {TOKENS.replace('FROM documents', 'FROM ' + THIRDS, 1)} SELECT t AS term, count(DISTINCT id) AS df, count(*) AS cf FROM words GROUP BY 1",
+    ),
     "index_wildcard": (indexed(corpus, q="th?t"), scored({"a": "regexp_full_match(t, 'th.t')"}, "m_a = 1", "")),
     "filter_lang": (matches(corpus, lang="fr"), "SELECT doc_id::VARCHAR AS id, 1.0 AS score FROM documents WHERE lang = 'fr'"),
     "filter_source_in": (matches(corpus, repository=("src1", "src2")), "SELECT doc_id::VARCHAR AS id, 1.0 AS score FROM documents WHERE source IN ('src1', 'src2')"),
@@ -431,10 +492,7 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "facet_part": (facet(parts), f"SELECT facet, value, n FROM (SELECT 'repository' AS facet, p_brand AS value, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT 'file_type', p_type, count(*) FROM part GROUP BY ALL) WHERE value IS NOT NULL {FACET_TAIL}"),
     "group_topn": (
         groups(corpus, q="that", group_by="repository", rows=5),
-        f"""WITH hits AS (SELECT h.id, h.score, d.source FROM ({scored({'a': is_('that')}, 'm_a = 1', '').replace('round(s, 6) AS score', 's AS score')}) h JOIN documents d ON d.doc_id::VARCHAR = h.id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS r, count(*) OVER (PARTITION BY source) AS c FROM hits),
-page AS (SELECT source FROM ranked WHERE r = 1 ORDER BY score DESC, id LIMIT 5)
-SELECT source AS key, c AS count, greatest(c - 10, 0) AS overflow, r::INT AS rank, id, round(score, 6) AS score FROM ranked WHERE r <= 10 AND source IN (SELECT source FROM page)""",
+        GROUP_TOPN,
     ),
     "group_counts": (group_counts, f"WITH {TOKENS} SELECT source AS repository, count(*) AS n FROM lens WHERE id IN (SELECT id FROM words WHERE t = 'that') GROUP BY ALL"),
     "group_ngroups": (group_ngroups, "SELECT count(DISTINCT conv_id) AS num_found, count(*) AS matches FROM conversations"),

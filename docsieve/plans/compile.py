@@ -196,6 +196,8 @@ class Compiled:
         self.weights, self.available, self.found = {k: v for k, v in weights.items() if k in available}, available, found or {}
         self.toks: dict[str, Column] = {}
         self.row: dict[str, Column] = {}
+        #: Of the columns of ``row`` that come from tokens, the analysed field; others come from values.
+        self.from_tokens: dict[str, str] = {}
         self.stats: dict[str, Column] = {"__n": F.count("id")}
         self.leaves: list[str] = []
         #: What each leaf in each field adds to a score, before the best field of a leaf is taken.
@@ -215,6 +217,7 @@ class Compiled:
     def _field(self, name: str) -> Column:
         if name not in self.toks and schema.field(name).text:
             self.toks[name] = tokens(name)
+            self.from_tokens[f"__d_{name}"] = name
             self.row[f"__d_{name}"] = F.size(F.array_distinct(F.transform(F.col(f"__t_{name}"), lambda t: t["pos"])))
             self.stats[f"__a_{name}"] = F.avg(f"__d_{name}")
         return F.col(f"__t_{name}")
@@ -241,10 +244,13 @@ class Compiled:
                 self.text_only = False
             self.leaves.append(f"{name}:{leaf.kind}:{leaf.text}")
             self.row[f"__f_{key}"] = freq
+            if f.text and leaf.kind != "exists":
+                self.from_tokens[f"__f_{key}"] = name
             # A phrase is as rare as its words together; anything else as the documents that it is found in.
             wanted = analysis.slots(analysis.query_pieces(f.kind, leaf.text)) if f.text and leaf.kind in ("term", "phrase") else []
             if len(wanted) > 1:
                 for j, t in enumerate(wanted):
+                    self.from_tokens[f"__g_{key}_{j}"] = name
                     self.row[f"__g_{key}_{j}"] = holds(self._field(name), t.terms)
                     self.stats[f"__c_{key}_{j}"] = F.sum(F.col(f"__g_{key}_{j}").cast("long"))
                 counts = [F.col(f"__c_{key}_{j}") for j in range(len(wanted))]

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +62,34 @@ def write_json_arrays(docs: DataFrame, path: str, rows: int = 1000) -> None:
     arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
+POSTINGS = "field string, term string, id string, tf int, positions array<int>"
+
+
 def index_postings(docs: DataFrame, name: str) -> DataFrame:
-    """(field, term, id, tf, positions) of an analysed field, for many queries over one corpus."""
+    """(field, term, id, tf, positions) of an analysed field, for many queries over one corpus.
+
+    A document's postings are all in its row, so they are grouped where it is read and nothing is shuffled."""
     from docsieve.plans.compile import tokens
 
-    # explode would be given a filter on its array's size, which analyses each text once more; the outer form is not.
-    rows = docs.select("id", F.explode_outer(tokens(name)).alias("t")).filter("t is not null")
-    return rows.groupBy(F.lit(name).alias("field"), F.col("t.term").alias("term"), "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("t.pos")).alias("positions"))
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+            coded = flat.field(0).dictionary_encode()
+            code, pos = np.asarray(coded.indices), np.asarray(flat.field(1))
+            order = np.lexsort((pos, code, row))
+            row, code, pos = row[order], code[order], pos[order]
+            heads = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(code) != 0)])
+            ends = np.r_[heads, len(row)].astype(np.int32)
+            yield pa.record_batch(
+                [
+                    pa.array([name] * len(heads)), coded.dictionary.take(pa.array(code[heads])), batch.column(0).take(pa.array(row[heads])), pa.array(np.diff(ends)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(pos.astype(np.int32))),
+                ],
+                ["field", "term", "id", "tf", "positions"],
+            )
+
+    return docs.select("id", F.coalesce(tokens(name), F.array().cast("array<struct<term:string,pos:int>>")).alias("t")).mapInArrow(group, POSTINGS)
