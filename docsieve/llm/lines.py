@@ -1,21 +1,21 @@
-"""Line deduplication with a once-seen and a twice-seen Bloom filter in front of the exact confirmation."""
+"""Line deduplication with a once-seen and a twice-seen Bloom filter in front of the exact confirmation.
+
+Hashes of lines, combined in each batch, are dealt by their value: each task has the filters of its own range of hashes, so the
+filters together grow with the corpus and none is larger than its task's share. What the twice-seen filter lets pass comes
+back as a table of suspected hashes; only lines of those are shuffled, counted exactly and compared.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import SPACES, ascii_lower, settle
+from docsieve.llm.common import SPACES, ascii_lower, bounded, settle
 
-#: Bits of a filter and of one block of it; two bits a key.
-FILTER_BITS, BLOCK_BITS = 1 << 28, 1 << 15
-#: Share of a twice-seen filter that may be set: at this one a quarter of the once-seen keys pass. A corpus that sets more
-#: has its hashes counted exactly instead, see ``crowded``; what is found is the same.
-MAX_FILL = 0.5
-BLOCK_BYTES = BLOCK_BITS // 8
+#: Bits of each filter of one task; two bits a key.
+FILTER_BITS = 1 << 27
 
 
 def line_key(line: Column) -> Column:
@@ -40,126 +40,52 @@ def has_bits(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (filled[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def crowded(filled: np.ndarray, max_fill: float) -> bool:
-    """Whether a filter has so many bits set that it screens little."""
-    return int(np.bitwise_count(filled).sum(dtype=np.int64)) > max_fill * 8 * len(filled)
-
-
-def packed(block: np.ndarray) -> bytes:
-    """A block as its bitmap, or as its positions where those are fewer bytes."""
-    at = np.flatnonzero(np.unpackbits(block, bitorder="little")).astype(np.uint16)
-    return at.tobytes() if at.nbytes < BLOCK_BYTES else block.tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    if len(data) == BLOCK_BYTES:
-        return np.frombuffer(data, np.uint8).copy()
-    block = np.zeros(BLOCK_BYTES, np.uint8)
-    set_bits(block, np.frombuffer(data, np.uint16).astype(np.int64))
-    return block
-
-
-def twice_filter(hashes: DataFrame, bits: int, often: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Packed filters of the keys that ``hashes`` may hold twice or more, and of those that one row gives ``often`` times.
+def twice_seen(hashes: DataFrame, bits: int) -> DataFrame:
+    """The distinct values of the one column ``h`` of ``hashes`` that the table may hold twice or more; all that it does."""
 
-    The rows are a key, or a key and how many of it a row stands for. Each task fills its filters and emits the blocks that
-    have bits; blocks are merged apart from each other. Only the finished filters, of ``bits`` / 8 bytes at most whatever
-    the input, come to the driver; the second one is empty where ``often`` is 0.
-    """
+    def combine(batches):
+        for batch in batches:
+            h, n = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.record_batch([pa.array(h), pa.array(np.minimum(n, 2), pa.int8())], ["h", "n"])
 
-    def fill(batches):
-        once, twice, many = (np.zeros(bits // 8, np.uint8) for _ in range(3))
+    def screen(batches):
+        once, twice, held = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8), []
         for batch in batches:
-            h, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy() if batch.num_columns > 1 else None
+            h, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            held.append(h)
             for at in positions(h, bits):
-                if often:
-                    set_bits(many, np.unique(at[n >= often]))
-                if n is not None:
-                    at = np.repeat(at, np.minimum(n, 2))
-                at, times = np.unique(at, return_counts=True)
+                at, times = np.unique(np.repeat(at, n), return_counts=True)
                 set_bits(twice, at[has_bits(once, at) | (times > 1)])
                 set_bits(once, at)
-        filled = np.flatnonzero(once.reshape(-1, BLOCK_BYTES).any(axis=1))
-        for some in np.array_split(filled, max(1, len(filled) // 256)):
-            yield pa.record_batch([pa.array(some), *(pa.array([packed(x[b * BLOCK_BYTES : (b + 1) * BLOCK_BYTES]) for b in some], pa.binary()) for x in (once, twice, many))], ["block", "once", "twice", "many"])
-
-    def merge(key, batches):
-        once, twice, many = (np.zeros(BLOCK_BYTES, np.uint8) for _ in range(3))
-        for batch in batches:
-            for o, t, m in zip(*(batch.column(x).to_pylist() for x in ("once", "twice", "many")), strict=True):
-                o = unpacked(o)
-                twice |= unpacked(t) | once & o
-                many |= unpacked(m)
-                once |= o
-        if twice.any():
-            yield pa.record_batch([pa.array([key[0].as_py()], pa.int64()), pa.array([packed(twice)], pa.binary()), pa.array([packed(many)], pa.binary())], ["block", "twice", "many"])
-
-    filled = hashes.mapInArrow(fill, "block long, once binary, twice binary, many binary")
-    # Blocks are spread over the shuffle partitions and merged one after the other in each.
-    spread = filled.repartition("block").sortWithinPartitions("block").mapInArrow(_by_block(merge), "block long, twice binary, many binary")
-    whole = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8 if often else 0, np.uint8)
-    for row in spread.toLocalIterator():
-        span = slice(row.block * BLOCK_BYTES, (row.block + 1) * BLOCK_BYTES)
-        whole[0][span] = unpacked(bytes(row.twice))
-        if often:
-            whole[1][span] = unpacked(bytes(row.many))
-    return whole
-
-
-def _by_block(merge):
-    """Hand runs of equal first column to ``merge(key, batches)``."""
-
-    def run(batches):
-        held, key = [], None
-        for batch in batches:
-            values = batch.column(0).to_numpy()
-            cuts = np.r_[0, np.flatnonzero(np.diff(values)) + 1, len(values)] if len(values) else [0]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if key is not None and key.as_py() != values[a]:
-                    yield from merge((key,), held)
-                    held = []
-                key = batch.column(0)[int(a)]
-                held.append(batch.slice(a, b - a))
         if held:
-            yield from merge((key,), held)
+            h = np.unique(np.concatenate(held))
+            a, b = positions(h, bits)
+            yield pa.record_batch([pa.array(h[has_bits(twice, a) & has_bits(twice, b)])], ["h"])
 
-    return run
+    return hashes.mapInArrow(combine, "h long, n byte").repartition("h").mapInArrow(screen, "h long")
 
 
-def repeated_keys(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = FILTER_BITS, max_fill: float = MAX_FILL) -> tuple[DataFrame, DataFrame]:
+def repeated_keys(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """Suspected (key, doc_id, text_hash, line) rows, and the confirmed keys with their number of documents and last one."""
     named = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = F.transform(F.split("text", "\n", -1), line_key)
     long = lambda k: F.char_length(k) >= min_chars
-    spark = docs.sparkSession
     # explode would be given a filter on its array's size, which splits each text once more; the outer form is not.
-    once = named.select(F.explode_outer(F.array_distinct(F.filter(keys, long))).alias("key")).filter("key is not null")
-    twice = twice_filter(once.select(F.xxhash64("key")), bits)[0]
-    exact = crowded(twice, max_fill)
-    held = spark.sparkContext.broadcast(twice[:0] if exact else twice)
-
-    @F.pandas_udf("boolean")
-    def suspected(hashes: pd.Series) -> pd.Series:
-        a, b = positions(hashes.to_numpy(), bits)
-        return pd.Series(has_bits(held.value, a) & has_bits(held.value, b))
-
+    once = named.select(F.explode_outer(F.array_distinct(F.transform(F.filter(keys, long), lambda k: F.xxhash64(k)))).alias("h")).filter("h is not null")
+    again = bounded(settle(twice_seen(once, bits)))
     # The hash is taken below the generator: a text must not travel with each of its lines.
     hashed = named.select("doc_id", F.xxhash64("text").alias("text_hash"), keys.alias("keys"))
     lines = hashed.select("doc_id", "text_hash", F.posexplode_outer("keys").alias("line", "key")).filter(long(F.col("key")))
-    if exact:
-        # Beyond the filter: hashes counted in each task and then over all. ``again`` is written, so that the join is one of
-        # two plain exchanges and a line of very many documents is split as skewed.
-        again = settle(once.groupBy(F.xxhash64("key").alias("h")).count().filter("count > 1").select("h"))
-        suspects = settle(lines.withColumn("h", F.xxhash64("key")).join(again, "h", "left_semi").drop("h"))
-    else:
-        suspects = settle(lines.filter(suspected(F.xxhash64("key"))))
+    # Few suspected hashes go to the lines; of many, lines of other hashes are dropped by a join of two plain exchanges, in
+    # which a line of very many documents is split as skewed.
+    suspects = settle(lines.withColumn("h", F.xxhash64("key")).join(again, "h", "left_semi").drop("h"))
     # One row for each key, document and task; a line held by a third of the documents is counted in each task first.
     confirmed = suspects.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("last_doc"))
     # Written, so that the join with it is one of two plain exchanges: a key of very many lines is then split as skewed.
     return suspects, settle(confirmed.filter(F.col("n_docs") >= min_docs))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = FILTER_BITS, max_fill: float = MAX_FILL) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: int = FILTER_BITS) -> DataFrame:
     """Every column of ``docs`` (doc_id, text, ...) plus kept_text, n_lines and n_dropped.
 
     A line's key is the line stripped of white space with A-Z lower-cased. Keys of ``min_chars`` code points or more in
@@ -170,7 +96,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits: i
     Texts are dealt out once, by doc_id; beside them stand the numbers of a document's lost lines, four bytes for each line
     of ``min_chars`` or more, so the hashed side is at most a fifth of the texts.
     """
-    suspects, confirmed = repeated_keys(docs, min_docs, min_chars, bits, max_fill)
+    suspects, confirmed = repeated_keys(docs, min_docs, min_chars, bits)
     lost = suspects.join(confirmed, "key").filter(F.col("doc_id") < F.col("last_doc")).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
     # All columns travel in one struct, so no name of theirs can clash.
     row = docs.select(F.struct("*").alias("row"))

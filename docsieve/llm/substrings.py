@@ -25,14 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import per_slice, settle
-from docsieve.llm.lines import FILTER_BITS, MAX_FILL, crowded, has_bits, positions, twice_filter
+from docsieve.llm.filters import FILTER_BITS, MAX_FILL, crowded, frequent_bits, twice_filter
+from docsieve.llm.lines import has_bits, positions
 
 GRAM = 32
 #: Contexts refined at once; a bucket with more distinct ones is refined window offset by window offset.
 BATCH_ROWS = 4_000
 #: Suffixes of whole buckets that are refined to the end before the next ones, which then meet finer pointers.
 BLOCK = 1 << 16
-#: An anchor hash found so often in one slice of text is frequent; its windows are dealt in blocks of so many offsets.
+#: An anchor hash found so often in the corpus is frequent; its windows are dealt in blocks of so many offsets.
 FREQUENT, OFFSETS = 16, 8
 #: Contexts whose earliest place a task remembers; beyond them it forgets all and starts anew.
 SEEN = 40_000
@@ -154,7 +155,7 @@ def counted(named: DataFrame, length: int, frequent: int) -> DataFrame:
         return step
 
     held = settle(per_slice(named, make, "doc_id long, h long, n long", size=ANCHOR_BYTES))
-    again = settle(held.groupBy("h").agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter("n > 1").select("h", (F.col("most") >= frequent).alias("often")))
+    again = settle(held.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h", (F.col("n") >= frequent).alias("often")))
     lists = held.select("doc_id", "h").join(again, "h").groupBy("doc_id").agg(F.collect_list("h").alias("again"), F.collect_list(F.when(F.col("often"), F.col("h"))).alias("many"))
     return named.join(lists, "doc_id").select("doc_id", "text", "again", "many")
 
@@ -189,7 +190,7 @@ def contexts(named: DataFrame, length: int, bits: int, frequent: int, max_fill:
                 keep, crowd = (np.isin(h.view(np.int64), part.column(k).flatten().to_numpy()) for k in (2, 3))
             else:
                 a, b = positions(h.view(np.int64), bits)
-                keep, crowd = (has_bits(x, a) & has_bits(x, b) for x in (twice, many))
+                keep, crowd = has_bits(twice, a) & has_bits(twice, b), frequent_bits(many, a, b)
             crowd = crowd[keep]
             at, h = at[keep], h[keep]
             doc = np.searchsorted(ends, at, side="right")

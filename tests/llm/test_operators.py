@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docsieve.llm import classifier, components, decontamination, lines, packing, rules, sharding, simhash, substrings, tokens, toxicity
+from docsieve.llm import classifier, components, decontamination, filters, lines, packing, rules, sharding, simhash, substrings, tokens, toxicity
 from docsieve.llm.common import held_out
 
 SCHEMA = "doc_id long, text string, key string, count long, h long, part int, shard int"
@@ -75,8 +75,8 @@ def test_line_dedup(docs):
         for x in (t or "").split("\n"):
             if len(k := low(x.strip(" \t\n\x0b\f\r"))) >= 20:
                 keys.setdefault(k, set()).add(i)
-    for fill in (lines.MAX_FILL, 0.0):  # screened by the filter, and counted where that is crowded
-        found = lines.dedup_lines(docs, bits=1 << 16, max_fill=fill)
+    for bits in (1 << 16, 8):  # filters that screen, and crowded ones that let all pass
+        found = lines.dedup_lines(docs, bits=bits)
         assert {"kept_text", "n_lines", "n_dropped", *docs.columns} == set(found.columns)
         for r in found.collect():
             parts = (dict(ROWS)[r.doc_id] or "").split("\n")
@@ -84,6 +84,41 @@ def test_line_dedup(docs):
             assert (r.n_lines, r.n_dropped, r.kept_text) == (len(parts), len(parts) - len(kept), "\n".join(kept))
 
 
+def test_twice_seen_hashes(spark):
+    hashes = spark.range(50_000).selectExpr("xxhash64(if(id % 5 = 0, id % 700, id)) AS h").repartition(7)
+    want = {r.h for r in hashes.groupBy("h").count().filter("count > 1").collect()}
+    found = [r.h for r in lines.twice_seen(hashes, 1 << 20).collect()]
+    assert want <= set(found) and len(found) == len(set(found)) < len(want) + 1000
+    assert set(r.h for r in lines.twice_seen(hashes, 8).collect()) >= want and not lines.twice_seen(hashes.limit(0), 1 << 10).collect()
+
+
+def test_filters_count_over_all_tasks(spark):
+    # A hash that no task holds often, one that one task does, one that is there twice, and many once.
+    rows = [(7, 1)] * 40 + [(8, 30)] + [(9, 1)] * 2 + [(k, 1) for k in range(100, 3100)]
+    hashes = spark.createDataFrame(rows, "k long, n long").selectExpr("xxhash64(k) AS h", "n").repartition(20)
+    twice, many = filters.twice_filter(hashes, 1 << 20, 16)
+    h = {r.k: r.h for r in spark.createDataFrame([(k,) for k in (7, 8, 9, *range(100, 3100))], "k long").selectExpr("k", "xxhash64(k) AS h").collect()}
+    at = lines.positions(np.array(list(h.values())), 1 << 20)
+    again = dict(zip(h, lines.has_bits(twice, at[0]) & lines.has_bits(twice, at[1]), strict=True))
+    often = dict(zip(h, filters.frequent_bits(many, *at), strict=True))
+    assert again[7] and again[8] and again[9] and sum(again.values()) < 60 and often[7] and often[8] and not often[9] and sum(often.values()) < 10
+
+
+def test_anchor_that_is_rare_in_a_slice_but_frequent_in_all(spark, monkeypatch):
+    gen = random.Random(8)
+    passage = "".join(gen.choice("abcdefgh") for _ in range(95))
+    rows = [(k, "".join(gen.choice("mnopqrst") for _ in range(400)) + passage + "".join(gen.choice("uvwxyz") for _ in range(400))) for k in range(60)]
+    rows += [(100, rows[3][1]), (101, passage + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(62)  # one text a slice
+    named = docs.select("doc_id", "text")
+    for fill in (0.5, 0.0):
+        sizes = [r["count"] for r in substrings.contexts(named, 100, 1 << 22, 16, fill).filter("bytes is not null").groupBy("h").count().collect()]
+        wide = [r["count"] for r in substrings.contexts(named, 100, 1 << 22, 1000, fill).filter("bytes is not null").groupBy("h").count().collect()]
+        assert max(wide) >= 60 and sorted(sizes)[-8:] != sorted(wide)[-8:] and len(sizes) > len(wide)  # cut into blocks of offsets
+        found = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs, bits=1 << 22, max_fill=fill).collect()}
+        assert found[100] == len(rows[3][1]) and sum(v for k, v in found.items() if k < 100) == 0
+
+
 def test_substrings(docs, monkeypatch):
     def expected():
         seen, out = set(), {}
