@@ -97,6 +97,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8)
     # Only candidates' texts are read again. Shingles are matched by document, so none is common to many rows of one key.
     texts = named.join(bounded(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
     held = texts.select("doc_id", F.explode_outer(shingle_texts(words(F.col("text")), n)).alias("shingle"))
+    held = held.withColumn("h", F.xxhash64("shingle")).filter(among(own.select(F.xxhash64("shingle").alias("h")))).drop("h")
     both = candidates.join(own, "item_id").join(held, ["doc_id", "shingle"], "left_semi")
     found = both.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
     sizes = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
