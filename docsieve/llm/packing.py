@@ -22,7 +22,8 @@ CAPACITY, END_ID = 4096, 2
 #: Pieces are packed as if they were as long as their class. Lengths up to twice this are classes of their own; longer ones are
 #: rounded up by less than one part in this many, in steps of powers of two, so that classes are few.
 FINE = 128
-#: The search for columns ends when the program is within this factor of a lower bound of its optimum, and not before.
+#: The search for columns ends when the program is within this factor of a lower bound of its optimum, or within one sequence,
+#: and not before.
 GAP = 1.0001
 #: A column worth at most this does not enter; the basis is inverted anew after so many pivots.
 WORTH, REFRESH = 1 + 1e-7, 2_000
@@ -188,15 +189,15 @@ def inverted(columns: np.ndarray) -> np.ndarray:
 
 
 def program(sizes: np.ndarray, demand: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Columns (rows here) and multipliers that meet ``demand`` within GAP of the fewest sequences in fractions, and the
-    lower bound that shows it: the area, or what a turn's dual values prove.
+    """Columns (rows here) and multipliers that meet ``demand`` within GAP, or one sequence, of the fewest sequences in fractions,
+    and the lower bound that shows it: the area, or what a turn's dual values prove.
 
     Revised simplex from first-fit decreasing. One knapsack a turn prices a best column with each class in it; they enter,
     best first, as long as they are worth it under the dual values of the moment. Slightly uneven demands avoid ties."""
     demand = demand * (1 + 1e-7 * np.random.default_rng(0).random(len(sizes)))
     columns, x = first_columns(sizes, demand, units)
     inverse, pivots, bound = None, 0, float(sizes @ demand) / units
-    while x.sum() > GAP * bound:
+    while x.sum() > max(GAP * bound, bound + 1):
         inverse = inverted(columns) if inverse is None else inverse
         dual = inverse.sum(axis=0)
         best, last = knapsack(sizes, dual, units)
