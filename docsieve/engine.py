@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import math
 import re
 from collections.abc import Mapping
@@ -56,6 +57,8 @@ class SearchResult:
         unwrap = lambda v: v[0] if isinstance(v, list) and len(v) == 1 else v
         docs = [{k: unwrap(v) for k, v in x.asDict(recursive=True).items()} for x in self.docs.collect()] if self.groups is None else []
         debug = self.debug | ({"explain": {d["id"]: d.pop("explain") for d in docs}} if docs and "explain" in docs[0] else {})
+        if docs and "explanation" in docs[0]:
+            debug["explanation"] = {d["id"]: explained(d.pop("explanation")) for d in docs}
         facets: dict[str, list] = {}
         for x in self.facets.collect():
             facets.setdefault(x.facet, []).append((x.value, x.n))
@@ -69,6 +72,12 @@ class SearchResult:
         }
 
 
+def explained(tree: str) -> dict:
+    """An explanation and its parts from their JSON."""
+    node = json.loads(tree)
+    return node | {"parts": [explained(p) for p in node["parts"]]}
+
+
 def empty_answer(error: str | None) -> dict:
     return {"docs": [], "groups": [], "grouped": False, "num_found": 0, "facets": {}, "highlighting": {}, "debug": {}, "error": error}
 
@@ -190,7 +199,7 @@ class SearchEngine:
         weights = {"edismax": schema.WEIGHTS, "dismax": schema.DISMAX_WEIGHTS, "lucene": {"content": 1.0}}[request.parser]
         mm = (request.mm or "1") if request.parser == "edismax" and request.op == "OR" else None
         node = self.parse(request)
-        return Compiled(node, weights, available, mm, whole_query(request, node), self.named(node, weights, available))
+        return Compiled(node, weights, available, mm, whole_query(request, node), self.named(node, weights, available), request.debug)
 
     def parse(self, request: SearchRequest) -> Bool:
         return parse(rewrite(request), request.op)
@@ -221,6 +230,7 @@ class SearchEngine:
         if request.debug and q.shares:
             entries = [x for name, share in q.shares.items() for x in (F.lit(name), share)]
             explain["__explain"] = F.map_filter(F.create_map(*entries), lambda k, v: v > 0)
+            explain["__tree"] = q.explanation(F.col("__bf") if "__bf" in narrow else F.lit(0.0))
         score = F.when(q.match, q.score + (F.col("__bf") if "__bf" in narrow else F.lit(0.0)))
         return rows.withColumn("score", score).filter("score is not null").select(*narrow, "score", *(c.alias(n) for n, c in explain.items()))
 
@@ -249,13 +259,13 @@ class SearchEngine:
             stats = stats.select(F.coalesce(F.nullif("num_found", F.lit(0)), "matches").alias("num_found"), "matches")
         else:
             stats = hits.agg(F.count(F.lit(1)).alias("num_found"))
-        page = hits.orderBy(*order(request.sort)).offset(request.start).limit(request.rows).select("id", "score", *(c for c in hits.columns if c == "__explain"))
+        page = hits.orderBy(*order(request.sort)).offset(request.start).limit(request.rows).select("id", "score", *(c for c in hits.columns if c in ("__explain", "__tree")))
         # The wide columns are fetched for the page alone.
-        docs = self.fetch(page).orderBy(*order(request.sort)).withColumnRenamed("__explain", "explain")
+        docs = self.fetch(page).orderBy(*order(request.sort)).withColumnsRenamed({"__explain": "explain", "__tree": "explanation"})
         # In a grouped answer the documents shown are those of the groups.
         shown = docs if groups is None else self.fetch(groups.select(F.col("key").cast("string").alias("__group"), F.explode("docs.id").alias("id")))
         marks = self._highlight(request, shown) if request.hl and request.q else None
-        debug = {"parsedquery": repr(self.parse(request)), "q": rewrite(request)} if request.debug else {}
+        debug = {"parsedquery": repr(self.parse(request)), "q": rewrite(request), "plan": hits._sc._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "formatted")} if request.debug else {}
         return SearchResult(request, hits, docs, self.facets(request, ranked), stats, groups, marks, debug, ranked if self.scored(request) else None, self._cards(request, shown, marks))
 
     def fetch(self, page: DataFrame) -> DataFrame:

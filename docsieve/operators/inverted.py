@@ -188,8 +188,9 @@ def lookups(vocabulary: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def commit(docs: DataFrame, path: str) -> int:
-    """Add a batch of documents to the index at ``path`` as a new segment and publish it; the number of the segment.
+def commit(docs: DataFrame, path: str, lookup: tuple[str, ...] = LOOKUPS) -> int:
+    """Add a batch of documents to the index at ``path`` as a new segment and publish it; the number of the segment. ``lookup`` is
+    the same for all batches of an index, see ``InvertedIndex.write``.
 
     Of rows of one id in the batch the one of the highest ``_version_`` counts, of equal versions the last one. Documents of
     that id in older segments are superseded."""
@@ -199,7 +200,7 @@ def commit(docs: DataFrame, path: str) -> int:
     batch = docs.withColumn("__row", F.monotonically_increasing_id())
     version = F.coalesce(F.col("_version_"), F.lit(0)) if "_version_" in docs.columns else F.lit(0)
     batch = upsert_latest(batch.withColumn("__order", F.struct(version.alias("v"), F.col("__row").alias("r"))), "id", "__order").drop("__row", "__order")
-    InvertedIndex.build(batch).write(path, segment)
+    InvertedIndex.build(batch).write(path, segment, lookup)
     if old:
         live = F.col("segment").isin(*(int(r.name) for r in old))
         before = {t: spark.read.parquet(f"{path}/{t}").filter(live) for t in ("postings", "documents")}
@@ -215,16 +216,16 @@ def commit(docs: DataFrame, path: str) -> int:
         lost.select("field", "term", "df", "cf").write.mode("append").parquet(f"{path}/vocabulary/segment={segment}")
         less = statistics(before["documents"].join(gone, ["segment", "id"], "left_semi")).select("field", (-F.col("total")).alias("total"))
         less.write.mode("append").parquet(f"{path}/statistics/segment={segment}")
-    publish(spark, path, [*((r.name, r.source, r.number) for r in old), (str(segment), "batch", segment)])
+    publish(spark, path, [*((r.name, r.source, r.number) for r in old), (str(segment), "batch", segment)], old)
     return segment
 
 
 def merge(spark: SparkSession, path: str) -> int:
-    """Replace all segments by one of the same documents; the number of the new segment."""
-    index = InvertedIndex.read(spark, path)
-    segment = max(int(r.name) for r in published(spark, path)) + 1
-    InvertedIndex(**(index.tables | {"stored": index.stored.drop("__bucket")})).write(path, segment)
-    publish(spark, path, [(str(segment), "merge", segment)])
+    """Replace all segments by one of the same documents, with the same lookups; the number of the new segment."""
+    index, old = InvertedIndex.read(spark, path), published(spark, path)
+    segment = max(int(r.name) for r in old) + 1
+    InvertedIndex(**(index.tables | {"stored": index.stored.drop("__bucket")})).write(path, segment, tuple(t for t in LOOKUPS if t in index.tables))
+    publish(spark, path, [(str(segment), "merge", segment)], old)
     return segment
 
 
@@ -357,7 +358,7 @@ class IndexEngine(SearchEngine):
         mm = (request.mm or "1") if request.parser == "edismax" and request.op == "OR" else None
         whole = self.parse(request)
         node, banned = self.split(whole, weights)
-        q = Compiled(node, weights, available, mm, whole_query(request, whole), self.named(node, weights, available))
+        q = Compiled(node, weights, available, mm, whole_query(request, whole), self.named(node, weights, available), request.debug)
         names, docs, flags = self.read(request), self.index.documents, {}
         expression = parse(request.fq) if request.fq else None
         analysed = expression is not None and any(schema.field(n).text for n in fields_of(expression))
@@ -385,7 +386,10 @@ class IndexEngine(SearchEngine):
             narrow["__bf"] = boost_function(request.bf, available)
         if q.row:
             rows = rows.crossJoin(F.broadcast(self.stats(q)))  # one row
-        score = F.when(q.match, q.score + (narrow["__bf"] if "__bf" in narrow else F.lit(0.0)))
+        boost = narrow.get("__bf", F.lit(0.0))
+        score = F.when(q.match, q.score + boost)
+        if request.debug and q.row:
+            narrow["__tree"] = q.explanation(boost)
         return rows.select(*(c.alias(k) for k, c in narrow.items()), score.alias("score")).filter("score is not null")
 
 

@@ -114,10 +114,10 @@ def index_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     under a new id; with the segments merged before the last batch."""
     path, docs = store.scratch_dir(spark), dealt(corpus(spark, sf_dir))
     number = F.col("id").cast("long")
-    commit(docs, path)
-    commit(docs.filter(number % 3 == 0).withColumn("content", F.array(F.concat(F.lit("that "), F.get("content", F.lit(0))))), path)
+    commit(docs, path, ())
+    commit(docs.filter(number % 3 == 0).withColumn("content", F.array(F.concat(F.lit("that "), F.get("content", F.lit(0))))), path, ())
     merge(spark, path)
-    commit(docs.filter(number % 5 == 0).withColumn("id", (number + 10_000_000).cast("string")), path)
+    commit(docs.filter(number % 5 == 0).withColumn("id", (number + 10_000_000).cast("string")), path, ())
     found = InvertedIndex.read(spark, path).engine().search(SearchRequest(q="that from")).matches
     return found.select("id", F.round("score", 6).alias("score"))
 
@@ -125,8 +125,8 @@ def index_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document frequencies that an index keeps, added up over two segments."""
     path, docs = store.scratch_dir(spark), dealt(corpus(spark, sf_dir))
-    commit(docs, path)
-    commit(docs.filter(F.col("id").cast("long") % 3 == 0).withColumn("content", F.array(F.lit("that this"))), path)
+    commit(docs, path, ())
+    commit(docs.filter(F.col("id").cast("long") % 3 == 0).withColumn("content", F.array(F.lit("that this"))), path, ())
     terms = InvertedIndex.read(spark, path).tables["vocabulary"].groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     return terms.filter("df > 0")
 
@@ -243,18 +243,28 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.scratch_dir(spark)
     store.write_json_arrays(orders(spark, sf_dir), f"{path}/in")
     stream_json(spark, f"{path}/in", f"{path}/log", f"{path}/checkpoint", None).awaitTermination()
-    return upsert_latest(store.read_log(spark, f"{path}/log")).select("id", "last_modified", "repository", "file_type")
+    return store.current(spark, f"{path}/log").select("id", "last_modified", "repository", "file_type")
 
 
 def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log of two batches, the first of them replayed, compacted."""
+    """A log of two batches of one source, the first of them sent twice, compacted."""
     path, docs = store.scratch_dir(spark), parts(spark, sf_dir).select("id", "repository", "size_i")
-    for version in (1, 1):
-        store.append(docs, f"{path}/log", version)
-    store.append(docs.filter(F.col("id").cast("long") % 3 == 0).withColumn("size_i", F.col("size_i") + 100), f"{path}/log", 2)
+    for _ in range(2):
+        store.append(docs, f"{path}/log", "parts", 1)
+    store.append(docs.filter(F.col("id").cast("long") % 3 == 0).withColumn("size_i", F.col("size_i") + 100), f"{path}/log", "parts", 2)
     rows = store.read_log(spark, f"{path}/log").groupBy("id").agg(F.count(F.lit(1)).alias("versions"))
     store.compact(spark, f"{path}/log", f"{path}/compact")
-    return store.read_log(spark, f"{path}/compact").join(rows, "id").select("id", "repository", "size_i", "versions")
+    return store.current(spark, f"{path}/compact").join(rows, "id").select("id", "repository", "size_i", "versions")
+
+
+def restreamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files streamed from two folders and once more with a new checkpoint: rows by sequence number."""
+    path = store.scratch_dir(spark)
+    store.write_json_arrays(orders(spark, sf_dir), f"{path}/a")
+    store.write_json_arrays(parts(spark, sf_dir).select("id", "repository", "file_type"), f"{path}/b")
+    for folder, mark in (("a", "1"), ("b", "2"), ("b", "2"), ("a", "3")):
+        stream_json(spark, f"{path}/{folder}", f"{path}/log", f"{path}/checkpoint{mark}", None).awaitTermination()
+    return store.read_log(spark, f"{path}/log").groupBy("_version_").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_row_").alias("n_rows")).withColumnRenamed("_version_", "seq")
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -517,6 +527,7 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "json_sink": (json_sink, "SELECT doc_id::VARCHAR AS id, text, lang AS language, source AS repository FROM documents"),
     "json_arrays": (json_arrays, ORDERS),
     "stream_ingest": (streamed, ORDERS),
+    "stream_restart": (restreamed, "SELECT seq, n, n AS n_rows FROM (SELECT unnest([0, 1, 2]) AS seq, unnest([o, p, o]) AS n FROM (SELECT (SELECT count(*) FROM orders) AS o, (SELECT count(*) FROM part) AS p))"),
     "log_compact": (compacted, "SELECT p_partkey::VARCHAR AS id, p_brand AS repository, (CASE WHEN p_partkey % 3 = 0 THEN p_size + 100 ELSE p_size END)::INT AS size_i, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS versions FROM part"),
     "upsert_latest": (upsert, "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"),
 }

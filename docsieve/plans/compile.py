@@ -189,10 +189,17 @@ def clauses(node: Leaf | Bool) -> int:
     return 1 if isinstance(node, Leaf) else sum(clauses(part) for _, part in node.parts)
 
 
+def tree(value: Column, what: str, parts: list[Column], **details: Column) -> Column:
+    """A part of an explanation as JSON; parts that are null are left out."""
+    some = F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
+    return F.to_json(F.struct(value.cast("double").alias("value"), F.lit(what).alias("what"), *(c.cast("double").alias(k) for k, c in details.items()), some.alias("parts")))
+
+
 class Compiled:
     """Columns of one query. ``row``: what each document gives before statistics; ``stats``: aggregates over all rows."""
 
-    def __init__(self, node: Bool, weights: dict[str, float], available: set[str], mm: str | None = None, whole: str | None = None, found: dict[tuple[Leaf, str], terms.Terms | None] | None = None):
+    def __init__(self, node: Bool, weights: dict[str, float], available: set[str], mm: str | None = None, whole: str | None = None, found: dict[tuple[Leaf, str], terms.Terms | None] | None = None, explain: bool = False):
+        self.explain = explain
         self.weights, self.available, self.found = {k: v for k, v in weights.items() if k in available}, available, found or {}
         self.toks: dict[str, Column] = {}
         self.row: dict[str, Column] = {}
@@ -207,12 +214,24 @@ class Compiled:
         #: By analysed field, what terms each clause names: words, or a test of a term.
         self.picks: dict[str, list[tuple[tuple[str, ...], Callable[[Column], Column] | None]]] = {}
         self.text_only = True
+        #: By clause or group of clauses, what its score is made of, as JSON; see ``explanation``.
+        self.trees: dict[int, Column] = {}
         self.match, self.score = self._node(node, mm)
+        self.parts = [(self.match, self.trees.get(id(node)))]
         strings = {n: w for n, w in self.weights.items() if not schema.field(n).text}
         if whole is not None and strings:
             # A value that is not analysed can be the whole query, which no single term of it would find.
-            match, score = self._leaf(Leaf("term", whole), strings)
+            leaf = Leaf("term", whole)
+            match, score = self._leaf(leaf, strings)
             self.match, self.score = self.match | match, F.when(self.match, self.score).otherwise(0.0) + score
+            self.parts.append((match, self.trees.get(id(leaf))))
+
+    def explanation(self, boost: Column) -> Column:
+        """What a score is made of, as JSON: {value, what, parts}, where parts are JSON texts of their own. A sum is that of its
+        parts times its boost; of the fields of a clause the best counts; a clause in a field is weight x idf x tf, and tf is
+        frequency / (frequency + norm), where norm grows with the field's length."""
+        extra = tree(boost, "boost function", [])
+        return tree(F.when(self.match, self.score + boost), "sum", [*(F.when(m, t) for m, t in self.parts), F.when(boost != 0, extra)], boost=F.lit(1.0))
 
     def _field(self, name: str) -> Column:
         if name not in self.toks and schema.field(name).text:
@@ -226,8 +245,10 @@ class Compiled:
         """Match and score; None where analysis leaves nothing of the leaf."""
         if leaf.kind == "all":
             self.text_only = False
-            return F.lit(True), F.lit(leaf.constant if leaf.constant is not None else leaf.boost)
-        tests, scores = [], []
+            value = F.lit(leaf.constant if leaf.constant is not None else leaf.boost)
+            self._note(leaf, lambda: tree(value, "all", []))
+            return F.lit(True), value
+        tests, scores, shares = [], [], []
         if leaf.field is None and leaf.kind == "term" and not analysis.query_tokens("general", leaf.text):
             return None, None  # a stop word asks for nothing, also in fields that keep it
         if leaf.field and schema.field(leaf.field).name not in self.available:
@@ -263,11 +284,16 @@ class Compiled:
             tests.append(tf > 0)
             scores.append(F.when(tf > 0, weight * idf * tf / (tf + long)).otherwise(0.0))
             self.shares[self.leaves[-1]] = scores[-1]
+            size = {"length": F.col(f"__d_{name}"), "average": F.col(f"__a_{name}")} if f.text else {}
+            if self.explain:
+                shares.append(F.when(tf > 0, tree(scores[-1], self.leaves[-1], [], weight=F.lit(float(weight)), idf=idf, frequency=tf, tf=tf / (tf + long), norm=long, **size)))
         if not tests:
             return None, None
         best = scores[0] if len(scores) == 1 else F.greatest(*scores)
         match = any_of(tests)
-        return match, F.when(match, leaf.constant).otherwise(0.0) if leaf.constant is not None else best * leaf.boost
+        score = F.when(match, leaf.constant).otherwise(0.0) if leaf.constant is not None else best * leaf.boost
+        self._note(leaf, lambda: tree(score, "constant", []) if leaf.constant is not None else tree(score, "best", shares, boost=F.lit(leaf.boost)))
+        return match, score
 
     def _node(self, node: Leaf | Bool, mm: str | None = None) -> tuple[Column, Column]:
         from docsieve.request import required
@@ -288,7 +314,16 @@ class Compiled:
         for m in never:
             match = match & ~m
         score = sum((F.when(m, s).otherwise(0.0) for o, _, m, s in found if o != "not"), F.lit(0.0)) * node.boost
-        return match, F.when(match, node.constant).otherwise(0.0) if node.constant is not None else score
+        if node.constant is not None:
+            score = F.when(match, node.constant).otherwise(0.0)
+            self._note(node, lambda: tree(score, "constant", []))
+        else:
+            self._note(node, lambda: tree(score, "sum", [F.when(m, self.trees[id(part)]) for o, part, m, _ in found if o != "not"], boost=F.lit(node.boost)))
+        return match, score
+
+    def _note(self, part: Leaf | Bool, make: Callable[[], Column]) -> None:
+        if self.explain:
+            self.trees[id(part)] = make()
 
 
 def order(spec: str, available: set[str] | None = None) -> list[Column]:

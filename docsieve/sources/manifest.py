@@ -31,10 +31,10 @@ def published(spark: SparkSession, path: str) -> list[Row]:
     return every.filter(F.col("version") == newest).orderBy("seq").collect() if newest is not None else []
 
 
-def publish(spark: SparkSession, path: str, entries: list[tuple[str, str, int]], after: int | None = None) -> None:
-    """Make ``entries`` (name, source, number) the list. ``after``: the version it was made from; where it is not given, the
-    newest. Fails if another list has been published since."""
-    old = published(spark, path)
-    version = (old[0].version + 1 if old else 0) if after is None else after + 1
+def publish(spark: SparkSession, path: str, entries: list[tuple[str, str, int]], old: list[Row] | None = None) -> None:
+    """Make ``entries`` (name, source, number) the list. ``old``: the list that it was made from, the newest where it is not
+    given. Fails (PATH_ALREADY_EXISTS) if another list has been published since."""
+    old = published(spark, path) if old is None else old
+    version = old[0].version + 1 if old else 0
     rows = [(name, source, number, seq) for seq, (name, source, number) in enumerate(entries)]
     spark.createDataFrame(rows, ENTRIES).coalesce(1).write.mode("errorifexists").json(f"{path}/manifest/version={version}")

@@ -8,10 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve import schema
+from docsieve.errors import SearchError
+from docsieve.sources.manifest import publish, published
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,26 +31,64 @@ def read_json(spark: SparkSession, path: str, *dynamic: str, lines: bool = False
 
 
 def upsert_latest(log: DataFrame, key: str = "id", version: str = "_version_") -> DataFrame:
-    """The newest row of each key; partial aggregation keeps one row a key and task before the shuffle."""
+    """The newest row of each key; partial aggregation keeps one row a key and task before the shuffle.
+
+    Of rows of one key and version the last one of its batch counts (``_row_``), and where a log has no rows' numbers the one
+    whose values sort last."""
     rest = [c for c in log.columns if c != key]
-    newest = log.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("__row"))
+    ties = ["_row_"] if "_row_" in rest else [f.name for f in log.schema.fields if f.name not in (key, version) and f.dataType.typeName() != "map"]
+    newest = log.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(version, *ties)).alias("__row"))
     return newest.select(key, "__row.*").select(*log.columns)
 
 
-def append(docs: DataFrame, path: str, version: int) -> None:
-    """Write a batch to the folder of its version; a batch that is replayed takes the place of its first writing."""
-    docs.drop("_version_").write.mode("overwrite").parquet(f"{path}/_version_={version}")
+def append(docs: DataFrame, path: str, source: str = "batch", number: int | None = None) -> int:
+    """Add a batch to the log at ``path``; its sequence number, which is its place among all batches of all sources.
+
+    ``number``: the source's own count of its batches, ascending. A batch that its source has sent before is not added again.
+    Rows are numbered in their batch. The batch counts from the moment that the manifest names it, and not before."""
+    spark, name = docs.sparkSession, uuid.uuid4().hex
+    written = False
+    while True:
+        old = published(spark, path)
+        sent = [r.seq for r in old if r.source == source and number is not None and r.number >= number]
+        if sent:
+            return sent[0]
+        if not written:
+            docs.drop("_version_", "_row_").withColumn("_row_", F.monotonically_increasing_id()).write.parquet(f"{path}/batches/batch={name}")
+            written = True
+        entries = [(r.name, r.source, r.number) for r in old]
+        try:
+            publish(spark, path, [*entries, (name, source, len(old) if number is None else number)], old)
+        except AnalysisException as error:
+            if "PATH_ALREADY_EXISTS" not in str(error):
+                raise
+            continue  # another writer was first; its list is read and added to
+        return len(old)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of a log with their versions."""
-    return spark.read.parquet(path).withColumn("_version_", F.col("_version_").cast("long"))
+    """All rows of the published batches, with the batch's sequence number as ``_version_`` and the row's number in it as ``_row_``."""
+    batches = [(r.name, r.seq) for r in published(spark, path) if r.name]
+    if not batches:
+        raise SearchError(f"nothing has been published in the log {path}")
+    seq = spark.createDataFrame(batches, "batch string, _version_ long")
+    rows = spark.read.option("mergeSchema", True).parquet(f"{path}/batches").filter(F.col("batch").isin(*(b for b, _ in batches)))
+    return rows.join(F.broadcast(seq), "batch").drop("batch")  # a row a batch
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a log as they are now."""
+    return upsert_latest(read_log(spark, path)).drop("_row_")
 
 
 def compact(spark: SparkSession, source: str, target: str) -> None:
-    """Write the current documents of a log to another log, as one batch of the last version."""
-    log = read_log(spark, source)
-    append(upsert_latest(log), target, log.agg(F.max("_version_")).first()[0])
+    """Write the current documents of a log to another log, as one batch; what its sources have sent stays known."""
+    name, old = uuid.uuid4().hex, published(spark, source)
+    current(spark, source).drop("_version_").withColumn("_row_", F.monotonically_increasing_id()).write.parquet(f"{target}/batches/batch={name}")
+    last: dict[str, int] = {}
+    for r in old:
+        last[r.source] = max(r.number, last.get(r.source, -1))
+    publish(spark, target, [*(("", s, n) for s, n in sorted(last.items())), (name, "compact", len(old))], [])
 
 
 def write_json(docs: DataFrame, path: str) -> None:

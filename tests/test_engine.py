@@ -3,6 +3,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from docsieve import schema
@@ -16,6 +17,7 @@ from docsieve.plans.boost import boost_function
 from docsieve.plans.compile import sloppy_frequency
 from docsieve.request import SearchRequest
 from docsieve.sources import store
+from docsieve.sources.manifest import publish, published
 from docsieve.streaming.ingest import stream_json
 
 ROWS = [
@@ -102,6 +104,28 @@ def test_index_is_written_and_read(spark, engine, tmp_path):
         assert want and {(r.id, round(r.score, 9)) for r in kept.ranked(SearchRequest(q=q)).collect()} == want, q
 
 
+def adds_up(node):
+    """The value of an explanation, worked out from its parts."""
+    close = lambda x: abs(x - node["value"]) < 1e-9
+    values = [adds_up(p) for p in node["parts"]]
+    if node["what"] == "sum":
+        assert values and close(sum(values) * node["boost"])
+    elif node["what"] == "best":
+        assert values and close(max(values) * node["boost"])
+    elif "idf" in node:
+        assert close(node["weight"] * node["idf"] * node["tf"]) and abs(node["tf"] - node["frequency"] / (node["frequency"] + node["norm"])) < 1e-9
+        assert "length" not in node or abs(node["norm"] - 1.2 * (0.25 + 0.75 * node["length"] / node["average"])) < 1e-9
+    return node["value"]
+
+
+@pytest.mark.parametrize("args", [{"q": "login error user"}, {"q": '"login page"~3 user^2'}, {"q": "login^=3 (error OR page)^2 -fehler"}, {"q": "lgoin~1 log*", "bf": "sum(1,2)"}, {"q": "Ann user"}], ids=str)
+def test_explanations_add_up(engine, args):
+    answer = engine.answer(args | {"debug": "1"})
+    assert answer["docs"] and answer["error"] is None and "Scan" in answer["debug"]["plan"]
+    for doc in answer["docs"]:
+        assert abs(adds_up(answer["debug"]["explanation"][doc["id"]]) - doc["score"]) < 1e-9 and "explanation" not in doc
+
+
 BAD = [
     {"date_from": "notadate"}, {"date_to": "2024-02-31"}, {"fq": "last_modified:[zzz TO *]"}, {"fq": "last_modified:[NOW-3PARSECS TO *]"}, {"bf": "recip(1"}, {"bf": "recip(1,2,3)"}, {"bf": "ms(title)"},
     {"bf": "1 2"}, {"bf": "pow(last_modified,2)"}, {"bf": "nothing(1)"}, {"bf": "price_d"}, {"fq": "size_i:3"}, {"sort": "price_d desc"}, {"sort": "title sideways"}, {"group_by": "size_i"}, {"group_by": "title"},
@@ -291,5 +315,31 @@ def test_ingest(spark, tmp_path):
     for _ in range(2):
         stream_json(spark, str(source), str(tmp_path / "log"), str(tmp_path / "mark"), None).awaitTermination()
         (source / "b.json").write_text('[{"id": "1", "title": ["new"]}]')
-    found = {r.id: r.title for r in store.upsert_latest(spark.read.parquet(str(tmp_path / "log"))).collect()}
-    assert found == {"1": ["new"], "2": None}
+    log = str(tmp_path / "log")
+    assert {r.id: r.title for r in store.current(spark, log).collect()} == {"1": ["new"], "2": None}
+    # A new checkpoint starts to count anew, and a second source counts for itself; nothing of theirs takes another's place.
+    for mark, text in (("other", '[{"id": "1", "title": ["a"]}, {"id": "1", "title": ["b"]}, {"id": "1", "title": ["a"]}]'), ("third", '[{"id": "3"}]')):
+        (tmp_path / mark).mkdir()
+        (tmp_path / mark / "c.json").write_text(text)
+        for _ in range(2):
+            stream_json(spark, str(tmp_path / mark), log, str(tmp_path / f"mark-{mark}"), None).awaitTermination()
+    assert sorted((r._version_, r.id) for r in store.read_log(spark, log).collect()) == [(0, "1"), (0, "2"), (1, "1"), (2, "1"), (2, "1"), (2, "1"), (3, "3")]
+    assert {r.id: r.title for r in store.current(spark, log).collect()} == {"1": ["a"], "2": None, "3": None}, "the last row of a batch counts"
+
+
+def test_log(spark, tmp_path):
+    log, docs = str(tmp_path / "log"), spark.createDataFrame([("1", 1), ("2", 2)], "id string, size_i int")
+    with pytest.raises(SearchError):
+        store.read_log(spark, log)
+    assert [store.append(docs, log, "a", 5), store.append(docs, log, "b", 5), store.append(docs, log, "a", 5), store.append(docs, log, "a", 4)] == [0, 1, 0, 0]
+    stale = published(spark, log)
+    assert store.append(docs.withColumn("size_i", F.col("size_i") + 10), log) == 2
+    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
+        publish(spark, log, [("x", "late", 1)], stale)  # made from a list that is no longer the newest
+    docs.write.parquet(f"{log}/batches/batch=lost")  # written and never published
+    assert store.read_log(spark, log).count() == 6 and {(r.id, r.size_i) for r in store.current(spark, log).collect()} == {("1", 11), ("2", 12)}
+    store.compact(spark, log, small := str(tmp_path / "small"))
+    assert {(r.id, r.size_i) for r in store.current(spark, small).collect()} == {("1", 11), ("2", 12)} and store.read_log(spark, small).count() == 2
+    assert store.append(docs, small, "a", 5) < store.append(docs, small, "a", 6), "what sources have sent before is known after compaction"
+    ties = spark.createDataFrame([("1", 3, "x"), ("1", 3, "y"), ("2", 1, None)], "id string, _version_ long, t string")
+    assert sorted((r.id, r.t) for r in store.upsert_latest(ties.repartition(3)).collect()) == [("1", "y"), ("2", None)]
