@@ -34,7 +34,7 @@ BATCH_ROWS = 4_000
 #: Suffixes of whole buckets that are refined to the end before the next ones, which then meet finer pointers.
 BLOCK = 1 << 16
 #: An anchor hash found so often in the corpus is frequent; its windows are dealt in blocks of so many offsets.
-FREQUENT, OFFSETS = 16, 8
+FREQUENT, OFFSETS = 250, 8
 #: Contexts whose earliest place a task remembers; beyond them it forgets all and starts anew.
 SEEN = 40_000
 #: Bytes of text whose anchors are found at once: some ten arrays of eight bytes a position.
