@@ -58,6 +58,12 @@ def field_title(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
+def page_links(page: int, pages: Column, around: int = 2) -> Column:
+    """The numbers of the pages that a result list links to; none where there are no pages that far."""
+    first, last = F.lit(max(1, page - around)).cast("long"), F.least(pages.cast("long"), F.lit(page + around).cast("long"))
+    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
 def meta_line(author: Column, modified: Column) -> Column:
     return F.concat_ws(" ", filled(author), modified.cast("string"))
 

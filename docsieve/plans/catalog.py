@@ -283,9 +283,15 @@ def group_ngroups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = engine(corpus(spark, sf_dir)).search(SearchRequest(q="that", rows=10, page=3)).stats
-    pages = F.ceil(F.col("num_found") / 10)
-    return found.select(F.explode(F.sequence(F.lit(1).cast("long"), F.least(pages, F.lit(5).cast("long")))).alias("page"))
+    request = SearchRequest(q="that", rows=10, page=3)
+    pages = F.ceil(F.col("num_found") / request.rows)
+    return engine(corpus(spark, sf_dir)).search(request).stats.select(F.explode(present.page_links(request.page, pages)).alias("page"))
+
+
+def result_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cards of a page of results."""
+    cards = engine(corpus(spark, sf_dir)).search(SearchRequest(q="that from")).cards
+    return cards.select("id", "title", "source", F.get("snippets", F.lit(0)).alias("best"), F.size("snippets").cast("long").alias("n"), F.col("href").isNull().alias("unlinked"), "meta")
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -521,6 +527,7 @@ CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "corpus_stats": (corpus_stats, f"WITH {TOKENS} SELECT count(*) AS n_docs, sum(dl)::BIGINT AS n_words, round(avg(dl), 6) AS mean_words FROM lens"),
     "doc_frequency": (doc_frequency, f"WITH {TOKENS} SELECT t AS term, count(DISTINCT id) AS df, count(*) AS cf FROM words GROUP BY 1"),
     "highlight_snippets": (snippets, SNIPPETS),
+    "result_list": (result_list, f"SELECT id, id AS title, 'text' AS source, max(snippet) FILTER (WHERE rank = 0) AS best, count(*) AS n, TRUE AS unlinked, '' AS meta FROM ({SNIPPETS}) GROUP BY id"),
     "display_title": (titles, f"SELECT page_id::VARCHAR AS id, string_split({PATH}, '/')[-1] AS basename, coalesce(nullif({TITLE}, ''), nullif(string_split({PATH}, '/')[-1], ''), nullif({PATH}, ''), page_id::VARCHAR) AS display_title FROM pages"),
     "result_cards": (cards, CARDS),
     "repository_href": (links, "SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 2 = 0 AND url <> '' THEN url ELSE 'https://host/repo/dir/file%20' || page_id END AS href FROM pages"),

@@ -2,7 +2,7 @@ import pytest
 
 from docsieve.errors import SearchError, UnsupportedQuery
 from docsieve.parser import parse
-from docsieve.request import SearchRequest, page_window, required, rewrite, set_param, toggle_facet
+from docsieve.request import SearchRequest, add_facet, page_window, remove_param, required, rewrite, set_param, toggle_facet
 
 
 @pytest.mark.parametrize(
@@ -42,6 +42,8 @@ def test_urls():
     assert toggle_facet("/s?lang=en&page=4", "language", "en") == "/s?page=1"
     assert toggle_facet("/s?repository=a", "repository", "b") == "/s?repository=a&repository=b&page=1"
     assert set_param("/s?page=1", "page", "2") == "/s?page=2"
+    assert remove_param("/s?q=a&repository=b&repository=c", "repository") == "/s?q=a" and remove_param("/s?q=", "none") == "/s?q="
+    assert add_facet("/s?q=a&page=7", "file_type", "py") == "/s?q=a&page=1&file_type=py"
     assert page_window(1, 9) == [1, 2, 3] and page_window(9, 9) == [7, 8, 9]
 
 
