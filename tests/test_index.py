@@ -74,6 +74,13 @@ def test_answer_of_an_index(docs, index):
     assert found["highlighting"] == want["highlighting"] and found["num_found"] == want["num_found"] and index.engine().answer({"fq": "nothing:x"})["error"]
 
 
+def test_scans_of_an_index_are_narrow(index):
+    docs = index.engine().search(SearchRequest(q="login page")).docs
+    docs.collect()
+    plan = docs._sc._jvm.PythonSQLUtils.explainString(docs._jdf.queryExecution(), "formatted")
+    assert "In(term, [login,page])" in plan and "field#" in plan and "dynamicpruningexpression(__bucket" in plan
+
+
 def test_lookups_find_all_terms_of_a_clause(spark, index):
     engine, name = index.engine(), "content"
     words = [r.term for r in engine.vocabulary(name).collect()]
