@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from docsieve.llm.lines import has_bits, positions, set_bits
 
 #: Bits of a filter and of one block of it; two bits a key. So many bits share a counter.
-FILTER_BITS, BLOCK_BITS, SHARED = 1 << 28, 1 << 15, 4
+FILTER_BITS, BLOCK_BITS, SHARED = 1 << 28, 1 << 16, 4
 #: Share of a twice-seen filter that may be set: at this one a quarter of the once-seen keys pass. A corpus that sets more
 #: has its hashes counted exactly instead, see ``crowded``; what is found is the same.
 MAX_FILL = 0.5
@@ -22,18 +22,24 @@ def crowded(filled: np.ndarray, max_fill: float) -> bool:
     return int(np.bitwise_count(filled).sum(dtype=np.int64)) > max_fill * 8 * len(filled)
 
 
-def packed(block: np.ndarray) -> bytes:
-    """A block as its bitmap, or as its positions where those are fewer bytes."""
-    at = np.flatnonzero(np.unpackbits(block, bitorder="little")).astype(np.uint16)
-    return at.tobytes() if at.nbytes < BLOCK_BYTES else block.tobytes()
+def set_places(filled: np.ndarray) -> np.ndarray:
+    """The places of the set bits of a packed array; the work is that of the bytes that have any."""
+    some = np.flatnonzero(filled)
+    byte, bit = np.nonzero(np.unpackbits(filled[some], bitorder="little").reshape(-1, 8))
+    return some[byte] * 8 + bit
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    if len(data) == BLOCK_BYTES:
-        return np.frombuffer(data, np.uint8).copy()
+def packed(places: np.ndarray) -> bytes:
+    """Places in a block as they are, or as a bitmap where that is fewer bytes."""
+    if 2 * len(places) < BLOCK_BYTES:
+        return places.astype(np.uint16).tobytes()
     block = np.zeros(BLOCK_BYTES, np.uint8)
-    set_bits(block, np.frombuffer(data, np.uint16).astype(np.int64))
-    return block
+    set_bits(block, places)
+    return block.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return set_places(np.frombuffer(data, np.uint8)) if len(data) == BLOCK_BYTES else np.frombuffer(data, np.uint16).astype(np.int64)
 
 
 def twice_filter(hashes: DataFrame, bits: int, often: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,34 +62,39 @@ def twice_filter(hashes: DataFrame, bits: int, often: int) -> tuple[np.ndarray,
                 set_bits(once, at)
                 cell, times = summed(at // SHARED, times)
                 cells[cell] = np.minimum(cells[cell] + times, 255)
-        for block in np.array_split(found := np.flatnonzero(once.reshape(-1, BLOCK_BYTES).any(axis=1)), max(1, len(found) // 256)):
-            rows = []
-            for b in block.tolist():
-                mine, again, counts = (x[b * k : (b + 1) * k] for x, k in ((once, BLOCK_BYTES), (twice, BLOCK_BYTES), (cells, BLOCK_CELLS)))
-                more = np.flatnonzero(counts > bits_by_cell(mine) + bits_by_cell(again)).astype(np.uint16)
-                rows.append((b, packed(mine), packed(again), more.tobytes(), counts[more].tobytes()))
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["block", "once", "twice", "cells", "counts"])
+        seen, again = set_places(once), set_places(twice)
+        cell, implied = summed(seen // SHARED, np.ones(len(seen), np.int64))
+        np.add.at(implied, np.searchsorted(cell, again // SHARED), 1)
+        more = cell[cells[cell] > implied]
+        blocks = np.unique(seen // BLOCK_BITS)
+        for some in np.array_split(blocks, max(1, len(blocks) // 256)):
+            own = lambda x, size: [x[i:j] - b * size for b, i, j in zip(some.tolist(), np.searchsorted(x, some * size), np.searchsorted(x, (some + 1) * size), strict=True)]  # noqa: E731, B023
+            listed = own(more, BLOCK_CELLS)
+            counts = [cells[c + b * BLOCK_CELLS].tobytes() for c, b in zip(listed, some.tolist(), strict=True)]
+            binary = [map(packed, own(seen, BLOCK_BITS)), map(packed, own(again, BLOCK_BITS)), (c.astype(np.uint16).tobytes() for c in listed), counts]
+            yield pa.record_batch([pa.array(some), *(pa.array(list(x), pa.binary()) for x in binary)], ["block", "once", "twice", "cells", "counts"])
 
     def merge(key, batches):
-        once, twice, total = np.zeros(BLOCK_BYTES, np.uint8), np.zeros(BLOCK_BYTES, np.uint8), np.zeros(BLOCK_CELLS, np.int64)
+        once, twice, total = np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_CELLS, np.int64)
         for batch in batches:
             for o, t, c, n in zip(*(batch.column(x).to_pylist() for x in ("once", "twice", "cells", "counts")), strict=True):
-                o, t = unpacked(o), unpacked(t)
-                twice |= t | once & o
-                once |= o
-                own = bits_by_cell(o).astype(np.int64) + bits_by_cell(t)
-                own[np.frombuffer(c, np.uint16)] = np.frombuffer(n, np.uint8)
+                o, t, c = unpacked(o), unpacked(t), np.frombuffer(c, np.uint16)
+                twice[o[once[o]]] = True
+                twice[t] = True
+                once[o] = True
+                own = np.bincount(np.r_[o, t] // SHARED, minlength=BLOCK_CELLS)
+                own[c] = np.frombuffer(n, np.uint8)
                 total += own
         if twice.any():
             many = np.packbits(total >= often, bitorder="little")
-            yield pa.record_batch([pa.array([key[0].as_py()], pa.int64()), pa.array([packed(twice)], pa.binary()), pa.array([many.tobytes()], pa.binary())], ["block", "twice", "many"])
+            yield pa.record_batch([pa.array([key[0].as_py()], pa.int64()), pa.array([packed(np.flatnonzero(twice))], pa.binary()), pa.array([many.tobytes()], pa.binary())], ["block", "twice", "many"])
 
     filled = hashes.mapInArrow(fill, "block long, once binary, twice binary, cells binary, counts binary")
     # Blocks are spread over the shuffle partitions and merged one after the other in each.
     spread = filled.repartition("block").sortWithinPartitions("block").mapInArrow(_by_block(merge), "block long, twice binary, many binary")
     whole = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8 // SHARED, np.uint8)
     for row in spread.toLocalIterator():
-        whole[0][row.block * BLOCK_BYTES : (row.block + 1) * BLOCK_BYTES] = unpacked(bytes(row.twice))
+        set_bits(whole[0], unpacked(bytes(row.twice)) + row.block * BLOCK_BITS)
         whole[1][row.block * BLOCK_CELLS // 8 : (row.block + 1) * BLOCK_CELLS // 8] = np.frombuffer(bytes(row.many), np.uint8)
     return whole
 
@@ -96,15 +107,6 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[heads], np.add.reduceat(counts, heads)
 
 
-#: Set bits of the two halves of each byte, the lower one first.
-HALVES = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, SHARED], np.uint8) & 15)
-
-
-def bits_by_cell(block: np.ndarray) -> np.ndarray:
-    """How many bits of each counter's share, half a byte, are set."""
-    return HALVES[block].ravel()
-
-
 def frequent_bits(many: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return has_bits(many, a // SHARED) & has_bits(many, b // SHARED)
 
